@@ -98,5 +98,5 @@ def quantiles_from_positions(pos: DataFrame, keys: Sequence[str], value: str, pr
         h = (F.col("_n") - 1) * F.lit(float(p))
         frac = h - F.floor(h)
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        cols.append(F.when(frac == 0, lo).otherwise((1 - frac) * lo + frac * hi).alias(name))
+        cols.append(F.when((frac == 0) | (lo == hi), lo).otherwise((1 - frac) * lo + frac * hi).alias(name))
     return g.select(*keys, *cols)

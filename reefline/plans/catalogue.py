@@ -1,6 +1,6 @@
 """Imports every catalogue module so that their queries register themselves."""
 
-from reefline.plans import catalogue_review  # noqa: F401
+from reefline.plans import catalogue_review, catalogue_summaries  # noqa: F401
 from reefline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

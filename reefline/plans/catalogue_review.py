@@ -21,7 +21,7 @@ def _branch_sql(*tables: str) -> str:
 
 
 def _parts(spark, sf_dir):
-    prepared = RV.prepare(B.study_rates(spark, sf_dir))
+    prepared = RV.prepare_materialized(B.study_rates(spark, sf_dir))
     return prepared, RV.branches(prepared, ORDER)
 
 

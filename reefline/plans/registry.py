@@ -27,11 +27,16 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every double column (last step of a reported query; hides ulp noise)."""
+    """Round every double column (last step of a reported query; hides ulp noise).
+
+    ``round(x * 10^d) / 10^d`` (half away from zero on the scaled double) rather
+    than decimal rounding of the exact binary value, so that half-way cases are
+    resolved the same way as in the SQL oracle."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append((F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name))
+            scale = F.lit(float(10 ** digits))
+            cols.append((F.round(F.col(f.name) * scale, 0) / scale + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -39,5 +44,6 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 def r(expr: str, name: str | None = None, digits: int = DIGITS) -> str:
     """SQL twin of ``rounded`` for one expression."""
-    out = f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
+    scale = f"{float(10 ** digits)!r}::DOUBLE"
+    out = f"(round(CAST({expr} AS DOUBLE) * {scale}) / {scale} + 0.0)"
     return f"{out} AS {name}" if name else out

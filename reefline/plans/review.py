@@ -19,6 +19,7 @@ from reefline import fixed_values as fv
 from reefline.functions.predicates import contains_any, is_in, not_contains, not_in
 from reefline.operators import cleaning as C
 from reefline.operators.joins import join_null_safe
+from reefline.session import cut_lineage
 from reefline.sources.tables import GROWTH_COLUMNS
 
 
@@ -131,10 +132,21 @@ def _unified(df: DataFrame, label: str) -> DataFrame:
                      F.lit(label).alias("standardization"))
 
 
-def growth(rates: DataFrame, order: list[str], extra: DataFrame | None = None) -> DataFrame:
+def prepare_materialized(rates: DataFrame) -> DataFrame:
+    """``prepare`` written once to the shared checkpoint folder.
+
+    Every branch, the audit and the rescue path read the prepared table; without
+    this each would re-run the upstream scan and joins.  A reliable checkpoint
+    (not a local one) keeps the result readable after executor loss.
+    """
+    return cut_lineage(prepare(rates))
+
+
+def growth(rates: DataFrame, order: list[str], extra: DataFrame | None = None,
+           materialize: bool = True) -> DataFrame:
     """ANA-5: the unified growth table with standardised rate and error, tagged by
     standardisation, including the late corrections."""
-    prepared = prepare(rates)
+    prepared = prepare_materialized(rates) if materialize else prepare(rates)
     parts = branches(prepared, order)
     rescued = rescue_incomplete(prepared, parts, order)
     biom = parts.biomass.unionByName(parts.volume)
