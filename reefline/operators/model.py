@@ -32,9 +32,12 @@ def model_frames(growth: DataFrame) -> DataFrame:
 
 def cell_statistics(frames: DataFrame, value: str = "rate_std",
                     keys=("dataset", "climate", "genus", "method_family")) -> DataFrame:
-    """AGG-16: n, sum y, sum y^2 per model cell (algebraic: fully map-side combined)."""
+    """AGG-16: n, sum y, sum y^2 per model cell, with the equivalent mean and SD
+    (algebraic aggregates: fully map-side combined).  Mean and SD are the
+    well-conditioned form; the power sum's low digits depend on summation order."""
     y = F.col(value)
-    return frames.groupBy(*keys).agg(F.count(y).alias("n"), F.sum(y).alias("sum_y"), F.sum(y * y).alias("sum_y2"))
+    return frames.groupBy(*keys).agg(F.count(y).alias("n"), F.sum(y).alias("sum_y"), F.sum(y * y).alias("sum_y2"),
+                                     F.avg(y).alias("mean_y"), F.stddev_samp(y).alias("sd_y"))
 
 
 def method_effect(frames: DataFrame, value: str = "rate_std", shrink: float = 1.0) -> DataFrame:
