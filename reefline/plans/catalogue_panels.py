@@ -26,14 +26,14 @@ def _with_frames(body: str) -> str:
 
 
 @query("model_frames", _with_frames(
-    "SELECT dataset, count(*) AS n, count(DISTINCT paper_name) AS n_studies, " + r("sum(rate_std)", "sum_rate")
+    "SELECT dataset, count(*) AS n, count(DISTINCT paper_name) AS n_studies, " + r("avg(rate_std)", "mean_rate")
     + " FROM frames GROUP BY dataset"))
 def model_frames(spark, sf_dir):
-    """ANA-13: the three model inputs (row counts, studies, rate sums per dataset)."""
+    """ANA-13: the three model inputs (rows, studies and mean rate per dataset)."""
     f = MD.model_frames(_growth(spark, sf_dir))
     return rounded(f.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"),
                                             F.count_distinct("paper_name").alias("n_studies"),
-                                            F.sum("rate_std").alias("sum_rate")))
+                                            F.avg("rate_std").alias("mean_rate")))
 
 
 @query("cell_statistics", _with_frames(

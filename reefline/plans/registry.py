@@ -26,17 +26,27 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every double column (last step of a reported query; hides ulp noise).
+NUDGE = 1e-12
+
+
+def round_fixed(c, digits: int = DIGITS):
+    """``round(s + |s| * 1e-12) / 10^d`` with ``s = x * 10^d``, half away from zero.
 
-    ``round(x * 10^d) / 10^d`` (half away from zero on the scaled double) rather
-    than decimal rounding of the exact binary value, so that half-way cases are
-    resolved the same way as in the SQL oracle."""
+    Inputs with few decimals put exact sums and means on half-way points; two
+    engines (or two partitionings) then differ in the last ulp and round to
+    opposite sides.  The relative nudge moves the boundary off those decimal
+    points, so values a few ulps apart round alike.  The SQL twin is ``r``."""
+    scale = F.lit(float(10 ** digits))
+    s = c * scale
+    return F.round(s + F.abs(s) * F.lit(NUDGE), 0) / scale + F.lit(0.0)
+
+
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Round every double column (last step of a reported query; hides ulp noise)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            scale = F.lit(float(10 ** digits))
-            cols.append((F.round(F.col(f.name) * scale, 0) / scale + F.lit(0.0)).alias(f.name))
+            cols.append(round_fixed(F.col(f.name), digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -72,5 +82,6 @@ def rs(expr: str, name: str, sig: int = 10) -> str:
 def r(expr: str, name: str | None = None, digits: int = DIGITS) -> str:
     """SQL twin of ``rounded`` for one expression."""
     scale = f"{float(10 ** digits)!r}::DOUBLE"
-    out = f"(round(CAST({expr} AS DOUBLE) * {scale}) / {scale} + 0.0)"
+    s = f"(CAST({expr} AS DOUBLE) * {scale})"
+    out = f"(round({s} + abs({s}) * {NUDGE!r}) / {scale} + 0.0)"
     return f"{out} AS {name}" if name else out
