@@ -231,9 +231,16 @@ def ess_tail(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
 def summarise_draws(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
     """Summary + convergence per parameter (the default measure set)."""
     keys = list(keys)
-    draws = cut_lineage(draws)
+    # split chains and their normal scores are shared by R-hat (bulk) and bulk ESS
+    split = cut_lineage(split_chains(draws, keys))
+    z = cut_lineage(z_scale(split, keys, value, "z"))
+    bulk = rhat_basic(z, keys, "z", out="rhat_bulk")
+    folded = fold(split, keys, value)
+    tail = rhat_basic(z_scale(folded, keys, "folded", "zf"), keys, "zf", out="rhat_tail")
+    rhat = join_null_safe(bulk, tail, keys).select(*keys, F.greatest("rhat_bulk", "rhat_tail").alias("rhat"))
+    essb = ess_from_acov(chain_autocovariance(z, keys, "z"), keys, "ess_bulk")
     s = draw_summary(draws, keys, value)
-    for extra in (rhat_rank(draws, keys, value), ess_bulk(draws, keys, value), ess_tail(draws, keys, value)):
+    for extra in (rhat, essb, ess_tail(draws, keys, value)):
         s = join_null_safe(s, extra, keys)
     return s
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Largest side (rows) we broadcast on our own initiative.  Beyond it we leave the
 # choice to Catalyst / AQE (sort-merge or shuffled hash join).
 BROADCAST_ROW_LIMIT = 2_000_000
+BROADCAST_BYTE_LIMIT = 256 * 1024 * 1024     # rows x schema width
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -34,14 +35,20 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return out
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
+                       bound_by: DataFrame | None = None) -> DataFrame:
     """Add a broadcast hint only after checking the row count.
 
-    The count is one cheap aggregate job; use this for sides whose size depends
-    on the data (e.g. distinct values).  Fixed-size literal tables are hinted
-    directly by their builders.
+    The count is one cheap aggregate job (footer-only for a plain Parquet scan);
+    ``bound_by`` may name a DataFrame whose row count is an upper bound of
+    ``df``'s (e.g. the base scan of a dimension before a unique-key join).  The
+    byte budget (rows x schema width) caps ``max_rows``.  Fixed-size literal
+    tables are hinted directly by their builders.
     """
-    n = df.count()
+    width = max(8, int(df._jdf.schema().defaultSize()))
+    if width * max_rows > BROADCAST_BYTE_LIMIT:
+        max_rows = BROADCAST_BYTE_LIMIT // width
+    n = (bound_by if bound_by is not None else df).count()
     return F.broadcast(df) if n <= max_rows else df
 
 

@@ -31,14 +31,33 @@ class ReviewParts:
     extension: DataFrame
 
 
+BIOMASS, VOLUME, SURFACE, EXTENSION, UNUSED = "biomass", "volume", "surface", "extension", "none"
+
+
+def branch_of() -> F.Column:
+    """Which branch a row's unit sends it to (the unit classes are disjoint)."""
+    unit = F.col("unit")
+    return (F.when(is_in(unit, fv.BIOMASS_UNITS), F.lit(BIOMASS))
+            .when(F.coalesce(unit == F.lit(fv.VOLUME_UNIT), F.lit(False)), F.lit(VOLUME))
+            .when(is_in(unit, fv.SURFACE_UNITS), F.lit(SURFACE))
+            .when(non_standard(), F.lit(EXTENSION))
+            .otherwise(F.lit(UNUSED)))
+
+
 def prepare(rates: DataFrame) -> DataFrame:
-    """Method families + sentinel fill + dropped methods (SR step 'reshape methodologies')."""
-    return C.classify_methods(rates)
+    """Method families + sentinel fill + dropped methods (SR step 'reshape
+    methodologies'), plus the ``branch`` tag used to partition the table."""
+    return C.classify_methods(rates).withColumn("branch", branch_of())
+
+
+def _in_branch(prepared: DataFrame, branch: str) -> DataFrame:
+    """Rows of one branch; on the materialised table this is a partition filter."""
+    return prepared.where(F.col("branch") == F.lit(branch)) if "branch" in prepared.columns else prepared
 
 
 def harmonise_biomass(prepared: DataFrame) -> DataFrame:
     """ANA-1 without the volume part: biomass-normalised rates in umol g-1 h-1."""
-    df = prepared.where(is_in("unit", fv.BIOMASS_UNITS))
+    df = _in_branch(prepared, BIOMASS).where(is_in("unit", fv.BIOMASS_UNITS))
     df = C.canonicalise(df, fv.BIOMASS_TO_CANONICAL, fv.CANONICAL_BIOMASS)
     df = C.convert_units(df, fv.BIOMASS_RATE_RULES, "rate_std")
     df = C.drop_wet(df)
@@ -52,7 +71,7 @@ def harmonise_biomass(prepared: DataFrame) -> DataFrame:
 
 def harmonise_volume(prepared: DataFrame) -> DataFrame:
     """CLN-7: volume rates through calcite density into the biomass unit."""
-    df = prepared.where(F.coalesce(F.col("unit") == F.lit(fv.VOLUME_UNIT), F.lit(False)))
+    df = _in_branch(prepared, VOLUME).where(F.coalesce(F.col("unit") == F.lit(fv.VOLUME_UNIT), F.lit(False)))
     df = C.convert_units(df, fv.VOLUME_RATE_RULES, "rate_std")
     df = df.withColumn("method_family", F.lit(fv.VOLUME_FAMILY))
     df = C.patch_values(df, fv.VOLUME_PATCHES)
@@ -61,7 +80,7 @@ def harmonise_volume(prepared: DataFrame) -> DataFrame:
 
 def harmonise_surface(prepared: DataFrame, order: list[str]) -> DataFrame:
     """ANA-2: surface-normalised rates in mg cm-2 day-1."""
-    df = prepared.where(is_in("unit", fv.SURFACE_UNITS) & F.col("rate").isNotNull()
+    df = _in_branch(prepared, SURFACE).where(is_in("unit", fv.SURFACE_UNITS) & F.col("rate").isNotNull()
                         & not_contains("species", '"CCA"') & not_contains("species", "CCA"))
     df = C.canonicalise(df, fv.SURFACE_TO_CANONICAL, fv.CANONICAL_SURFACE)
     target, values = fv.SURFACE_POSITIONAL
@@ -75,12 +94,16 @@ def harmonise_surface(prepared: DataFrame, order: list[str]) -> DataFrame:
     return C.add_taxon(df)
 
 
+def non_standard() -> F.Column:
+    """SET-6: in none of the earlier unit classes and not unusable."""
+    return (not_in("unit", fv.BIOMASS_UNITS + fv.SURFACE_UNITS + [fv.VOLUME_UNIT])
+            & not_contains("unit", "%")
+            & not_in("unit", fv.NON_STANDARD_EXCLUDED)
+            & not_in("unit", fv.NON_STANDARD_ALREADY_USED))
+
+
 def non_standard_filter(df: DataFrame) -> DataFrame:
-    """SET-6: rows in none of the earlier unit classes and not unusable."""
-    return df.where(not_in("unit", fv.BIOMASS_UNITS + fv.SURFACE_UNITS + [fv.VOLUME_UNIT])
-                    & not_contains("unit", "%")
-                    & not_in("unit", fv.NON_STANDARD_EXCLUDED)
-                    & not_in("unit", fv.NON_STANDARD_ALREADY_USED))
+    return _in_branch(df, EXTENSION).where(non_standard())
 
 
 def harmonise_extension(prepared: DataFrame) -> DataFrame:
@@ -133,13 +156,15 @@ def _unified(df: DataFrame, label: str) -> DataFrame:
 
 
 def prepare_materialized(rates: DataFrame) -> DataFrame:
-    """``prepare`` written once to the shared checkpoint folder.
+    """``prepare`` written once as a table partitioned by ``branch`` in the shared
+    checkpoint folder.
 
     Every branch, the audit and the rescue path read the prepared table; without
-    this each would re-run the upstream scan and joins.  A reliable checkpoint
-    (not a local one) keeps the result readable after executor loss.
+    this each would re-run the upstream scan and joins.  Partitioning by branch
+    turns each branch's unit filter into partition pruning, so the branches
+    together read the table about once.  The files survive executor loss.
     """
-    return cut_lineage(prepare(rates))
+    return cut_lineage(prepare(rates), partition_by=["branch"])
 
 
 def growth(rates: DataFrame, order: list[str], extra: DataFrame | None = None,

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,7 +67,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder and
+    read it back.
+
+    One compute pass (``Dataset.checkpoint`` computes an unpersisted input
+    twice), and the result is a columnar scan that keeps column pruning and
+    filter pushdown for every later reader.  The files live on the cluster's
+    shared storage, so losing an executor loses nothing.
+    """
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/reefline-tables/{uuid.uuid4().hex}"
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    out = spark.read.parquet(path)
+    return out.select(*df.columns)   # partition columns come back last; keep the order

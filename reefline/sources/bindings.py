@@ -8,8 +8,9 @@ queries use as a CTE.
 
 Join strategy: the fact side (lineitem / orders / events) is never broadcast;
 nation and region have a fixed size (25 / 5 rows) and are broadcast; part,
-supplier and customer grow with the data, so the planner decides (size-based
-broadcast below the threshold, sort-merge above; AQE re-plans at runtime).
+supplier and customer grow with the data, so they are broadcast only after an
+exact row count proves them small (``dimension``), and joined by shuffle
+otherwise.
 Binding vocabularies are literal maps evaluated in codegen, not joins.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reefline.functions.lookup import lookup
+from reefline.operators.joins import broadcast_if_small
 from reefline.sources.tables import driver_table
 from reefline.sqltext import sql_case, sql_in_list, sql_lit
 
@@ -80,6 +82,13 @@ LINEITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_qua
                   "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
+def dimension(df: DataFrame, bound_by: DataFrame | None = None) -> DataFrame:
+    """A dimension that grows with the data: broadcast only after an exact row
+    count proves it small (a footer-only count for a plain Parquet scan);
+    beyond the bound the planner's shuffle join is used."""
+    return broadcast_if_small(df, bound_by=bound_by)
+
+
 def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = driver_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
     region = driver_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
@@ -94,9 +103,11 @@ def study_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     total order used wherever row order matters (positional patches).
     """
     li = driver_table(spark, sf_dir, "lineitem", LINEITEM_ORDER)
-    part = driver_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type"])
+    part = dimension(driver_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type"]))
     sup = driver_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name", "s_nationkey"])
-    sup = sup.join(_geo(spark, sf_dir), sup.s_nationkey == F.col("n_nationkey")).select("s_suppkey", "s_name", "r_name")
+    # nation keys are unique, so the join cannot add rows: the supplier count bounds it
+    sup = dimension(sup.join(_geo(spark, sf_dir), sup.s_nationkey == F.col("n_nationkey"))
+                    .select("s_suppkey", "s_name", "r_name"), bound_by=sup)
     df = li.join(part, li.l_partkey == part.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
     incomplete = F.coalesce(F.col("s_suppkey").isin(INCOMPLETE_SUPPLIERS), F.lit(False))
     return df.select(
@@ -136,8 +147,8 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2: quadrat survey rows (year, site, habitat, transect, quadrat, group, cover)."""
     li = driver_table(spark, sf_dir, "lineitem", ["l_partkey", "l_suppkey", "l_shipdate", "l_returnflag",
                                                   "l_linestatus", "l_linenumber", "l_quantity"])
-    part = driver_table(spark, sf_dir, "part", ["p_partkey", "p_type"])
-    sup = driver_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
+    part = dimension(driver_table(spark, sf_dir, "part", ["p_partkey", "p_type"]))
+    sup = dimension(driver_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"]))
     df = li.join(part, li.l_partkey == part.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
     return df.select(
         F.year("l_shipdate").cast("bigint").alias("year"),
@@ -163,7 +174,7 @@ def reference_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     """B3 as two 'sheets': finished orders, and the others.  Species is missing for low priority."""
     orders = driver_table(spark, sf_dir, "orders", ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
                                                     "o_orderpriority"])
-    cust = driver_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
+    cust = dimension(driver_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"]))
     df = orders.join(cust, orders.o_custkey == cust.c_custkey).select(
         "o_orderstatus",
         F.year("o_orderdate").cast("double").alias("pubyear"),
