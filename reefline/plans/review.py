@@ -78,13 +78,15 @@ def harmonise_volume(prepared: DataFrame) -> DataFrame:
     return C.add_taxon(df)
 
 
-def harmonise_surface(prepared: DataFrame, order: list[str]) -> DataFrame:
-    """ANA-2: surface-normalised rates in mg cm-2 day-1."""
+def harmonise_surface(prepared: DataFrame, order: list[str] | None) -> DataFrame:
+    """ANA-2: surface-normalised rates in mg cm-2 day-1.  ``order=None`` skips the
+    positional patch (it needs a row order; streams have none)."""
     df = _in_branch(prepared, SURFACE).where(is_in("unit", fv.SURFACE_UNITS) & F.col("rate").isNotNull()
                         & not_contains("species", '"CCA"') & not_contains("species", "CCA"))
     df = C.canonicalise(df, fv.SURFACE_TO_CANONICAL, fv.CANONICAL_SURFACE)
-    target, values = fv.SURFACE_POSITIONAL
-    df = C.patch_positional(df, target, values, order)
+    if order is not None:
+        target, values = fv.SURFACE_POSITIONAL
+        df = C.patch_positional(df, target, values, order)
     df = C.patch_values(df, fv.SURFACE_PRE_PATCHES)
     df = C.convert_units(df, fv.SURFACE_RATE_RULES, "rate_std")
     df = C.exclude_keys(df, fv.SURFACE_EXCLUDED)
