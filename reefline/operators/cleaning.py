@@ -68,16 +68,22 @@ def patch_values(df: DataFrame, patches: Iterable[tuple[str, object, Sequence[st
                  key: str = "paper_name") -> DataFrame:
     """CLN-11: keyed scalar patches ``(column, value, keys)`` applied in order.
 
-    The patch list has a fixed size, so each patch is a CASE on a literal key
-    set: no join, no shuffle.
+    The patch list has a fixed size, so all patches of a column fold into one
+    CASE on literal key sets (later patches first): no join, no shuffle.  The
+    key column itself is never patched, so folding keeps the sequential result.
     """
+    by_col: dict[str, list] = {}
     for column, value, keys in patches:
-        cond = is_in(key, keys)
+        by_col.setdefault(column, []).append((value, keys))
+    out = {}
+    for column, lst in by_col.items():
         dtype = df.schema[column].dataType if column in df.columns else None
-        lit = F.lit(value) if dtype is None else F.lit(value).cast(dtype)
-        df = df.withColumn(column, F.when(cond, lit).otherwise(F.col(column)) if column in df.columns else
-                           F.when(cond, F.lit(value)))
-    return df
+        expr = None
+        for value, keys in reversed(lst):            # the last patch for a key wins
+            lit = F.lit(value) if dtype is None else F.lit(value).cast(dtype)
+            expr = F.when(is_in(key, keys), lit) if expr is None else expr.when(is_in(key, keys), lit)
+        out[column] = expr.otherwise(F.col(column)) if dtype is not None else expr
+    return df.withColumns(out)
 
 
 def patch_table(spark: SparkSession, patches: Iterable[tuple[str, object, Sequence[str]]]) -> DataFrame:

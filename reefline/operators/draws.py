@@ -103,12 +103,13 @@ def rhat_split(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value
     return rhat_basic(split_chains(draws, keys), keys, value)
 
 
-def rhat_rank(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
+def rhat_rank(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
+              strategy: str = "auto") -> DataFrame:
     """AGG-14: rank-normalised split R-hat = max(bulk, tail)."""
     keys = list(keys)
     split = split_chains(draws, keys)
     bulk = rhat_basic(z_scale(split, keys, value, "z"), keys, "z", out="rhat_bulk")
-    folded = fold(split, keys, value)
+    folded = fold(split, keys, value, strategy=strategy)
     tail = rhat_basic(z_scale(folded, keys, "folded", "zf"), keys, "zf", out="rhat_tail")
     j = join_null_safe(bulk, tail, keys)
     return j.select(*keys, F.greatest("rhat_bulk", "rhat_tail").alias("rhat"))
@@ -228,19 +229,20 @@ def ess_tail(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
     return result.select(*keys, F.least(*[F.col(f"_e{i}") for i in range(len(probs))]).alias("ess_tail"))
 
 
-def summarise_draws(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
+def summarise_draws(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
+                    strategy: str = "auto") -> DataFrame:
     """Summary + convergence per parameter (the default measure set)."""
     keys = list(keys)
     # split chains and their normal scores are shared by R-hat (bulk) and bulk ESS
     split = cut_lineage(split_chains(draws, keys))
     z = cut_lineage(z_scale(split, keys, value, "z"))
     bulk = rhat_basic(z, keys, "z", out="rhat_bulk")
-    folded = fold(split, keys, value)
+    folded = fold(split, keys, value, strategy=strategy)
     tail = rhat_basic(z_scale(folded, keys, "folded", "zf"), keys, "zf", out="rhat_tail")
     rhat = join_null_safe(bulk, tail, keys).select(*keys, F.greatest("rhat_bulk", "rhat_tail").alias("rhat"))
     essb = ess_from_acov(chain_autocovariance(z, keys, "z"), keys, "ess_bulk")
-    s = draw_summary(draws, keys, value)
-    for extra in (rhat, essb, ess_tail(draws, keys, value)):
+    s = draw_summary(draws, keys, value, strategy)
+    for extra in (rhat, essb, ess_tail(draws, keys, value, strategy=strategy)):
         s = join_null_safe(s, extra, keys)
     return s
 

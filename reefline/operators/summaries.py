@@ -85,6 +85,16 @@ def choose_strategy(df: DataFrame, keys: Sequence[str], value: str, strategy: st
     return "map" if max_distinct_per_group(df, keys, value) <= MAP_DISTINCT_LIMIT else "ranked"
 
 
+def strategy_bounded_by(base: DataFrame) -> str:
+    """``map`` when ``base`` has at most ``MAP_DISTINCT_LIMIT`` rows, else ``auto``.
+
+    Valid for every input derived from ``base`` by filters, projections and
+    aggregations (they cannot add rows, so no group can hold more distinct
+    values).  On a materialised Parquet table the count reads footers only.
+    """
+    return "map" if base.count() <= MAP_DISTINCT_LIMIT else "auto"
+
+
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                     names: Sequence[str] | None = None, strategy: str = "auto",
                     accuracy: int = 10000) -> DataFrame:

@@ -13,13 +13,20 @@ from reefline.plans import effects as EF
 from reefline.plans.registry import query, r, rounded
 from reefline.plans.sql_helpers import quantiles_sql
 from reefline.session import cut_lineage
+from reefline.operators import summaries as S
 from reefline.sources import bindings as B
+from reefline.sources.tables import driver_table
 
 
 def _draws(spark, sf_dir):
     """The draws binding, materialised once: every summary reads it several times."""
     return cut_lineage(B.draws(spark, sf_dir))
 
+
+def _how(spark, sf_dir):
+    """Quantile strategy for everything derived from the events table (no step adds rows)."""
+    return S.strategy_bounded_by(driver_table(spark, sf_dir, "events", ["event_id"]))
+
 K = ["dataset", "parameter"]
 _DRAWS = "WITH draws AS (" + B.draws_sql() + ")\n"
 _DRAWS_C = "WITH draws AS (" + B.draws_sql() + "),\n"
@@ -43,7 +50,7 @@ STATS = ["mean", "median", "sd", "mad", "q5", "q95"]
        + " FROM (" + _summary_sql() + ")")
 def draw_summary(spark, sf_dir):
     """AGG-13: mean, median, sd, mad, q5, q95 per parameter."""
-    return rounded(D.draw_summary(_draws(spark, sf_dir)))
+    return rounded(D.draw_summary(_draws(spark, sf_dir), strategy=_how(spark, sf_dir)))
 
 
 _SPLIT = ("split AS (SELECT d.dataset, d.parameter, d.iteration, d.value, d.chain * 2 + "
@@ -82,7 +89,7 @@ _FOLD = ("folded AS (SELECT s.*, abs(s.value - m.med) AS folded FROM split s JOI
        + ") b JOIN (" + _rhat_sql(_z_sql("folded", "folded", "zf"), "zf", "rhat_tail") + ") t USING (dataset, parameter)")
 def rhat_rank(spark, sf_dir):
     """AGG-14: rank-normalised split R-hat (max of bulk and folded-tail)."""
-    return rounded(D.rhat_rank(_draws(spark, sf_dir)))
+    return rounded(D.rhat_rank(_draws(spark, sf_dir), strategy=_how(spark, sf_dir)))
 
 
 @query("draw_ess")
@@ -90,7 +97,7 @@ def draw_ess(spark, sf_dir):
     """AGG-15: bulk and tail effective sample sizes (FFT autocovariance per chain)."""
     d = _draws(spark, sf_dir)
     from reefline.operators.joins import join_null_safe
-    return rounded(join_null_safe(D.ess_bulk(d), D.ess_tail(d), K), 3)
+    return rounded(join_null_safe(D.ess_bulk(d), D.ess_tail(d, strategy=_how(spark, sf_dir)), K), 3)
 
 
 def _wide(spark, sf_dir):
@@ -116,13 +123,13 @@ def param_long(spark, sf_dir):
        + _summary_sql() + ") s ON s.dataset = a.dataset AND s.parameter = b.parameter")
 def complete_pairs(spark, sf_dir):
     """JOI-6: the draw summary completed to every (dataset, parameter) pair."""
-    return rounded(complete(D.draw_summary(_draws(spark, sf_dir)), "dataset", "parameter"))
+    return rounded(complete(D.draw_summary(_draws(spark, sf_dir), strategy=_how(spark, sf_dir)), "dataset", "parameter"))
 
 
 @query("effect_summary")
 def effect_summary(spark, sf_dir):
     """ANA-14: per-method summary with R-hat and ESS, filler rows and mean +/- sd."""
-    return rounded(EF.effect_summary(_draws(spark, sf_dir)), 4)
+    return rounded(EF.effect_summary(_draws(spark, sf_dir), strategy=_how(spark, sf_dir)), 4)
 
 
 EFFECT_DRAWS = 100_000
@@ -131,5 +138,5 @@ EFFECT_DRAWS = 100_000
 @query("effect_samples")
 def effect_samples(spark, sf_dir):
     """ANA-15 / SRC-8: 100,000 normal draws per (dataset, method), completed."""
-    s = D.draw_summary(_draws(spark, sf_dir)).withColumn("methods", F.col("parameter"))
+    s = D.draw_summary(_draws(spark, sf_dir), strategy=_how(spark, sf_dir)).withColumn("methods", F.col("parameter"))
     return rounded(EF.effect_samples(s, EFFECT_DRAWS))

@@ -16,6 +16,7 @@ from reefline.plans.sql_helpers import quantiles_sql
 from reefline.sources import bindings as B
 from reefline.session import cut_lineage
 from reefline.sources.literals import cover_grid
+from reefline.sources.tables import driver_table
 from reefline.sqltext import sql_in_list, sql_str
 
 ORDER = B.LINEITEM_ORDER
@@ -62,10 +63,21 @@ QUANTILE_SUMMARY_SQL = review_with(
     f"SELECT 'Coral', * FROM ({_qoq_sql('niklas', 'genus', 'conx', 'All Corals')}))")
 
 
+def _strategy(spark, sf_dir, growth):
+    """One bound for every quantile of a query: the materialised growth table and
+    the orders table (the reference rates derive from orders by a unique-key join,
+    distinct and filters) bound all inputs."""
+    orders = driver_table(spark, sf_dir, "orders", ["o_orderkey"])
+    a, b = S.strategy_bounded_by(growth), S.strategy_bounded_by(orders)
+    return "map" if a == b == "map" else "auto"
+
+
 @query("quantile_summary", QUANTILE_SUMMARY_SQL)
 def quantile_summary(spark, sf_dir):
     """ANA-6 (flagship): per-genus quantiles and the quantile-of-quantiles rows."""
-    return rounded(FG.quantile_summary(_data_cca(spark, sf_dir), _niklas(spark, sf_dir))
+    g = _growth(spark, sf_dir)
+    how = _strategy(spark, sf_dir, g)
+    return rounded(FG.quantile_summary(RV.cca_surface_g_cm2_year(g), _niklas(spark, sf_dir), how)
                    .select("component", "genus", *QN))
 
 
@@ -104,8 +116,10 @@ GQ = [S.qname(p) for p in fv.GLOBAL_QUANTILE_PROBS]
     f"UNION ALL SELECT 'Coral', {_rq(GQ)} FROM ({quantiles_sql('niklas', [], 'conx', fv.GLOBAL_QUANTILE_PROBS, GQ)})"))
 def global_quantiles(spark, sf_dir):
     """AGG-4: the 7-probability quantile vector of each component."""
-    c = S.group_quantiles(_data_cca(spark, sf_dir), [], "rate_std", fv.GLOBAL_QUANTILE_PROBS, GQ)
-    k = S.group_quantiles(_niklas(spark, sf_dir), [], "conx", fv.GLOBAL_QUANTILE_PROBS, GQ)
+    g = _growth(spark, sf_dir)
+    how = _strategy(spark, sf_dir, g)
+    c = S.group_quantiles(RV.cca_surface_g_cm2_year(g), [], "rate_std", fv.GLOBAL_QUANTILE_PROBS, GQ, how)
+    k = S.group_quantiles(_niklas(spark, sf_dir), [], "conx", fv.GLOBAL_QUANTILE_PROBS, GQ, how)
     return rounded(c.select(F.lit("CCA").alias("component"), *GQ)
                    .unionByName(k.select(F.lit("Coral").alias("component"), *GQ)))
 
@@ -212,6 +226,11 @@ def _curve_sql() -> list[tuple[str, str]]:
     return c + s
 
 
+def _mixture_rates(spark, sf_dir):
+    g = _growth(spark, sf_dir)
+    return FG.mixture_rates(RV.cca_surface_g_cm2_year(g), _niklas(spark, sf_dir), _strategy(spark, sf_dir, g))
+
+
 _GRID = "(SELECT range * 0.01::DOUBLE AS cca_cover, 100.0::DOUBLE - range * 0.01::DOUBLE AS coral_cover FROM range(10001))"
 _MIX_SELECT = ", ".join(f"({e}) AS {n}" for n, e in _curve_sql())
 _MIX_SQL = f"SELECT cca_cover, coral_cover, {_MIX_SELECT} FROM {_GRID} g, ({_rates_sql()}) rt"
@@ -222,8 +241,7 @@ _MIX_SQL = f"SELECT cca_cover, coral_cover, {_MIX_SELECT} FROM {_GRID} g, ({_rat
     + f" FROM ({_MIX_SQL})"))
 def mixture_curves_q(spark, sf_dir):
     """ANA-7: component curves and percent shares on the 10,001-point cover grid."""
-    q = FG.mixture_rates(_data_cca(spark, sf_dir), _niklas(spark, sf_dir))
-    return rounded(mixture_curves(cover_grid(spark), q))
+    return rounded(mixture_curves(cover_grid(spark), _mixture_rates(spark, sf_dir)))
 
 
 @query("crossover_thresholds", review_with(
@@ -233,8 +251,7 @@ def mixture_curves_q(spark, sf_dir):
     f"FROM ({_MIX_SQL})"))
 def crossover_thresholds_q(spark, sf_dir):
     """ANA-8: coral cover at which the coral share first rounds up to 50 % (3 growth forms)."""
-    q = FG.mixture_rates(_data_cca(spark, sf_dir), _niklas(spark, sf_dir))
-    return rounded(crossover_thresholds(cover_grid(spark), q))
+    return rounded(crossover_thresholds(cover_grid(spark), _mixture_rates(spark, sf_dir)))
 
 
 def _sweep_sql() -> str:
@@ -260,5 +277,4 @@ def _sweep_sql() -> str:
     + f" FROM ({_sweep_sql()})"))
 def ratio_sweep_q(spark, sf_dir):
     """ANA-9: thresholds for 400 rugosity ratios over the 4,000,400-cell sweep."""
-    q = FG.mixture_rates(_data_cca(spark, sf_dir), _niklas(spark, sf_dir))
-    return rounded(ratio_sweep(spark, q))
+    return rounded(ratio_sweep(spark, _mixture_rates(spark, sf_dir)))

@@ -8,7 +8,7 @@ from reefline import fixed_values as fv
 from reefline.operators import survey as SV
 from reefline.plans import figures as FG
 from reefline.plans import survey_plan as SP
-from reefline.plans.catalogue_summaries import _data_cca, _niklas, _rates_sql
+from reefline.plans.catalogue_summaries import _mixture_rates, _rates_sql
 from reefline.plans.registry import query, r, rounded
 from reefline.plans.review_sql import review_with
 from reefline.sources import bindings as B
@@ -41,7 +41,7 @@ def _survey_sql(body: str) -> str:
 
 
 def _res(spark, sf_dir):
-    q = FG.mixture_rates(_data_cca(spark, sf_dir), _niklas(spark, sf_dir))
+    q = _mixture_rates(spark, sf_dir)
     return SP.survey_rollup(B.survey(spark, sf_dir), B.survey_complexity(spark), q.cca, q.coral)
 
 

@@ -12,10 +12,10 @@ from reefline.operators.joins import complete
 SUMMARY_COLS = ["mean", "median", "sd", "mad", "q5", "q95", "rhat", "ess_bulk", "ess_tail"]
 
 
-def effect_summary(draws: DataFrame, variable: str = "r_Method_family") -> DataFrame:
+def effect_summary(draws: DataFrame, variable: str = "r_Method_family", strategy: str = "auto") -> DataFrame:
     """ANA-14: per (dataset, method) draw summary with convergence, filler rows for
     methods missing from a dataset, and the ``mean +/- sd`` segment."""
-    s = D.summarise_draws(draws)
+    s = D.summarise_draws(draws, strategy=strategy)
     s = s.withColumns({"condition": F.col("parameter"), "variable": F.lit(variable),
                        "methods": chartr("parameter", ".", " ")}).drop("parameter")
     s = complete(s, "dataset", "methods", fill={"variable": variable})
