@@ -44,7 +44,7 @@ def main() -> None:
     from reefline.plans.catalogue import QUERIES
     from reefline.session import get_session
 
-    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app_name="reefline-bench")
+    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)), app_name="reefline-bench")
     timings: dict[str, float] = {}
     for name in names:
         fn = QUERIES[name]

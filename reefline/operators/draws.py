@@ -208,6 +208,23 @@ def ess_from_acov(acov: DataFrame, keys: Sequence[str], out: str = "ess", chain:
     return j.groupBy(*keys).applyInPandas(per_param, schema)
 
 
+def ess_many(split: DataFrame, keys: Sequence[str], series: dict[str, F.Column]) -> DataFrame:
+    """ESS of several series of the same split chains in one pass: the series are
+    stacked as an extra key, so one per-chain and one per-parameter Python stage
+    serve all of them.  Returns ``keys`` + one column per series name."""
+    keys = list(keys)
+    packed = F.array(*[F.struct(F.lit(n).alias("_series"), e.cast("double").alias("_x")) for n, e in series.items()])
+    stacked = split.select(*keys, "split_chain", "iteration", F.explode(packed).alias("_s")).select(
+        *keys, "split_chain", "iteration", "_s._series", "_s._x")
+    ess = ess_from_acov(chain_autocovariance(stacked, keys + ["_series"], "_x"), keys + ["_series"], "_ess")
+    return ess.groupBy(*keys).agg(*[F.max(F.when(F.col("_series") == n, F.col("_ess"))).alias(n) for n in series])
+
+
+def _tail_quantiles(draws: DataFrame, keys: list[str], value: str, probs: Sequence[float], strategy: str):
+    names = [f"_q{i}" for i in range(len(probs))]
+    return group_quantiles(draws, keys, value, list(probs), names, strategy), names
+
+
 def ess_bulk(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
     """AGG-15: bulk ESS = ESS of the normal scores of the split chains."""
     split = z_scale(split_chains(draws, keys), keys, value, "z")
@@ -218,31 +235,29 @@ def ess_tail(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
              probs: Sequence[float] = (0.05, 0.95), strategy: str = "auto") -> DataFrame:
     """AGG-15: tail ESS = min over the 5 % and 95 % quantile indicators."""
     keys = list(keys)
-    names = [f"_q{i}" for i in range(len(probs))]
-    q = group_quantiles(draws, keys, value, list(probs), names, strategy)
+    q, names = _tail_quantiles(draws, keys, value, probs, strategy)
     d = split_chains(join_null_safe(draws, q, keys), keys)
-    result = None
-    for i, name in enumerate(names):
-        ind = d.withColumn("_ind", (F.col(value) <= F.col(name)).cast("double"))
-        e = ess_from_acov(chain_autocovariance(ind, keys, "_ind"), keys, f"_e{i}")
-        result = e if result is None else join_null_safe(result, e, keys)
-    return result.select(*keys, F.least(*[F.col(f"_e{i}") for i in range(len(probs))]).alias("ess_tail"))
+    e = ess_many(d, keys, {f"_e{i}": F.col(value) <= F.col(n) for i, n in enumerate(names)})
+    return e.select(*keys, F.least(*[F.col(f"_e{i}") for i in range(len(names))]).alias("ess_tail"))
 
 
 def summarise_draws(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
                     strategy: str = "auto") -> DataFrame:
     """Summary + convergence per parameter (the default measure set)."""
     keys = list(keys)
-    # split chains and their normal scores are shared by R-hat (bulk) and bulk ESS
-    split = cut_lineage(split_chains(draws, keys))
+    # split chains and their normal scores are shared by R-hat (bulk) and all ESS
+    q, names = _tail_quantiles(draws, keys, value, (0.05, 0.95), strategy)
+    split = cut_lineage(split_chains(join_null_safe(draws, q, keys), keys))
     z = cut_lineage(z_scale(split, keys, value, "z"))
     bulk = rhat_basic(z, keys, "z", out="rhat_bulk")
     folded = fold(split, keys, value, strategy=strategy)
     tail = rhat_basic(z_scale(folded, keys, "folded", "zf"), keys, "zf", out="rhat_tail")
     rhat = join_null_safe(bulk, tail, keys).select(*keys, F.greatest("rhat_bulk", "rhat_tail").alias("rhat"))
-    essb = ess_from_acov(chain_autocovariance(z, keys, "z"), keys, "ess_bulk")
+    ess = ess_many(z, keys, {"ess_bulk": F.col("z"), "_e0": F.col(value) <= F.col(names[0]),
+                             "_e1": F.col(value) <= F.col(names[1])})
+    ess = ess.select(*keys, "ess_bulk", F.least("_e0", "_e1").alias("ess_tail"))
     s = draw_summary(draws, keys, value, strategy)
-    for extra in (rhat, essb, ess_tail(draws, keys, value, strategy=strategy)):
+    for extra in (rhat, ess):
         s = join_null_safe(s, extra, keys)
     return s
 
