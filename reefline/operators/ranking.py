@@ -9,7 +9,7 @@ positions are computed in stages that each spread work:
 2. an approximate, fixed-size sketch per group (``percentile_approx``) gives
    bucket boundaries of roughly equal depth;
 3. per-(group, bucket) counts are tiny; their running sum gives the offset of
-   each bucket;
+   each bucket (a group uses as many buckets as its distinct count needs);
 4. a window per (group, bucket) orders only that bucket's distinct values.
 
 Because buckets are defined by value boundaries, the result is exact whatever
@@ -26,17 +26,33 @@ from pyspark.sql import functions as F
 
 from reefline.operators.joins import join_null_safe
 
-DEFAULT_BUCKETS = 64
+FINE_BUCKETS = 256          # resolution of the sketch's boundaries
+ROWS_PER_BUCKET = 1_000_000  # distinct values one window partition may hold
 DEFAULT_ACCURACY = 2000
 
 
+def count_below(v, bounds, n: int, lo: int = 0, hi: int | None = None):
+    """Number of the ``n`` ascending ``bounds`` below ``v``, as a binary search
+    written out as nested CASE expressions (log2(n) compiled comparisons per
+    row; a higher-order ``filter`` would be interpreted once per element)."""
+    hi = n if hi is None else hi
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(bounds[mid] < v, count_below(v, bounds, n, mid + 1, hi)).otherwise(count_below(v, bounds, n, lo, mid))
+
+
 def value_positions(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None,
-                    buckets: int = DEFAULT_BUCKETS, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                    buckets: int = FINE_BUCKETS, accuracy: int = DEFAULT_ACCURACY,
+                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Distinct ``keys + [value]`` with ``_cnt`` (rows holding the value), ``_lt``
     (rows of the group with a smaller value) and ``_n`` (rows in the group).
 
     Rows with a NULL value are ignored; NULL keys form their own group.
-    ``weight`` (optional) is a per-row multiplicity column.
+    ``weight`` (optional) is a per-row multiplicity column.  Each group uses
+    ``ceil(distinct values / rows_per_bucket)`` buckets (at most ``buckets``),
+    decided at run time from its own count: a small group is one window
+    partition, a hot group is split into many.
     """
     keys = list(keys)
     w = F.col(weight) if weight else F.lit(1)
@@ -45,13 +61,15 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, weight: str
     probs = [i / buckets for i in range(1, buckets)]
     sketch = d.groupBy(*keys).agg(
         F.percentile_approx(F.col(value), probs, accuracy).alias("_bounds"),
-        F.sum("_cnt").alias("_n"))
+        F.sum("_cnt").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    sketch = sketch.withColumn("_k", F.least(F.lit(buckets), F.greatest(
+        F.lit(1), F.ceil(F.col("_d") / F.lit(float(rows_per_bucket))))).cast("int")).drop("_d")
     if keys:
         d = join_null_safe(d, sketch, keys)
     else:   # global: the sketch is one row, read as scalar subqueries (no join)
-        d = d.withColumns({"_bounds": sketch.select("_bounds").scalar(), "_n": sketch.select("_n").scalar()})
-    v = F.col(value)
-    d = d.withColumn("_b", F.size(F.filter("_bounds", lambda b: b < v))).drop("_bounds")
+        d = d.withColumns({c: sketch.select(c).scalar() for c in ("_bounds", "_n", "_k")})
+    fine = count_below(F.col(value), F.col("_bounds"), buckets - 1)
+    d = d.withColumn("_b", F.floor(fine * F.col("_k") / F.lit(buckets)).cast("int")).drop("_bounds", "_k")
     per_bucket = d.groupBy(*keys, "_b").agg(F.sum("_cnt").alias("_bc"))
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = per_bucket.withColumn("_off", F.coalesce(F.sum("_bc").over(wb), F.lit(0))).drop("_bc")
@@ -62,7 +80,7 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, weight: str
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank",
-                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 buckets: int = FINE_BUCKETS) -> DataFrame:
     """Attach the 1-based average rank of ``value`` within ``keys`` (ties share the mean rank)."""
     keys = list(keys)
     pos = value_positions(df.select(*keys, value), keys, value, buckets=buckets)
@@ -71,7 +89,7 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "ran
 
 
 def row_position(df: DataFrame, keys: Sequence[str], order: str, out: str = "position",
-                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 buckets: int = FINE_BUCKETS) -> DataFrame:
     """1-based position by ``order`` within ``keys`` for an order column unique per group."""
     keys = list(keys)
     pos = value_positions(df.select(*keys, order), keys, order, buckets=buckets)

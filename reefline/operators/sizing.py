@@ -1,0 +1,22 @@
+"""Size bounds taken from the query plan (no job runs)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+# File scans are sized by their compressed bytes; assume up to 20x expansion.
+COMPRESSION_HEADROOM = 20.0
+
+
+def estimated_rows(df: DataFrame) -> float:
+    """Catalyst's size estimate divided by the row width.
+
+    Without cost-based optimisation, filters and aggregates do not shrink the
+    estimate, so it errs high; ``inf`` when no estimate is available.
+    """
+    try:
+        size = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        width = max(8, int(df._jdf.schema().defaultSize()))
+    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. remote session)
+        return float("inf")
+    return size * COMPRESSION_HEADROOM / width

@@ -27,10 +27,9 @@ from pyspark.sql import functions as F
 
 from reefline.operators.joins import complete, join_null_safe
 from reefline.operators.ranking import quantiles_from_positions, value_positions
+from reefline.operators.sizing import estimated_rows
 
 MAP_DISTINCT_LIMIT = 1_000_000
-# File scans are sized by their compressed bytes; assume up to 20x expansion.
-COMPRESSION_HEADROOM = 20.0
 
 
 def qname(p: float) -> str:
@@ -59,20 +58,6 @@ def max_distinct_per_group(df: DataFrame, keys: Sequence[str], value: str) -> in
     return int(row["m"] or 0)
 
 
-def estimated_rows(df: DataFrame) -> float:
-    """Catalyst's size estimate divided by the row width (no job runs).
-
-    Estimates only shrink with filters under cost-based optimisation, so this
-    is an upper bound in practice; ``inf`` when no estimate is available.
-    """
-    try:
-        size = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        width = max(8, int(df._jdf.schema().defaultSize()))
-    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. remote session)
-        return float("inf")
-    return size * COMPRESSION_HEADROOM / width
-
-
 def choose_strategy(df: DataFrame, keys: Sequence[str], value: str, strategy: str) -> str:
     """``map`` when a group provably holds few distinct values, else ``ranked``.
 
