@@ -70,14 +70,21 @@ def anti_join(df: DataFrame, keys_df: DataFrame, on: str | Sequence[str]) -> Dat
 def complete(df: DataFrame, a: str, b: str, fill: dict | None = None, small_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """All combinations of the values seen in ``a`` and ``b``; missing cells filled.
 
-    The product of the two distinct value lists is the feature itself.  The
-    smaller list is broadcast after a size check; otherwise Spark's cartesian
-    product (distributed, no single task) is used.  Rows already present keep
-    their values (and their multiplicity).
+    The product of the two distinct value lists is the feature itself.  The list
+    with fewer values (count-checked against ``small_rows``) is gathered into
+    one array by a scalar subquery - NULL kept as a level - and the other list
+    explodes it, so no join is planned.  If both lists exceed the bound the
+    product would exceed ``small_rows ** 2`` cells and an error is raised.
+    Rows already present keep their values (and their multiplicity).
     """
     da = df.select(a).distinct()
     db = df.select(b).distinct()
-    grid = da.crossJoin(broadcast_if_small(db, small_rows))
+    na, nb = da.count(), db.count()
+    if min(na, nb) > small_rows:
+        raise ValueError(f"completion of {na} x {nb} values exceeds {small_rows}^2 cells")
+    big, small, big_col, small_col = (da, db, a, b) if nb <= na else (db, da, b, a)
+    values = small.agg(F.collect_list(F.struct(F.col(small_col).alias("v"))).alias("_vs")).select("_vs").scalar()
+    grid = big.select(big_col, F.explode(values).alias("_v")).select(big_col, F.col("_v.v").alias(small_col))
     keys = [a, b]
     present = df.select(*keys).distinct()
     missing = join_null_safe(grid, present, keys, "left_anti")
