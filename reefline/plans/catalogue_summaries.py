@@ -37,6 +37,12 @@ def _niklas(spark, sf_dir):
     return FG.reference_rates(*B.reference_parts(spark, sf_dir))
 
 
+def _lineitem_bound(spark, sf_dir):
+    """Quantile strategy for inputs derived from the rates binding: lineitem joined
+    to unique-key dimensions, then filtered, so lineitem's (footer) count bounds it."""
+    return S.strategy_bounded_by(driver_table(spark, sf_dir, "lineitem", ["l_orderkey"]))
+
+
 def _rq(names):
     return ", ".join(r(n, n) for n in names)
 
@@ -92,7 +98,7 @@ _GQ_SQL = (f"WITH rates AS ({B.study_rates_sql()}) "
 def group_quantiles(spark, sf_dir):
     """AGG-2: exact quantiles of the reported rate per genus (first word of the species)."""
     rates = B.study_rates(spark, sf_dir).select(genus_of("species").alias("genus"), "rate")
-    return rounded(S.group_quantiles(rates, ["genus"], "rate", QP, QN))
+    return rounded(S.group_quantiles(rates, ["genus"], "rate", QP, QN, _lineitem_bound(spark, sf_dir)))
 
 
 @query("group_quantiles_ranked", _GQ_SQL)
@@ -171,7 +177,8 @@ def crosstab_long(spark, sf_dir):
 def box_stats(spark, sf_dir):
     """AGG-9: box-plot statistics of biomass rates (<= 10) per method family."""
     b = RV.harmonise_biomass(RV.prepare(B.study_rates(spark, sf_dir)))
-    return rounded(S.box_stats(b.where(F.col("rate_std") <= 10), ["method_family"], "rate_std"))
+    return rounded(S.box_stats(b.where(F.col("rate_std") <= 10), ["method_family"], "rate_std",
+                               strategy=_lineitem_bound(spark, sf_dir)))
 
 
 @query("distinct_with_null", "WITH rates AS (" + B.study_rates_sql() + ") SELECT "
