@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reefline import fixed_values as fv
-from reefline.functions import as_number, censor, contains_any, in_range, is_in, nonnegative, not_contains, not_in
+from reefline.functions import as_number, censor, in_range, nonnegative, not_contains, not_in
 from reefline.functions.text import binomial, genus_of
 from reefline.operators import cleaning as C
 from reefline.plans import figures as FG
@@ -308,5 +308,3 @@ def taxon_words(spark, sf_dir):
     df = p.select(sp).select(genus_of("sp").alias("genus"), binomial("sp").alias("species"))
     return _count_by(df, "genus", "species")
 
-
-_ = (contains_any, is_in)

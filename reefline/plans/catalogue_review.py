@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reefline import fixed_values as fv
 from reefline.plans import review as RV
 from reefline.plans.registry import query, r, rounded
 from reefline.plans.review_sql import review_with
@@ -82,5 +81,3 @@ def incomplete_audit(spark, sf_dir):
         n_studies.scalar().alias("n_studies"), n_used.select("n").scalar().alias("n_used"),
         n_inc.select("n").scalar().alias("n_incomplete"))
 
-
-_ = fv

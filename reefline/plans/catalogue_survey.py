@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from reefline import fixed_values as fv
 from reefline.operators import survey as SV
-from reefline.plans import figures as FG
 from reefline.plans import survey_plan as SP
 from reefline.plans.catalogue_summaries import _mixture_rates, _rates_sql
 from reefline.plans.registry import query, r, rounded
