@@ -9,7 +9,9 @@ DataFrame (size not known up front) use ``reefline.operators.joins.lookup_join``
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,16 +20,28 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@lru_cache(maxsize=256)
+def _map_expr(items: tuple, gateway: int) -> Column:
+    args = []
+    for k, v in items:
+        args += [F.lit(k), F.lit(v)]
+    return F.create_map(*args)
+
+
 def literal_map(pairs: Iterable[tuple] | Mapping) -> Column:
+    """A literal map expression (first rule wins, like a CASE chain).
+
+    Built once per vocabulary and JVM gateway: an unresolved literal expression
+    does not depend on the session, and building it costs one JVM call per
+    literal."""
     items = list(pairs.items()) if isinstance(pairs, Mapping) else list(pairs)
     seen: dict = {}
-    for k, v in items:          # first rule wins, like a CASE chain
+    for k, v in items:
         if k is not None and k not in seen:
             seen[k] = v
-    args = []
-    for k, v in seen.items():
-        args += [F.lit(k), F.lit(v)]
-    return F.create_map(*args)
+    sc = SparkContext._active_spark_context
+    gateway = id(sc._gateway) if sc is not None else 0
+    return _map_expr(tuple(seen.items()), gateway)
 
 
 def lookup(c, pairs: Iterable[tuple] | Mapping) -> Column:
