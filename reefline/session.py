@@ -77,11 +77,27 @@ def cut_lineage(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     shared storage, so losing an executor loses nothing.
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/reefline-tables/{uuid.uuid4().hex}"
+    path = f"{intermediate_root(spark)}/{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     out = spark.read.parquet(path)
     return out.select(*df.columns)   # partition columns come back last; keep the order
+
+
+def intermediate_root(spark: SparkSession) -> str:
+    return ensure_checkpoint_dir(spark).rstrip("/") + "/reefline-tables"
+
+
+def drop_intermediate_tables(spark: SparkSession) -> bool:
+    """Delete the tables ``cut_lineage`` wrote under the shared checkpoint folder.
+
+    Call it when a job's results have been written or collected: DataFrames
+    returned earlier still read those files.  Uses the cluster's Hadoop
+    FileSystem, so it works on any shared storage Spark can write to.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(intermediate_root(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(path, True)) if fs.exists(path) else False

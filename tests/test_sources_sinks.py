@@ -52,3 +52,22 @@ def test_sinks_write_and_number_parts(spark):
     assert spark.read.parquet(path).where("k = 'b'").count() == 2
     fig = write_figure_data(df, "fig", path=f"{root}/fig")
     assert spark.read.parquet(fig).count() == 4
+
+
+def test_cut_lineage_and_drop_intermediate_tables(spark):
+    import os
+
+    from reefline.session import cut_lineage, drop_intermediate_tables, intermediate_root
+    sc = spark.sparkContext
+    old = sc.getCheckpointDir()
+    own = tempfile.mkdtemp(prefix="reefline-ckpt-own-")
+    sc.setCheckpointDir(own)
+    try:
+        t = cut_lineage(spark.range(10).withColumn("p", F.col("id") % 2), partition_by=["p"])
+        assert t.columns == ["id", "p"] and t.count() == 10
+        root = intermediate_root(spark)
+        assert root.startswith(sc.getCheckpointDir()) and os.listdir(root.replace("file:", ""))
+        assert drop_intermediate_tables(spark) and not os.path.exists(root.replace("file:", ""))
+    finally:
+        if old:
+            sc.setCheckpointDir(old)
