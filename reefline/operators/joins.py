@@ -67,13 +67,18 @@ def anti_join(df: DataFrame, keys_df: DataFrame, on: str | Sequence[str]) -> Dat
     return df.join(keys_df, on=on, how="left_anti")
 
 
-def complete(df: DataFrame, a: str, b: str, fill: dict | None = None, small_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+COMPLETION_LIST_LIMIT = 100_000   # values of the smaller list (they pass through the driver once)
+
+
+def complete(df: DataFrame, a: str, b: str, fill: dict | None = None,
+             small_rows: int = COMPLETION_LIST_LIMIT) -> DataFrame:
     """All combinations of the values seen in ``a`` and ``b``; missing cells filled.
 
     The product of the two distinct value lists is the feature itself.  The list
     with fewer values (count-checked against ``small_rows``) is gathered into
-    one array by a scalar subquery - NULL kept as a level - and the other list
-    explodes it, so no join is planned.  If both lists exceed the bound the
+    one array by a scalar subquery - NULL kept as a level, the array bounded
+    by ``small_rows`` since a subquery result passes through the driver - and
+    the other list explodes it, so no join is planned.  If both lists exceed the bound the
     product would exceed ``small_rows ** 2`` cells and an error is raised.
     Rows already present keep their values (and their multiplicity).
     """
