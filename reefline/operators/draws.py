@@ -245,8 +245,11 @@ def summarise_draws(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "
                     strategy: str = "auto") -> DataFrame:
     """Summary + convergence per parameter (the default measure set)."""
     keys = list(keys)
-    # split chains and their normal scores are shared by R-hat (bulk) and all ESS
-    q, names = _tail_quantiles(draws, keys, value, (0.05, 0.95), strategy)
+    # the summary's q5 / q95 define the tail indicators; split chains and their
+    # normal scores are shared by R-hat (bulk) and all ESS
+    summary = cut_lineage(draw_summary(draws, keys, value, strategy))
+    q = summary.select(*keys, F.col("q5").alias("_q0"), F.col("q95").alias("_q1"))
+    names = ["_q0", "_q1"]
     split = cut_lineage(split_chains(join_null_safe(draws, q, keys), keys))
     z = cut_lineage(z_scale(split, keys, value, "z"))
     bulk = rhat_basic(z, keys, "z", out="rhat_bulk")
@@ -256,7 +259,7 @@ def summarise_draws(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "
     ess = ess_many(z, keys, {"ess_bulk": F.col("z"), "_e0": F.col(value) <= F.col(names[0]),
                              "_e1": F.col(value) <= F.col(names[1])})
     ess = ess.select(*keys, "ess_bulk", F.least("_e0", "_e1").alias("ess_tail"))
-    s = draw_summary(draws, keys, value, strategy)
+    s = summary
     for extra in (rhat, ess):
         s = join_null_safe(s, extra, keys)
     return s
