@@ -50,3 +50,18 @@ def test_branch_tags_partition_the_table(spark):
     # the branch tag agrees with each branch's own unit filter
     assert p.where((F.col("branch") == "biomass") != is_in("unit", fv.BIOMASS_UNITS)).count() == 0
     assert p.where((F.col("branch") == "surface") != is_in("unit", fv.SURFACE_UNITS)).count() == 0
+
+
+def test_growth_row_count_is_the_sum_of_its_parts(spark):
+    from reefline.functions.predicates import nonnegative
+    rates = B.study_rates(spark, SF_SMALL)
+    prepared = RV.prepare_materialized(rates)
+    parts = RV.branches(prepared, B.LINEITEM_ORDER)
+    rescued = RV.rescue_incomplete(prepared, parts, B.LINEITEM_ORDER)
+    extra = B.extra_rates(spark, SF_SMALL)
+    biom = (parts.biomass.select("rate_std").unionByName(parts.volume.select("rate_std"))
+            .unionByName(RV.route(rescued, "rate_biom").select("rate_std")))
+    expected = (biom.where(nonnegative("rate_std")).count() + parts.surface.count() + parts.extension.count()
+                + RV.route(rescued, "rate_surf").count() + RV.route(rescued, "rate_ext").count() + extra.count())
+    g = RV.growth(rates, B.LINEITEM_ORDER, extra=extra)
+    assert g.count() == expected > 0
