@@ -83,3 +83,37 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return exact_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op2_document_fingerprints")
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import edit_probe
+
+    def text(c: str):
+        return F.lower(F.hex(c))
+
+    return edit_probe(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", text("edited_digest").alias("edited_sha256"), text("fingerprint").alias("fingerprint"),
+        text("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query("op3_bpe_roundtrip")
+def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import decode, encode, tokenizer_json
+
+    tokenizer = tokenizer_json(public_tokenizers.path("byte_bpe_50k.json"))
+    both = decode(encode(table(spark, sf_dir, "documents"), tokenizer), tokenizer)
+    return both.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import THRESHOLD, score_documents
+    from .tables import fold
+
+    scored = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 4) == 2)
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
