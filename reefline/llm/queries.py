@@ -117,3 +117,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 4) == 2)
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+@query("op4_suffix_tree_scores")
+def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import score_documents
+    from .tables import fold
+
+    return score_documents(table(spark, sf_dir, "documents"), fold("doc_id", 10) == 0)
