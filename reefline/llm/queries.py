@@ -125,3 +125,16 @@ def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tables import fold
 
     return score_documents(table(spark, sf_dir, "documents"), fold("doc_id", 10) == 0)
+
+
+@query("op8_pii_sanitise")
+def op8_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, joined, personal_data
+
+    found = personal_data(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return found.select("doc_id", *[count(k) for k in KINDS[:-1]], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
