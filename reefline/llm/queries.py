@@ -138,3 +138,24 @@ def op8_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter("spans", lambda s: s["kind"] != "term")
     return found.select("doc_id", *[count(k) for k in KINDS[:-1]], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op1_training_order")
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .training_order import ranks_of, training_order
+
+    ranks = ranks_of(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return training_order(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, key=2024)
+
+
+@query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_texts import TEMPLATES
+    from .licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents"), TEMPLATES)
+    listed = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"], m["end"], F.round(m["coverage"], 4)))
+    return found.select("doc_id", F.size("matches").cast("bigint").alias("n_matches"),
+                        F.array_join(F.array_sort(F.array_distinct(F.col("matches.license"))), ",").alias("licenses"), F.array_join(listed, ",").alias("matches"))
