@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -154,3 +154,8 @@ def decode(encoded: DataFrame, tokenizer: str, tokens: str = "tokens", out: str
     place = encoded.columns.index(tokens)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{kinds}, `{out}` string")
+
+
+def digests(tokens: str, decoded: str) -> list[Column]:
+    """``ids_sha256`` (of the decimal ids joined by commas) and ``decoded_sha256`` (of the text in UTF-8)."""
+    return [F.sha2(F.array_join(F.col(tokens).cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256")]
