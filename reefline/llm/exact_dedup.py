@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .tables import keep
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
+PIECE_BYTES = 1 << 20
 ROW_BYTES = 200            # counted for each row besides its text, so that a chunk has fewer than 2^18 rows
 CHUNK_SHIFT = 18           # row numbers: partition, chunk of the partition (20 bits), row of the chunk
 
 
-def normalised(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of the texts with each run of white space replaced by one space."""
-    data, offsets = tb.buffers(column)
+def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with each run of white space replaced by one space."""
     if not len(data):
         return data, offsets
     space = tb.SPACE[data]
@@ -90,16 +90,19 @@ def _local(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...]) -> D
             return _merge_chunk(part << 20 | seq, rows, carried.schema.field("_id").type, columns)
 
         for batch in batches:
-            data, offsets = normalised(batch.column(0))
-            raw, taken = data.tobytes(), 0
-            for i, (key, a, b) in enumerate(zip(batch.column(1).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                t = raw[a:b]
-                rows.append((key, hashlib.sha256(t).digest(), t))
-                size += len(t) + ROW_BYTES
-                if size >= CHUNK_BYTES:
-                    parts.append(batch.slice(taken, i + 1 - taken).select(["_id", *carry]))
-                    yield merged()
-                    rows, parts, size, seq, taken = [], [], 0, seq + 1, i + 1
+            data, offsets = tb.buffers(batch.column(0))
+            keys, taken = batch.column(1).to_pylist(), 0
+            for low, high in tb.pieces(offsets, PIECE_BYTES):
+                texts, ends = normalised(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
+                raw = texts.tobytes()
+                for i, a, b in zip(range(low, high), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    t = raw[a:b]
+                    rows.append((keys[i], hashlib.sha256(t).digest(), t))
+                    size += len(t) + ROW_BYTES
+                    if size >= CHUNK_BYTES:
+                        parts.append(batch.slice(taken, i + 1 - taken).select(["_id", *carry]))
+                        yield merged()
+                        rows, parts, size, seq, taken = [], [], 0, seq + 1, i + 1
             parts.append(batch.slice(taken).select(["_id", *carry]))
         if rows:
             yield merged()
