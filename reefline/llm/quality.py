@@ -166,14 +166,14 @@ def tree_sum(partial: DataFrame, fan: int = 16) -> np.ndarray | None:
     """Sum of the ``values`` arrays of ``partial(part, values)``, whose ``part`` is at most the number of partitions.
 
     Groups of ``fan`` rows are summed by tasks until ``fan`` rows are left; all rows have one fixed length."""
-    def add(key, table: pa.Table) -> pa.Table:
+    def add(table: pa.Table) -> pa.Table:
         total = np.sum([np.asarray(v.values) for v in table.column("values")], axis=0)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "values": pa.array([total], pa.list_(pa.float64()))})
+        return pa.table({"part": table.column("part").slice(0, 1), "values": pa.array([total], pa.list_(pa.float64()))})
 
     partial = keep(partial)
     left = partial.count()
     while left > fan:
-        partial = keep(partial.groupBy(F.floor(F.col("part") / fan).alias("part")).applyInArrow(add, "part bigint, values array<double>"))
+        partial = keep(partial.withColumn("part", F.floor(F.col("part") / fan)).groupBy("part").applyInArrow(add, "part bigint, values array<double>"))
         left, before = partial.count(), left
         if left >= before:
             break
