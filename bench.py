@@ -42,9 +42,10 @@ def main() -> None:
     names = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or HEADLINE
 
     from reefline.plans.catalogue import QUERIES
-    from reefline.session import get_session
+    from reefline.session import drop_intermediate_tables, get_session
 
-    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)), app_name="reefline-bench")
+    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)), app_name="reefline-bench",
+                        driver_memory=os.environ.get("REEFLINE_DRIVER_MEMORY", "16g"))
     timings: dict[str, float] = {}
     for name in names:
         fn = QUERIES[name]
@@ -56,6 +57,7 @@ def main() -> None:
 
         once()   # warm-up
         timings[name] = round(statistics.median(once() for _ in range(runs)), 3)
+        drop_intermediate_tables(spark)
         print(f"{name}: {timings[name]}s", file=sys.stderr)
     m = re.search(r"sf([0-9.]+)$", sf_dir)
     sf = float(m.group(1)) if m else sf_dir

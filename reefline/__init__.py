@@ -6,3 +6,10 @@ two-component mixtures, roll nested surveys up, and summarise posterior draws.
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel by value: a worker needs no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

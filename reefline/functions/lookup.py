@@ -2,8 +2,8 @@
 
 A vocabulary of fixed size is compiled into a literal map expression instead of
 a join: the lookup is evaluated inside whole-stage codegen, needs no broadcast
-exchange and works on streaming DataFrames.  For vocabularies held in a
-DataFrame (size not known up front) use ``reefline.operators.joins.lookup_join``.
+exchange and works on streaming DataFrames.  A vocabulary held in a DataFrame
+is a plain left join.
 """
 
 from __future__ import annotations

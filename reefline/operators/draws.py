@@ -8,16 +8,20 @@ convergence diagnostics (Vehtari, Gelman, Simpson, Carpenter, Buerkner 2021):
   (the middle one is dropped when N is odd), giving ``2M`` chains;
 * basic R-hat: ``sqrt((n * var(chain means) / mean(chain vars) + n - 1) / n)``;
 * rank-normalised R-hat: the larger of basic R-hat on normal scores of the
-  average ranks ``qnorm((r - 3/8) / (S - 3/4 + 1))``, and the same on the
-  folded draws ``|x - median|``;
+  average ranks ``qnorm((r - 3/8) / (S - 3/4 + 1))`` of the split chains, and the
+  same on the folded draws ``|x - median|``: the median is that of all draws, and the
+  folded draws are split afterwards;
 * ESS: Geyer's initial positive then monotone sequence on the combined
   autocorrelations, ``ESS = M N / tau`` with ``tau >= 1 / log10(M N)``.
 
-Everything that ranks or aggregates across a parameter is spread over tasks
-(``ranking.value_positions``, grouped aggregates, joins).  The one sequential
-step is the autocovariance of a single chain (FFT), run per chain with
-``applyInPandas``: a chain is the unit of sequential dependence, so its
-values must be seen in order by one task (memory 8 bytes x chain length).
+The diagnostics compare chains of one length: ``equal_length`` cuts the chains of
+a parameter to its shortest one, as an explicit step.
+
+Everything is spread over tasks: ranks come from ``ranking.value_positions``,
+sums over chains from grouped aggregates.  Autocovariances are sums over
+overlapping blocks of a chain, for as many lags as truncation needs: the number
+of lags doubles until every parameter has a pair sum that is not positive, so a
+task holds a block and its lags, never a chain.
 """
 
 from __future__ import annotations
@@ -40,19 +44,25 @@ from reefline.session import cut_lineage
 KEYS = ("dataset", "parameter")
 
 
-def draw_summary(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
-                 strategy: str = "auto") -> DataFrame:
+def draw_summary(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
     """AGG-13: mean, median, sd, mad (scaled by 1.4826), q5, q95 per parameter."""
     keys = list(keys)
     base = draws.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    q = group_quantiles(draws, keys, value, [0.5, 0.05, 0.95], ["median", "q5", "q95"], strategy)
+    q = group_quantiles(draws, keys, value, [0.5, 0.05, 0.95], ["median", "q5", "q95"])
     dev = join_null_safe(draws.select(*keys, value), q.select(*keys, "median"), keys)
     dev = dev.select(*keys, F.abs(F.col(value) - F.col("median")).alias("_dev"))
-    mad = group_quantiles(dev, keys, "_dev", [0.5], ["_mad"], strategy)
+    mad = group_quantiles(dev, keys, "_dev", [0.5], ["_mad"])
     out = join_null_safe(join_null_safe(base, q, keys), mad, keys)
     return out.select(*keys, "mean", "median", "sd", (F.col("_mad") * F.lit(fv.MAD_SCALE)).alias("mad"), "q5", "q95")
 
 
+def equal_length(draws: DataFrame, keys: Sequence[str] = KEYS, chain: str = "chain", iteration: str = "iteration") -> DataFrame:
+    """The first iterations of every chain, as many as the parameter's shortest chain has."""
+    keys = list(keys)
+    lengths = draws.groupBy(*keys, chain).agg(F.count(F.lit(1)).alias("_len")).groupBy(*keys).agg(F.min("_len").alias("_len"))
+    return join_null_safe(draws, lengths, keys).where(F.col(iteration) <= F.col("_len")).drop("_len")
+
+
 def split_chains(draws: DataFrame, keys: Sequence[str] = KEYS, chain: str = "chain",
                  iteration: str = "iteration") -> DataFrame:
     """WIN-4: each chain cut into halves -> ``split_chain`` (2c, 2c+1); an odd
@@ -91,10 +101,10 @@ def z_scale(df: DataFrame, keys: Sequence[str], value: str, out: str = "z") -> D
     return join_null_safe(df, pos, keys + [value], "left")
 
 
-def fold(df: DataFrame, keys: Sequence[str], value: str, out: str = "folded", strategy: str = "auto") -> DataFrame:
+def fold(df: DataFrame, keys: Sequence[str], value: str, out: str = "folded") -> DataFrame:
     """``|x - median(x)|`` per parameter."""
     keys = list(keys)
-    med = group_quantiles(df, keys, value, [0.5], ["_med"], strategy)
+    med = group_quantiles(df, keys, value, [0.5], ["_med"])
     return join_null_safe(df, med, keys).withColumn(out, F.abs(F.col(value) - F.col("_med"))).drop("_med")
 
 
@@ -103,109 +113,110 @@ def rhat_split(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value
     return rhat_basic(split_chains(draws, keys), keys, value)
 
 
-def rhat_rank(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
-              strategy: str = "auto") -> DataFrame:
+def rhat_rank(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
     """AGG-14: rank-normalised split R-hat = max(bulk, tail)."""
     keys = list(keys)
-    split = split_chains(draws, keys)
-    bulk = rhat_basic(z_scale(split, keys, value, "z"), keys, "z", out="rhat_bulk")
-    folded = fold(split, keys, value, strategy=strategy)
+    bulk = rhat_basic(z_scale(split_chains(draws, keys), keys, value, "z"), keys, "z", out="rhat_bulk")
+    return _larger_rhat(bulk, draws, keys, value)
+
+
+def _larger_rhat(bulk: DataFrame, draws: DataFrame, keys: list[str], value: str) -> DataFrame:
+    folded = split_chains(fold(draws, keys, value), keys)
     tail = rhat_basic(z_scale(folded, keys, "folded", "zf"), keys, "zf", out="rhat_tail")
-    j = join_null_safe(bulk, tail, keys)
-    return j.select(*keys, F.greatest("rhat_bulk", "rhat_tail").alias("rhat"))
+    return join_null_safe(bulk, tail, keys).select(*keys, F.greatest("rhat_bulk", "rhat_tail").alias("rhat"))
 
 
 # --- effective sample size ------------------------------------------------------
 
-def _acov(x: np.ndarray) -> np.ndarray:
-    """Biased autocovariance (1/N) sum_i yc_i yc_{i+t}, t = 0..N-1, via zero-padded FFT."""
-    n = len(x)
-    yc = x - x.mean()
-    m = 1 << int(np.ceil(np.log2(max(2 * n, 2))))
-    f = np.fft.rfft(yc, m)
-    return np.fft.irfft(f * np.conj(f), m)[:n] / n
+FIRST_LAGS = 128
+BLOCK = 1 << 16
 
 
-def chain_autocovariance(split: DataFrame, keys: Sequence[str], value: str, chain: str = "split_chain",
-                         iteration: str = "iteration") -> DataFrame:
-    """Per chain: (lag, acov) rows plus the chain mean and length (one chain per group)."""
-    keys = list(keys)
-    src = split.select(*keys, chain, iteration, F.col(value).cast("double").alias("_x"))
-    schema = T.StructType([src.schema[k] for k in keys] + [
-        T.StructField(chain, src.schema[chain].dataType), T.StructField("lag", T.LongType()),
-        T.StructField("acov", T.DoubleType()), T.StructField("chain_mean", T.DoubleType()),
-        T.StructField("n", T.LongType())])
-
-    def per_chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(iteration)
-        x = pdf["_x"].to_numpy(dtype=float)
-        ac = _acov(x)
-        out = pd.DataFrame({"lag": np.arange(len(x), dtype=np.int64), "acov": ac})
-        for k in keys + [chain]:
-            out[k] = pdf[k].iloc[0]
-        out["chain_mean"] = float(x.mean())
-        out["n"] = np.int64(len(x))
-        return out[[f.name for f in schema.fields]]
-
-    return src.groupBy(*keys, chain).applyInPandas(per_chain, schema)
-
-
-def _geyer(rho: np.ndarray, n_total: int) -> float:
-    """ESS from autocorrelations rho[0..N-1] (rho[0] = 1): Geyer's initial positive and
-    monotone sequences, improved truncated estimate."""
-    n = len(rho)
-    if n < 3 or not np.all(np.isfinite(rho[:2])):
-        return float("nan")
-    kept = np.zeros(n)
-    kept[0], kept[1] = rho[0], rho[1]
-    t = 0
-    even, odd = rho[0], rho[1]
-    while t < n - 5 and not np.isnan(even + odd) and even + odd > 0:
-        t += 2
-        even, odd = rho[t], rho[t + 1]
-        if even + odd >= 0:
-            kept[t], kept[t + 1] = even, odd
-    max_t = t
-    if even > 0:
-        kept[max_t] = even
-    t = 0
-    while t <= max_t - 4:
-        t += 2
-        if kept[t] + kept[t + 1] > kept[t - 2] + kept[t - 1]:
-            kept[t] = (kept[t - 2] + kept[t - 1]) / 2
-            kept[t + 1] = kept[t]
-    tau = -1 + 2 * kept[:max_t].sum() + kept[max_t]
-    tau = max(tau, 1 / np.log10(n_total))
-    return n_total / tau
-
-
-def ess_from_acov(acov: DataFrame, keys: Sequence[str], out: str = "ess", chain: str = "split_chain") -> DataFrame:
-    """Combine per-chain autocovariances: per (parameter, lag) means across chains in
-    Spark, then the sequential Geyer scan over the lags of one parameter."""
-    keys = list(keys)
-    per_lag = acov.groupBy(*keys, "lag").agg(F.avg("acov").alias("acov"))
-    chains = acov.where(F.col("lag") == 0).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("m"), F.min("n").alias("n"), F.var_samp("chain_mean").alias("var_cm"))
-    j = join_null_safe(per_lag, chains, keys)
-    schema = T.StructType([j.schema[k] for k in keys] + [T.StructField(out, T.DoubleType())])
+def _block_sums(x: np.ndarray, own: int, lags: int) -> np.ndarray:
+    """Sum over the first ``own`` values of each value times the one ``t`` later, for t below ``lags``."""
+    size = 1 << int(np.ceil(np.log2(max(2 * len(x), 2))))
+    head = np.fft.rfft(x[:own], size)
+    sums = np.fft.irfft(np.conj(head) * np.fft.rfft(x, size), size)[:lags]
+    return np.pad(sums, (0, lags - len(sums))) if len(sums) < lags else sums
+
+
+def lagged_sums(centred: DataFrame, by: Sequence[str], iteration: str, value: str, lags: int, block: int = BLOCK) -> DataFrame:
+    """``by + [lag, s]``: sum over a sequence of each value times the one ``lag`` later, for lags below ``lags``.
+
+    ``iteration`` numbers the values of a sequence without gaps.  A sequence is cut into blocks of at
+    least ``lags`` values; a block also gets the ``lags`` values after it."""
+    by = list(by)
+    block = max(block, lags)
+    number = F.floor(F.col(iteration) / block)
+    also = F.when((F.col(iteration) % block < lags) & (number > 0), F.array(number, number - 1)).otherwise(F.array(number))
+    placed = centred.select(*by, F.col(iteration).alias("_i"), F.col(value).cast("double").alias("_x"), number.alias("_own"), F.explode(also).alias("_block"))
+    schema = T.StructType([T.StructField("sums", T.ArrayType(T.DoubleType()))] + [placed.schema[k] for k in by])
 
-    def per_param(pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        own = int((pdf["_own"] == pdf["_block"]).sum())
+        return pd.DataFrame([{"sums": _block_sums(pdf["_x"].to_numpy(float), own, lags), **{k: pdf[k].iloc[0] for k in by}}])[[f.name for f in schema.fields]]
+
+    sums = placed.groupBy(*by, "_block").applyInPandas(per_block, schema)
+    return sums.select(*by, F.posexplode("sums").alias("lag", "_s")).groupBy(*by, "lag").agg(F.sum("_s").alias("s"))
+
+
+def truncated_tau(rho: np.ndarray, n: int) -> float | None:
+    """Integrated autocorrelation time from ``rho[0..]`` of chains of length ``n``; None if more lags are needed.
+
+    Sums of neighbours (even lag, next odd lag) are added up to the first that is not positive, each at
+    most the one before; the even autocorrelation at the cut counts once if it or its pair sum is positive.
+    The last pairs of a chain (within five lags of its end) are never added."""
+    limit = max(0, -(-(n - 5) // 2))
+    pairs = rho[: len(rho) // 2 * 2].reshape(-1, 2).sum(axis=1)
+    stops = np.flatnonzero(~(pairs > 0))
+    cut = min(int(stops[0]) if len(stops) else limit, limit)
+    if cut >= len(pairs) and 2 * cut + 1 < n:
+        return None
+    at = rho[2 * cut] if 2 * cut < len(rho) else 0.0
+    last = at if at > 0 or (cut < len(pairs) and pairs[cut] >= 0) else 0.0
+    return float(-1 + 2 * np.minimum.accumulate(pairs[:cut]).sum() + last)
+
+
+def ess_of(split: DataFrame, keys: Sequence[str], value: str, out: str = "ess", chain: str = "split_chain",
+           iteration: str = "iteration", first_lags: int = FIRST_LAGS, block: int = BLOCK) -> DataFrame:
+    """ESS of each parameter from its split chains (all of one length).
+
+    The biased autocovariances (1/N) of the chains are averaged by lag.  Parameters that ``first_lags``
+    lags do not decide are taken again with twice as many, up to the chain length."""
+    keys = list(keys)
+    x = split.select(*keys, chain, iteration, F.col(value).cast("double").alias("_x"))
+    chains = x.groupBy(*keys, chain).agg(F.avg("_x").alias("_mean"), F.min(iteration).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    stats = cut_lineage(chains.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.min("_n").alias("n"), F.var_samp("_mean").alias("var_cm")))
+    centred = cut_lineage(join_null_safe(x, chains, keys + [chain]).select(
+        *keys, chain, (F.col(iteration) - F.col("_first")).alias("_at"), (F.col("_x") - F.col("_mean")).alias("_y")))
+    schema = T.StructType([stats.schema[k] for k in keys] + [T.StructField(out, T.DoubleType()), T.StructField("_more", T.BooleanType())])
+
+    def per_parameter(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("lag")
-        ac = pdf["acov"].to_numpy(dtype=float)
-        m, n = int(pdf["m"].iloc[0]), int(pdf["n"].iloc[0])
-        var_cm = pdf["var_cm"].iloc[0]
-        mean_var = ac[0] * n / (n - 1) if n > 1 else float("nan")
-        var_plus = mean_var * (n - 1) / n
-        if m > 1 and var_cm is not None and not pd.isna(var_cm):
-            var_plus += float(var_cm)
-        rho = 1 - (mean_var - ac) / var_plus
-        rho[0] = 1.0
-        ess = _geyer(rho, m * n) if var_plus > 0 else float("nan")
-        row = {k: pdf[k].iloc[0] for k in keys}
-        row[out] = float(ess)
+        m, n, between = int(pdf["m"].iloc[0]), int(pdf["n"].iloc[0]), pdf["var_cm"].iloc[0]
+        acov = pdf["s"].to_numpy(float)[:n] / (m * n)
+        within = acov[0] * n / (n - 1) if n > 1 else np.nan
+        total = within * (n - 1) / n + (float(between) if m > 1 and not pd.isna(between) else 0.0)
+        tau = np.nan
+        if n >= 3 and total > 0:
+            rho = 1 - (within - acov) / total
+            rho[0] = 1.0
+            tau = truncated_tau(rho, n)
+        ess = np.nan if tau is None or np.isnan(tau) else m * n / max(tau, 1 / np.log10(m * n))
+        row = {**{k: pdf[k].iloc[0] for k in keys}, out: ess, "_more": tau is None}
         return pd.DataFrame([row])[[f.name for f in schema.fields]]
 
-    return j.groupBy(*keys).applyInPandas(per_param, schema)
+    done, lags = None, first_lags
+    while True:
+        sums = lagged_sums(centred, keys + [chain], "_at", "_y", lags, block).groupBy(*keys, "lag").agg(F.sum("s").alias("s"))
+        found = cut_lineage(join_null_safe(sums, stats, keys).groupBy(*keys).applyInPandas(per_parameter, schema))
+        ready = found.where(~F.col("_more")).select(*keys, out)
+        done = ready if done is None else done.unionByName(ready)
+        left = found.where("_more").select(*keys)
+        if not left.take(1):
+            return done
+        centred, lags = join_null_safe(centred, left, keys, "left_semi"), lags * 2
 
 
 def ess_many(split: DataFrame, keys: Sequence[str], series: dict[str, F.Column]) -> DataFrame:
@@ -216,53 +227,47 @@ def ess_many(split: DataFrame, keys: Sequence[str], series: dict[str, F.Column])
     packed = F.array(*[F.struct(F.lit(n).alias("_series"), e.cast("double").alias("_x")) for n, e in series.items()])
     stacked = split.select(*keys, "split_chain", "iteration", F.explode(packed).alias("_s")).select(
         *keys, "split_chain", "iteration", "_s._series", "_s._x")
-    ess = ess_from_acov(chain_autocovariance(stacked, keys + ["_series"], "_x"), keys + ["_series"], "_ess")
+    ess = ess_of(stacked, keys + ["_series"], "_x", "_ess")
     return ess.groupBy(*keys).agg(*[F.max(F.when(F.col("_series") == n, F.col("_ess"))).alias(n) for n in series])
 
 
-def _tail_quantiles(draws: DataFrame, keys: list[str], value: str, probs: Sequence[float], strategy: str):
+def _tail_quantiles(draws: DataFrame, keys: list[str], value: str, probs: Sequence[float]):
     names = [f"_q{i}" for i in range(len(probs))]
-    return group_quantiles(draws, keys, value, list(probs), names, strategy), names
+    return group_quantiles(draws, keys, value, list(probs), names), names
 
 
 def ess_bulk(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
     """AGG-15: bulk ESS = ESS of the normal scores of the split chains."""
     split = z_scale(split_chains(draws, keys), keys, value, "z")
-    return ess_from_acov(chain_autocovariance(split, keys, "z"), keys, "ess_bulk")
+    return ess_of(split, keys, "z", "ess_bulk")
 
 
 def ess_tail(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
-             probs: Sequence[float] = (0.05, 0.95), strategy: str = "auto") -> DataFrame:
+             probs: Sequence[float] = (0.05, 0.95)) -> DataFrame:
     """AGG-15: tail ESS = min over the 5 % and 95 % quantile indicators."""
     keys = list(keys)
-    q, names = _tail_quantiles(draws, keys, value, probs, strategy)
+    q, names = _tail_quantiles(draws, keys, value, probs)
     d = split_chains(join_null_safe(draws, q, keys), keys)
     e = ess_many(d, keys, {f"_e{i}": F.col(value) <= F.col(n) for i, n in enumerate(names)})
     return e.select(*keys, F.least(*[F.col(f"_e{i}") for i in range(len(names))]).alias("ess_tail"))
 
 
-def summarise_draws(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
-                    strategy: str = "auto") -> DataFrame:
-    """Summary + convergence per parameter (the default measure set)."""
+def summarise_draws(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
+    """Summary of all draws and convergence of chains of equal length, per parameter (the default measure set)."""
     keys = list(keys)
-    # the summary's q5 / q95 define the tail indicators; split chains and their
-    # normal scores are shared by R-hat (bulk) and all ESS
-    summary = cut_lineage(draw_summary(draws, keys, value, strategy))
-    q = summary.select(*keys, F.col("q5").alias("_q0"), F.col("q95").alias("_q1"))
-    names = ["_q0", "_q1"]
-    split = cut_lineage(split_chains(join_null_safe(draws, q, keys), keys))
-    z = cut_lineage(z_scale(split, keys, value, "z"))
-    bulk = rhat_basic(z, keys, "z", out="rhat_bulk")
-    folded = fold(split, keys, value, strategy=strategy)
-    tail = rhat_basic(z_scale(folded, keys, "folded", "zf"), keys, "zf", out="rhat_tail")
-    rhat = join_null_safe(bulk, tail, keys).select(*keys, F.greatest("rhat_bulk", "rhat_tail").alias("rhat"))
+    draws = cut_lineage(draws)
+    summary = cut_lineage(draw_summary(draws, keys, value))
+    even = cut_lineage(equal_length(draws, keys))
+    # split chains and their normal scores are shared by R-hat (bulk) and all ESS
+    q, names = _tail_quantiles(even, keys, value, (0.05, 0.95))
+    z = cut_lineage(z_scale(split_chains(join_null_safe(even, q, keys), keys), keys, value, "z"))
+    rhat = _larger_rhat(rhat_basic(z, keys, "z", out="rhat_bulk"), even, keys, value)
     ess = ess_many(z, keys, {"ess_bulk": F.col("z"), "_e0": F.col(value) <= F.col(names[0]),
                              "_e1": F.col(value) <= F.col(names[1])})
     ess = ess.select(*keys, "ess_bulk", F.least("_e0", "_e1").alias("ess_tail"))
-    s = summary
     for extra in (rhat, ess):
-        s = join_null_safe(s, extra, keys)
-    return s
+        summary = join_null_safe(summary, extra, keys)
+    return cut_lineage(summary)
 
 
 def parse_parameter(df: DataFrame, name_col: str = "name", variable: str = "variable",
@@ -279,25 +284,32 @@ def wide_to_long(wide: DataFrame, id_cols: Sequence[str], value: str = "value",
     return wide.unpivot(list(id_cols), [F.col(f"`{c}`") for c in cols], name_col, value)
 
 
-def normal_from_hash(seed: int, *cols) -> "F.Column":
+def long_to_wide(long: DataFrame, id_cols: Sequence[str], name_col: str = "name", value: str = "value") -> DataFrame:
+    """One column per parameter found in ``name_col`` (the names become the schema, so they are read first)."""
+    return long.groupBy(*id_cols).pivot(name_col).agg(F.first(value))
+
+
+def normal_from_hash(seed: int, *cols: F.Column) -> F.Column:
     """Standard normal value determined by the row's identity (Box-Muller on two
-    64-bit hashes).  Unlike a generator seeded per partition, recomputing a lost
-    partition gives the same values, whatever the row order."""
-    two53 = float(2 ** 53)
-    u1 = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(1), *cols), 11) + 0.5) / two53
-    u2 = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(2), *cols), 11) + 0.5) / two53
+    numbers of 13 hex digits from an MD5 of seed and columns).  Unlike a generator seeded
+    per partition, recomputing a lost partition gives the same values, whatever the row order."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols]))
+    u1, u2 = ((F.conv(F.substring(digest, at, 13), 16, 10).cast("double") + 0.5) / float(2 ** 52) for at in (1, 14))
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * np.pi) * u2)
 
 
 def expand_normal(summary: DataFrame, n: int, keep: Sequence[str], mean: str = "mean", sd: str = "sd",
-                  out: str = "random_effect", seed: int = 42) -> DataFrame:
+                  out: str = "random_effect", seed: int = 42, piece: int = 1000) -> DataFrame:
     """SRC-8: ``n`` normal draws per summary row, ``mean + sd * z``.
 
-    Rows come from ``explode(sequence(1, n))`` (no join); ``z`` is a function of
-    (seed, row keys, draw number), so the result is reproducible and survives
-    recomputation after executor loss.
+    Each row is exploded into pieces of draw numbers, which are dealt out over all tasks before they are
+    exploded further (no join); ``z`` is a function of (seed, row keys, draw number), so the
+    result is reproducible and survives recomputation after executor loss.
     """
     keep = list(keep)
-    base = summary.select(*keep, mean, sd, F.explode(F.sequence(F.lit(1), F.lit(int(n)))).alias("draw"))
+    pieces = summary.select(*keep, mean, sd, F.explode(F.sequence(F.lit(0), F.lit((int(n) - 1) // piece))).alias("_piece")) \
+        .repartition(*keep, "_piece")
+    numbers = F.sequence(F.col("_piece") * piece + 1, F.least(F.lit(int(n)), (F.col("_piece") + 1) * piece))
+    base = pieces.select(*keep, mean, sd, F.explode(numbers).alias("draw"))
     z = normal_from_hash(seed, *[F.col(k) for k in keep], F.col("draw"))
     return base.withColumn(out, F.col(mean) + F.col(sd) * z).drop(mean, sd)

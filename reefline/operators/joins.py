@@ -1,4 +1,4 @@
-"""Join helpers: null-safe key joins, checked broadcast, lookups, grid completion."""
+"""Join helpers: null-safe key joins and grid completion."""
 
 from __future__ import annotations
 
@@ -7,11 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest side (rows) we broadcast on our own initiative.  Beyond it we leave the
-# choice to Catalyst / AQE (sort-merge or shuffled hash join).
-BROADCAST_ROW_LIMIT = 2_000_000
-BROADCAST_BYTE_LIMIT = 256 * 1024 * 1024     # rows x schema width
-
+from reefline.session import cut_lineage
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL matches NULL (grouping semantics).
@@ -35,64 +31,18 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return out
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
-                       bound_by: DataFrame | None = None) -> DataFrame:
-    """Add a broadcast hint only after checking the row count.
-
-    The count is one cheap aggregate job (footer-only for a plain Parquet scan);
-    ``bound_by`` may name a DataFrame whose row count is an upper bound of
-    ``df``'s (e.g. the base scan of a dimension before a unique-key join).  The
-    byte budget (rows x schema width) caps ``max_rows``.  Fixed-size literal
-    tables are hinted directly by their builders.
-    """
-    width = max(8, int(df._jdf.schema().defaultSize()))
-    if width * max_rows > BROADCAST_BYTE_LIMIT:
-        max_rows = BROADCAST_BYTE_LIMIT // width
-    n = (bound_by if bound_by is not None else df).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def lookup_join(df: DataFrame, vocab: DataFrame, on: str | Sequence[str], checked: bool = True) -> DataFrame:
-    """Left join that keeps unmatched rows (vocabulary lookup held in a DataFrame)."""
-    side = broadcast_if_small(vocab) if checked else vocab
-    return df.join(side, on=on, how="left")
-
-
-def semi_join(df: DataFrame, keys_df: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    return df.join(keys_df, on=on, how="left_semi")
-
-
-def anti_join(df: DataFrame, keys_df: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """Rows whose key is absent from ``keys_df``; NULL keys are kept (never matched)."""
-    return df.join(keys_df, on=on, how="left_anti")
-
-
-COMPLETION_LIST_LIMIT = 100_000   # values of the smaller list (they pass through the driver once)
-
-
-def complete(df: DataFrame, a: str, b: str, fill: dict | None = None,
-             small_rows: int = COMPLETION_LIST_LIMIT) -> DataFrame:
+def complete(df: DataFrame, a: str, b: str, fill: dict | None = None) -> DataFrame:
     """All combinations of the values seen in ``a`` and ``b``; missing cells filled.
 
-    The product of the two distinct value lists is the feature itself.  The list
-    with fewer values (count-checked against ``small_rows``) is gathered into
-    one array by a scalar subquery - NULL kept as a level, the array bounded
-    by ``small_rows`` since a subquery result passes through the driver - and
-    the other list explodes it, so no join is planned.  If both lists exceed the bound the
-    product would exceed ``small_rows ** 2`` cells and an error is raised.
-    Rows already present keep their values (and their multiplicity).
+    The product of the two lists of distinct values (NULL is a value) is the
+    feature itself and has no size limit.  ``df`` is written once, as the lists, the
+    present cells and the result all read it.  Rows already present keep their
+    values (and their multiplicity).
     """
-    da = df.select(a).distinct()
-    db = df.select(b).distinct()
-    na, nb = da.count(), db.count()
-    if min(na, nb) > small_rows:
-        raise ValueError(f"completion of {na} x {nb} values exceeds {small_rows}^2 cells")
-    big, small, big_col, small_col = (da, db, a, b) if nb <= na else (db, da, b, a)
-    values = small.agg(F.collect_list(F.struct(F.col(small_col).alias("v"))).alias("_vs")).select("_vs").scalar()
-    grid = big.select(big_col, F.explode(values).alias("_v")).select(big_col, F.col("_v.v").alias(small_col))
+    df = cut_lineage(df)
     keys = [a, b]
-    present = df.select(*keys).distinct()
-    missing = join_null_safe(grid, present, keys, "left_anti")
+    grid = df.select(a).distinct().join(df.select(b).distinct(), how="cross")
+    missing = join_null_safe(grid, df.select(*keys).distinct(), keys, "left_anti")
     for c in df.columns:
         if c not in keys:
             val = (fill or {}).get(c)

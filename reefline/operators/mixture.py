@@ -25,72 +25,44 @@ from reefline import fixed_values as fv
 from reefline.functions.numeric import ceil_double, safe_div
 
 
+# Curve bound -> (bound of component 2, bound of component 1).  The pairing is crossed on purpose.
+PAIRED = {"lwr": ("lwr", "upr"), "median": ("median", "median"), "upr": ("upr", "lwr")}
+# Growth form of component 1: suffix of its curves, name of its share, prefix of component 2's share, rugosity ratio.
+FORMS = (("", "coral", "g", 1.0), ("_b", "branching", "gb", fv.R_BRANCHING), ("_m", "massive", "gm", fv.R_MASSIVE))
+
+
 @dataclass(frozen=True)
 class Rates:
-    """Scaled rates of the two components: lower quartile, median, upper quartile."""
-    cca_lwr: Column
-    cca: Column
-    cca_upr: Column
-    coral_lwr: Column
-    coral: Column
-    coral_upr: Column
+    """Scaled rates of the two components by bound (``lwr``, ``median``, ``upr``: the three quartiles)."""
+    cca: dict[str, Column]
+    coral: dict[str, Column]
 
 
 def _share(part: Column, total: Column) -> Column:
     return safe_div(part, total) * 100
 
 
-def mixture_columns(cca_cover: Column, coral_cover: Column, q: Rates,
-                    r_branching: float = fv.R_BRANCHING, r_massive: float = fv.R_MASSIVE) -> dict[str, Column]:
-    """All component curves and percent shares at one grid point (expression order kept)."""
-    rest = (F.lit(100.0) - coral_cover) / 100
-    cc = coral_cover / 100
-    ca = cca_cover / 100
-    rb, rm = F.lit(r_branching), F.lit(r_massive)
-    c = {
-        "lwr": q.cca_lwr * rest + q.coral_upr * cc,
-        "median": q.cca * rest + q.coral * cc,
-        "upr": q.cca_upr * rest + q.coral_lwr * cc,
-        "lwr_ccoral": q.coral_upr * cc,
-        "median_ccoral": q.coral * cc,
-        "upr_ccoral": q.coral_lwr * cc,
-        "lwr_ccca": q.cca_upr * ca,
-        "median_ccca": q.cca * ca,
-        "upr_ccca": q.cca_lwr * ca,
-        "lwr_b": q.cca_lwr * rest + q.coral_upr * rb * cc,
-        "median_b": q.cca * rest + q.coral * rb * cc,
-        "upr_b": q.cca_upr * rest + q.coral_lwr * rb * cc,
-        "lwr_ccoral_b": q.coral_upr * rb * cc,
-        "median_ccoral_b": q.coral * rb * cc,
-        "upr_ccoral_b": q.coral_lwr * rb * cc,
-        "lwr_m": q.cca_lwr * rest + q.coral_upr * rm * cc,
-        "median_m": q.cca * rest + q.coral * rm * cc,
-        "upr_m": q.cca_upr * rest + q.coral_lwr * rm * cc,
-        "lwr_ccoral_m": q.coral_upr * rm * cc,
-        "median_ccoral_m": q.coral * rm * cc,
-        "upr_ccoral_m": q.coral_lwr * rm * cc,
-    }
-    shares = {
-        "g_percent_coral_lwr": _share(c["lwr_ccoral"], c["lwr"]),
-        "g_percent_coral": _share(c["median_ccoral"], c["median"]),
-        "g_percent_coral_upr": _share(c["upr_ccoral"], c["upr"]),
-        "g_percent_cca_lwr": _share(c["lwr_ccca"], c["upr"]),
-        "g_percent_cca": _share(c["median_ccca"], c["median"]),
-        "g_percent_cca_upr": _share(c["upr_ccca"], c["lwr"]),
-        "g_percent_branching_lwr": _share(c["lwr_ccoral_b"], c["lwr_b"]),
-        "g_percent_branching": _share(c["median_ccoral_b"], c["median_b"]),
-        "g_percent_branching_upr": _share(c["upr_ccoral_b"], c["upr_b"]),
-        "g_percent_massive_lwr": _share(c["lwr_ccoral_m"], c["lwr_m"]),
-        "g_percent_massive": _share(c["median_ccoral_m"], c["median_m"]),
-        "g_percent_massive_upr": _share(c["upr_ccoral_m"], c["upr_m"]),
-        "gb_percent_cca_lwr": _share(c["lwr_ccca"], c["upr_b"]),
-        "gb_percent_cca": _share(c["median_ccca"], c["median_b"]),
-        "gb_percent_cca_upr": _share(c["upr_ccca"], c["lwr_b"]),
-        "gm_percent_cca_lwr": _share(c["lwr_ccca"], c["upr_m"]),
-        "gm_percent_cca": _share(c["median_ccca"], c["median_m"]),
-        "gm_percent_cca_upr": _share(c["upr_ccca"], c["lwr_m"]),
-    }
-    return {**c, **shares}
+def produced(q: Rates, bound: str, coral_cover: Column, ratio: Column) -> tuple[Column, Column]:
+    """Production of component 1 and of both together, for one bound and ratio."""
+    of_cca, of_coral = PAIRED[bound]
+    own = q.coral[of_coral] * ratio * (coral_cover / 100)
+    return own, q.cca[of_cca] * ((F.lit(100.0) - coral_cover) / 100) + own
+
+
+def mixture_columns(cca_cover: Column, coral_cover: Column, q: Rates) -> dict[str, Column]:
+    """All curves and percent shares at one grid point, by column name."""
+    out: dict[str, Column] = {}
+    for bound, (_, crossed) in PAIRED.items():
+        out[f"{bound}_ccca"] = q.cca[crossed] * (cca_cover / 100)
+    for suffix, name, prefix, ratio in FORMS:
+        for bound in PAIRED:
+            own, total = produced(q, bound, coral_cover, F.lit(ratio))
+            out[f"{bound}_ccoral{suffix}"], out[f"{bound}{suffix}"] = own, total
+        for bound, (_, crossed) in PAIRED.items():
+            tail = "" if bound == "median" else f"_{bound}"
+            out[f"g_percent_{name}{tail}"] = _share(out[f"{bound}_ccoral{suffix}"], out[f"{bound}{suffix}"])
+            out[f"{prefix}_percent_cca{tail}"] = _share(out[f"{bound}_ccca"], out[f"{crossed}{suffix}"])
+    return out
 
 
 def mixture_curves(grid: DataFrame, q: Rates, columns: list[str] | None = None) -> DataFrame:
@@ -129,17 +101,11 @@ def ratio_sweep(spark: SparkSession, q: Rates, n_ratios: int = 400, ratio_step:
     j = F.col("id") % n_grid
     cells = cells.select(k.alias("k"), (F.lit(100.0) - j * F.lit(cover_step)).alias("coral_cover"))
     ratio = F.col("k") / F.lit(1 / ratio_step)
-    rest = (F.lit(100.0) - F.col("coral_cover")) / 100
-    cc = F.col("coral_cover") / 100
-    tot_lwr = q.cca_lwr * rest + q.coral_upr * ratio * cc
-    tot = q.cca * rest + q.coral * ratio * cc
-    tot_upr = q.cca_upr * rest + q.coral_lwr * ratio * cc
-    own_lwr = q.coral_upr * ratio * cc
-    own = q.coral * ratio * cc
-    own_upr = q.coral_lwr * ratio * cc
     cover = F.col("coral_cover")
-    out = cells.groupBy("k").agg(
-        first_cover_at(_share(own_lwr, tot_lwr), cover).alias("threshold_lwr"),
-        first_cover_at(_share(own, tot), cover).alias("threshold"),
-        first_cover_at(_share(own_upr, tot_upr), cover).alias("threshold_upr"))
+
+    def at_half(bound: str) -> Column:
+        return first_cover_at(_share(*produced(q, bound, cover, ratio)), cover)
+
+    out = cells.groupBy("k").agg(at_half("lwr").alias("threshold_lwr"), at_half("median").alias("threshold"),
+                                 at_half("upr").alias("threshold_upr"))
     return out.select((F.col("k") / F.lit(1 / ratio_step)).alias("r"), "threshold_lwr", "threshold", "threshold_upr")

@@ -1,20 +1,16 @@
 """Exact positions of values within groups, computed without one task per group.
 
 A window ``partitionBy(group).orderBy(value)`` sends a whole group to a single
-task; with a group holding a third of all rows that task becomes the job.  Here
-positions are computed in stages that each spread work:
-
-1. pre-aggregate to distinct ``(group, value)`` with a multiplicity (map-side
-   combine; a hot value collapses to one row);
-2. an approximate, fixed-size sketch per group (``percentile_approx``) gives
-   bucket boundaries of roughly equal depth;
-3. per-(group, bucket) counts are tiny; their running sum gives the offset of
-   each bucket (a group uses as many buckets as its distinct count needs);
-4. a window per (group, bucket) orders only that bucket's distinct values.
-
-Because buckets are defined by value boundaries, the result is exact whatever
-the sketch error: the sketch only affects balance.  The joins on group keys go
-through AQE's skew-join split when a group is hot.
+task; with a group holding a third of all rows that task becomes the job.  Here:
+
+1. rows are pre-aggregated to distinct ``(group, value)`` with a multiplicity
+   (map-side combine; a hot value collapses to one row);
+2. these are range-partitioned by (group, value), so a hot group spreads over as
+   many partitions as its values fill, and written once with the number of the
+   partition (the ranges are sampled: the written table fixes them);
+3. per (group, partition) counts, a few numbers each, give the offset of every
+   partition in its group by a running sum;
+4. a window per (group, partition) orders only that part of a group.
 """
 
 from __future__ import annotations
@@ -25,74 +21,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reefline.operators.joins import join_null_safe
-
-FINE_BUCKETS = 256          # resolution of the sketch's boundaries
-ROWS_PER_BUCKET = 1_000_000  # distinct values one window partition may hold
-DEFAULT_ACCURACY = 2000
-
-
-def count_below(v, bounds, n: int, lo: int = 0, hi: int | None = None):
-    """Number of the ``n`` ascending ``bounds`` below ``v``, as a binary search
-    written out as nested CASE expressions (log2(n) compiled comparisons per
-    row; a higher-order ``filter`` would be interpreted once per element)."""
-    hi = n if hi is None else hi
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(bounds[mid] < v, count_below(v, bounds, n, mid + 1, hi)).otherwise(count_below(v, bounds, n, lo, mid))
+from reefline.session import cut_lineage
 
 
-def value_positions(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None,
-                    buckets: int = FINE_BUCKETS, accuracy: int = DEFAULT_ACCURACY,
-                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def value_positions(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """Distinct ``keys + [value]`` with ``_cnt`` (rows holding the value), ``_lt``
     (rows of the group with a smaller value) and ``_n`` (rows in the group).
 
     Rows with a NULL value are ignored; NULL keys form their own group.
-    ``weight`` (optional) is a per-row multiplicity column.  Each group uses
-    ``ceil(distinct values / rows_per_bucket)`` buckets (at most ``buckets``),
-    decided at run time from its own count: a small group is one window
-    partition, a hot group is split into many.
+    ``weight`` (optional) is a per-row multiplicity column.
     """
     keys = list(keys)
     w = F.col(weight) if weight else F.lit(1)
-    d = (df.where(F.col(value).isNotNull())
-           .groupBy(*keys, value).agg(F.sum(w).cast("long").alias("_cnt")))
-    probs = [i / buckets for i in range(1, buckets)]
-    sketch = d.groupBy(*keys).agg(
-        F.percentile_approx(F.col(value), probs, accuracy).alias("_bounds"),
-        F.sum("_cnt").alias("_n"), F.count(F.lit(1)).alias("_d"))
-    sketch = sketch.withColumn("_k", F.least(F.lit(buckets), F.greatest(
-        F.lit(1), F.ceil(F.col("_d") / F.lit(float(rows_per_bucket))))).cast("int")).drop("_d")
-    if keys:
-        d = join_null_safe(d, sketch, keys)
-    else:   # global: the sketch is one row, read as scalar subqueries (no join)
-        d = d.withColumns({c: sketch.select(c).scalar() for c in ("_bounds", "_n", "_k")})
-    fine = count_below(F.col(value), F.col("_bounds"), buckets - 1)
-    d = d.withColumn("_b", F.floor(fine * F.col("_k") / F.lit(buckets)).cast("int")).drop("_bounds", "_k")
-    per_bucket = d.groupBy(*keys, "_b").agg(F.sum("_cnt").alias("_bc"))
-    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("_off", F.coalesce(F.sum("_bc").over(wb), F.lit(0))).drop("_bc")
-    d = join_null_safe(d, per_bucket, keys + ["_b"])
-    wv = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_lt", (F.col("_off") + F.coalesce(F.sum("_cnt").over(wv), F.lit(0))).cast("long"))
-    return d.drop("_off", "_b")
-
-
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank",
-                 buckets: int = FINE_BUCKETS) -> DataFrame:
-    """Attach the 1-based average rank of ``value`` within ``keys`` (ties share the mean rank)."""
-    keys = list(keys)
-    pos = value_positions(df.select(*keys, value), keys, value, buckets=buckets)
-    pos = pos.select(*keys, value, (F.col("_lt") + (F.col("_cnt") + 1) / 2.0).alias(out))
-    return join_null_safe(df, pos, keys + [value], "left")
-
-
-def row_position(df: DataFrame, keys: Sequence[str], order: str, out: str = "position",
-                 buckets: int = FINE_BUCKETS) -> DataFrame:
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(w).cast("long").alias("_cnt"))
+    dealt = cut_lineage(distinct.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    parts = dealt.groupBy(*keys, "_part").agg(F.sum("_cnt").alias("_sum")).withColumns({
+        "_off": F.coalesce(F.sum("_sum").over(before), F.lit(0)), "_n": F.sum("_sum").over(whole)}).drop("_sum")
+    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = join_null_safe(dealt, parts, keys + ["_part"])
+    return out.withColumn("_lt", (F.col("_off") + F.coalesce(F.sum("_cnt").over(inside), F.lit(0))).cast("long")).drop("_off", "_part")
+
+
+def row_position(df: DataFrame, keys: Sequence[str], order: str, out: str = "position") -> DataFrame:
     """1-based position by ``order`` within ``keys`` for an order column unique per group."""
     keys = list(keys)
-    pos = value_positions(df.select(*keys, order), keys, order, buckets=buckets)
+    pos = value_positions(df.select(*keys, order), keys, order)
     pos = pos.select(*keys, order, (F.col("_lt") + 1).alias(out), F.col("_n").alias(f"{out}_n"))
     return join_null_safe(df, pos, keys + [order], "inner")
 

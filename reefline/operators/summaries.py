@@ -4,18 +4,8 @@ Exact quantiles are type 7 (linear interpolation between order statistics at
 ``(n-1)p``), the default of most statistics packages and of Spark's
 ``percentile`` and DuckDB's ``quantile_cont``.
 
-Two exact strategies:
-
-* ``"map"`` - Spark's ``percentile``: partial aggregation of a value -> count
-  map per group.  One shuffle, but a group's final map holds all of its
-  *distinct* values in one task.
-* ``"ranked"`` - ``ranking.value_positions``: distinct values are positioned
-  with bucketed running counts, so no task ever holds a whole group.
-
-``"auto"`` (default) measures the largest number of distinct values in any
-group with a HyperLogLog sketch (one small aggregate job) and uses ``"map"``
-only below ``MAP_DISTINCT_LIMIT``.  ``"approx"`` is the opt-in sketch path
-(``percentile_approx``), never used by the oracle-checked queries.
+They are read from ``ranking.value_positions``: distinct values are positioned
+with running counts over range partitions, so no task ever holds a whole group.
 """
 
 from __future__ import annotations
@@ -27,9 +17,6 @@ from pyspark.sql import functions as F
 
 from reefline.operators.joins import complete, join_null_safe
 from reefline.operators.ranking import quantiles_from_positions, value_positions
-from reefline.operators.sizing import estimated_rows
-
-MAP_DISTINCT_LIMIT = 1_000_000
 
 
 def qname(p: float) -> str:
@@ -52,70 +39,28 @@ def group_mean_sd(df: DataFrame, keys: Sequence[str], value: str, mean: str = "m
     return df.groupBy(*keys).agg(m.alias(mean), s.alias(sd))
 
 
-def max_distinct_per_group(df: DataFrame, keys: Sequence[str], value: str) -> int:
-    g = df.groupBy(*keys).agg(F.approx_count_distinct(value, 0.05).alias("_d"))
-    row = g.agg(F.max("_d").alias("m")).first()
-    return int(row["m"] or 0)
-
-
-def choose_strategy(df: DataFrame, keys: Sequence[str], value: str, strategy: str) -> str:
-    """``map`` when a group provably holds few distinct values, else ``ranked``.
-
-    Proof by the plan's size estimate (no job) when the whole input is small;
-    otherwise by a HyperLogLog count per group (one aggregate job)."""
-    if strategy != "auto":
-        return strategy
-    if estimated_rows(df) <= MAP_DISTINCT_LIMIT:
-        return "map"
-    return "map" if max_distinct_per_group(df, keys, value) <= MAP_DISTINCT_LIMIT else "ranked"
-
-
-def strategy_bounded_by(base: DataFrame) -> str:
-    """``map`` when ``base`` has at most ``MAP_DISTINCT_LIMIT`` rows, else ``auto``.
-
-    Valid for every input derived from ``base`` by filters, projections and
-    aggregations (they cannot add rows, so no group can hold more distinct
-    values).  On a materialised Parquet table the count reads footers only.
-    """
-    return "map" if base.count() <= MAP_DISTINCT_LIMIT else "auto"
-
-
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None, strategy: str = "auto",
-                    accuracy: int = 10000) -> DataFrame:
+                    names: Sequence[str] | None = None) -> DataFrame:
     """AGG-2 / AGG-4: exact type-7 quantiles per group (``keys=[]`` for global).
 
     NULL values are skipped (a missing value would be an error upstream).
     """
     keys = list(keys)
     names = list(names or [qname(p) for p in probs])
-    src = df.select(*keys, value).where(F.col(value).isNotNull())
-    how = choose_strategy(src, keys, value, strategy)
-    if how == "ranked":
-        return quantiles_from_positions(value_positions(src, keys, value), keys, value, probs, names)
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    if how == "approx":
-        agg = F.percentile_approx(F.col(value), arr, accuracy)
-    elif how == "map":
-        agg = F.percentile(F.col(value), arr)
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    out = src.groupBy(*keys).agg(agg.alias("_q"))
-    return out.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    return quantiles_from_positions(value_positions(df.select(*keys, value), keys, value), keys, value, probs, names)
 
 
 def quantile_of_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                          label_col: str, label: str, names: Sequence[str] | None = None,
-                          strategy: str = "auto") -> DataFrame:
+                          label_col: str, label: str, names: Sequence[str] | None = None) -> DataFrame:
     """AGG-3: per-group p-quantile, then the same p-quantile across groups, as one
     row labelled ``label`` in ``label_col``."""
     names = list(names or [qname(p) for p in probs])
-    per_group = group_quantiles(df, keys, value, probs, names, strategy)
+    per_group = group_quantiles(df, keys, value, probs, names)
     # Long form (quantile name, value) so one aggregation serves every column;
     # each column then keeps the quantile at its own probability.
     long = per_group.select(F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), F.col(n).alias("_v"))
                                                 for n in names])).alias("_s")).select("_s._name", "_s._v")
-    qq = group_quantiles(long, ["_name"], "_v", probs, names, strategy)
+    qq = group_quantiles(long, ["_name"], "_v", probs, names)
     row = qq.agg(*[F.max(F.when(F.col("_name") == n, F.col(n))).alias(n) for n in names])
     return row.select(F.lit(label).alias(label_col), *names)
 
@@ -137,13 +82,12 @@ def crosstab_long(df: DataFrame, a: str, b: str, count: str = "n") -> DataFrame:
     return complete(counts, a, b, fill={count: 0})
 
 
-def box_stats(df: DataFrame, keys: Sequence[str], value: str, coef: float = 1.5,
-              strategy: str = "auto") -> DataFrame:
+def box_stats(df: DataFrame, keys: Sequence[str], value: str, coef: float = 1.5) -> DataFrame:
     """AGG-9: box-plot statistics per group: hinges and median (type 7), whiskers at
     the most extreme values within ``coef`` IQR of the hinges, outlier count."""
     keys = list(keys)
     src = df.select(*keys, value).where(F.col(value).isNotNull() & ~F.isnan(value))
-    q = group_quantiles(src, keys, value, [0.25, 0.5, 0.75], ["lower", "middle", "upper"], strategy)
+    q = group_quantiles(src, keys, value, [0.25, 0.5, 0.75], ["lower", "middle", "upper"])
     q = q.withColumn("_iqr", F.col("upper") - F.col("lower"))
     lo = F.col("lower") - F.lit(coef) * F.col("_iqr")
     hi = F.col("upper") + F.lit(coef) * F.col("_iqr")
@@ -163,10 +107,3 @@ def distinct_count(df: DataFrame, column: str, with_null: bool = True, out: str
     if with_null:
         n = n + F.max(F.col(column).isNull().cast("int"))
     return df.agg(n.cast("long").alias(out))
-
-
-def distinct_over_columns(df: DataFrame, columns: Sequence[str], out: str = "value") -> DataFrame:
-    """SET-4: distinct values of several columns taken together."""
-    from functools import reduce
-    parts = [df.select(F.col(c).alias(out)) for c in columns]
-    return reduce(lambda a, b: a.unionByName(b), parts).distinct()

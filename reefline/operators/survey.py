@@ -47,20 +47,21 @@ def ssd(c: str, strict: bool = True) -> Column:
 
 
 def restrict_years(df: DataFrame, years: DataFrame, year: str = "year") -> DataFrame:
-    """JOI-2: survey rows whose year is in the dimension (semi join, small side)."""
-    return df.join(F.broadcast(years.select(year).distinct()), on=year, how="left_semi")
+    """JOI-2: survey rows whose year is in the dimension (semi join)."""
+    return df.join(years.select(year).distinct(), on=year, how="left_semi")
 
 
 def site_rollup(df: DataFrame, value: str, lv: Levels = Levels(), out: str = "cover", strict: bool = True,
-                num_partitions: int | None = None) -> DataFrame:
-    """AGG-6: (year, site) -> mean cover and mean of habitat-level SDs of transects."""
+                num_partitions: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """AGG-6: (year, site) -> mean cover and mean of habitat-level SDs of transects, for each value of ``by``."""
     y, s, h, t, q = lv.year, lv.site, lv.habitat, lv.transect, lv.quadrat
+    by = list(by)
     sd_out = f"sd_{out}"
-    quad = df.groupBy(y, s, h, t, q).agg(smean(value, strict).alias(out))
-    quad = quad.repartition(num_partitions, y, s) if num_partitions else quad.repartition(y, s)
-    tran = quad.groupBy(y, s, h, t).agg(smean(out, strict).alias(out))
-    hab = tran.groupBy(y, s, h).agg(ssd(out, strict).alias(sd_out), smean(out, strict).alias(out))
-    return hab.groupBy(y, s).agg(smean(out, strict).alias(out), smean(sd_out, strict).alias(sd_out))
+    quad = df.groupBy(*by, y, s, h, t, q).agg(smean(value, strict).alias(out))
+    quad = quad.repartition(num_partitions, *by, y, s) if num_partitions else quad.repartition(*by, y, s)
+    tran = quad.groupBy(*by, y, s, h, t).agg(smean(out, strict).alias(out))
+    hab = tran.groupBy(*by, y, s, h).agg(ssd(out, strict).alias(sd_out), smean(out, strict).alias(out))
+    return hab.groupBy(*by, y, s).agg(smean(out, strict).alias(out), smean(sd_out, strict).alias(sd_out))
 
 
 def with_rate(sites: DataFrame, rate: Column, cover: str = "cover", out: str = "cr") -> DataFrame:
@@ -69,8 +70,8 @@ def with_rate(sites: DataFrame, rate: Column, cover: str = "cover", out: str = "
 
 
 def join_dimension(df: DataFrame, dim: DataFrame, on: str = "year") -> DataFrame:
-    """JOI-1: inner join to a small, fixed-size yearly dimension (broadcast)."""
-    return df.join(F.broadcast(dim), on=on, how="inner")
+    """JOI-1: inner join to a yearly dimension."""
+    return df.join(dim, on=on, how="inner")
 
 
 def year_summary(sites: DataFrame, cols: Sequence[str], year: str = "year", strict: bool = True) -> DataFrame:

@@ -56,7 +56,7 @@ def scan_draws(spark, sf_dir):
     return rounded(B.draws(spark, sf_dir))
 
 
-@query("scan_union_distinct", review_with("SELECT pubyear, genus, species, " + r("conx", "conx") + " FROM niklas"))
+@query("scan_union_distinct", review_with("SELECT pubyear, genus, species, " + r("conx", "conx") + " FROM reference_rates"))
 def scan_union_distinct(spark, sf_dir):
     """SRC-3 / SET-1 / SET-3 / FIL-10 / CLN-16: two sheets, distinct each, nulls dropped
     in the first only, appended and rescaled."""

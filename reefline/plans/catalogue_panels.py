@@ -8,7 +8,7 @@ from reefline import fixed_values as fv
 from reefline.operators import model as MD
 from reefline.operators import panels as PN
 from reefline.plans.catalogue_summaries import QUANTILE_SUMMARY_SQL, _growth, quantile_summary
-from reefline.plans.registry import query, r, rounded
+from reefline.plans.registry import query, r, round_fixed, round_sig, rounded, rs
 from reefline.plans.review_sql import in_set, review_with
 from reefline.sinks import part_numbers, write_figure_data
 from reefline.sqltext import sql_str
@@ -38,11 +38,13 @@ def model_frames(spark, sf_dir):
 
 @query("cell_statistics", _with_frames(
     "SELECT dataset, climate, genus, method_family, count(rate_std) AS n, " + r("sum(rate_std)", "sum_y") + ", "
-    + r("avg(rate_std)", "mean_y") + ", " + r("stddev_samp(rate_std)", "sd_y")
+    + r("avg(rate_std)", "mean_y") + ", " + r("stddev_samp(rate_std)", "sd_y") + ", " + rs("sum(rate_std * rate_std)", "sum_y2")
     + " FROM frames GROUP BY dataset, climate, genus, method_family"))
 def cell_statistics(spark, sf_dir):
-    """AGG-16: n, sum, mean and SD of the rate per (dataset, climate, genus, method family)."""
-    return rounded(MD.cell_statistics(MD.model_frames(_growth(spark, sf_dir))).drop("sum_y2"))
+    """AGG-16: n, sum, sum of squares, mean and SD of the rate per (dataset, climate, genus, method family)."""
+    cells = MD.cell_statistics(MD.model_frames(_growth(spark, sf_dir)))
+    doubles = [round_fixed(F.col(c)).alias(c) for c in ("sum_y", "mean_y", "sd_y")]
+    return cells.select("dataset", "climate", "genus", "method_family", "n", *doubles, round_sig(F.col("sum_y2"), 10).alias("sum_y2"))
 
 
 @query("method_effect", _with_frames(

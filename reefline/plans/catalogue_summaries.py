@@ -33,16 +33,10 @@ def _data_cca(spark, sf_dir):
     return RV.cca_surface_g_cm2_year(_growth(spark, sf_dir))
 
 
-def _niklas(spark, sf_dir):
+def _reference_rates(spark, sf_dir):
     return FG.reference_rates(*B.reference_parts(spark, sf_dir))
 
 
-def _lineitem_bound(spark, sf_dir):
-    """Quantile strategy for inputs derived from the rates binding: lineitem joined
-    to unique-key dimensions, then filtered, so lineitem's (footer) count bounds it."""
-    return S.strategy_bounded_by(driver_table(spark, sf_dir, "lineitem", ["l_orderkey"]))
-
-
 def _rq(names):
     return ", ".join(r(n, n) for n in names)
 
@@ -65,25 +59,15 @@ QUANTILE_SUMMARY_SQL = review_with(
     f"SELECT component, genus, {_rq(QN)} FROM ("
     f"SELECT 'CCA' AS component, * FROM ({quantiles_sql(_CCA_WARM, ['genus'], 'rate_std', QP, QN)}) UNION ALL "
     f"SELECT 'CCA', * FROM ({_qoq_sql(_CCA_CRUST, 'genus', 'rate_std', 'All CCA')}) UNION ALL "
-    f"SELECT 'Coral', * FROM ({quantiles_sql('niklas', ['genus'], 'conx', QP, QN)}) UNION ALL "
-    f"SELECT 'Coral', * FROM ({_qoq_sql('niklas', 'genus', 'conx', 'All Corals')}))")
-
-
-def _strategy(spark, sf_dir, growth):
-    """One bound for every quantile of a query: the materialised growth table and
-    the orders table (the reference rates derive from orders by a unique-key join,
-    distinct and filters) bound all inputs."""
-    orders = driver_table(spark, sf_dir, "orders", ["o_orderkey"])
-    a, b = S.strategy_bounded_by(growth), S.strategy_bounded_by(orders)
-    return "map" if a == b == "map" else "auto"
+    f"SELECT 'Coral', * FROM ({quantiles_sql('reference_rates', ['genus'], 'conx', QP, QN)}) UNION ALL "
+    f"SELECT 'Coral', * FROM ({_qoq_sql('reference_rates', 'genus', 'conx', 'All Corals')}))")
 
 
 @query("quantile_summary", QUANTILE_SUMMARY_SQL)
 def quantile_summary(spark, sf_dir):
     """ANA-6 (flagship): per-genus quantiles and the quantile-of-quantiles rows."""
     g = _growth(spark, sf_dir)
-    how = _strategy(spark, sf_dir, g)
-    return rounded(FG.quantile_summary(RV.cca_surface_g_cm2_year(g), _niklas(spark, sf_dir), how)
+    return rounded(FG.quantile_summary(RV.cca_surface_g_cm2_year(g), _reference_rates(spark, sf_dir))
                    .select("component", "genus", *QN))
 
 
@@ -98,20 +82,20 @@ _GQ_SQL = (f"WITH rates AS ({B.study_rates_sql()}) "
 def group_quantiles(spark, sf_dir):
     """AGG-2: exact quantiles of the reported rate per genus (first word of the species)."""
     rates = B.study_rates(spark, sf_dir).select(genus_of("species").alias("genus"), "rate")
-    return rounded(S.group_quantiles(rates, ["genus"], "rate", QP, QN, _lineitem_bound(spark, sf_dir)))
+    return rounded(S.group_quantiles(rates, ["genus"], "rate", QP, QN))
 
 
 @query("group_quantiles_ranked", _GQ_SQL)
 def group_quantiles_ranked(spark, sf_dir):
-    """AGG-2 through the skew-proof ranked strategy (bucketed exact positions)."""
-    rates = B.study_rates(spark, sf_dir).select(genus_of("species").alias("genus"), "rate")
-    return rounded(S.group_quantiles(rates, ["genus"], "rate", QP, QN, strategy="ranked"))
+    """AGG-2 with the rows dealt out anew first: the result does not depend on the partitioning."""
+    rates = B.study_rates(spark, sf_dir).select(genus_of("species").alias("genus"), "rate").repartition("rate")
+    return rounded(S.group_quantiles(rates, ["genus"], "rate", QP, QN))
 
 
-@query("quantile_of_quantiles", review_with(f"SELECT genus, {_rq(QN)} FROM ({_qoq_sql('niklas', 'genus', 'conx', 'All Corals')})"))
+@query("quantile_of_quantiles", review_with(f"SELECT genus, {_rq(QN)} FROM ({_qoq_sql('reference_rates', 'genus', 'conx', 'All Corals')})"))
 def quantile_of_quantiles(spark, sf_dir):
     """AGG-3: the 'All Corals' row."""
-    return rounded(S.quantile_of_quantiles(_niklas(spark, sf_dir), ["genus"], "conx", QP, "genus", "All Corals", QN))
+    return rounded(S.quantile_of_quantiles(_reference_rates(spark, sf_dir), ["genus"], "conx", QP, "genus", "All Corals", QN))
 
 
 GQ = [S.qname(p) for p in fv.GLOBAL_QUANTILE_PROBS]
@@ -119,23 +103,22 @@ GQ = [S.qname(p) for p in fv.GLOBAL_QUANTILE_PROBS]
 
 @query("global_quantiles", review_with(
     f"SELECT 'CCA' AS component, {_rq(GQ)} FROM ({quantiles_sql('data_cca', [], 'rate_std', fv.GLOBAL_QUANTILE_PROBS, GQ)}) "
-    f"UNION ALL SELECT 'Coral', {_rq(GQ)} FROM ({quantiles_sql('niklas', [], 'conx', fv.GLOBAL_QUANTILE_PROBS, GQ)})"))
+    f"UNION ALL SELECT 'Coral', {_rq(GQ)} FROM ({quantiles_sql('reference_rates', [], 'conx', fv.GLOBAL_QUANTILE_PROBS, GQ)})"))
 def global_quantiles(spark, sf_dir):
     """AGG-4: the 7-probability quantile vector of each component."""
     g = _growth(spark, sf_dir)
-    how = _strategy(spark, sf_dir, g)
-    c = S.group_quantiles(RV.cca_surface_g_cm2_year(g), [], "rate_std", fv.GLOBAL_QUANTILE_PROBS, GQ, how)
-    k = S.group_quantiles(_niklas(spark, sf_dir), [], "conx", fv.GLOBAL_QUANTILE_PROBS, GQ, how)
+    c = S.group_quantiles(RV.cca_surface_g_cm2_year(g), [], "rate_std", fv.GLOBAL_QUANTILE_PROBS, GQ)
+    k = S.group_quantiles(_reference_rates(spark, sf_dir), [], "conx", fv.GLOBAL_QUANTILE_PROBS, GQ)
     return rounded(c.select(F.lit("CCA").alias("component"), *GQ)
                    .unionByName(k.select(F.lit("Coral").alias("component"), *GQ)))
 
 
 @query("group_plus_total", review_with(
     f"SELECT genus, {r('mean', 'mean')}, {r('sd', 'sd')} FROM (SELECT genus, avg(conx) AS mean, stddev_samp(conx) AS sd "
-    f"FROM niklas GROUP BY genus UNION ALL SELECT 'All Corals', avg(conx), stddev_samp(conx) FROM niklas)"))
+    f"FROM reference_rates GROUP BY genus UNION ALL SELECT 'All Corals', avg(conx), stddev_samp(conx) FROM reference_rates)"))
 def group_plus_total(spark, sf_dir):
     """AGG-5: per-genus mean and SD plus the grand total in one grouping-sets aggregate."""
-    return rounded(S.with_total(_niklas(spark, sf_dir), "genus", "conx", "All Corals"))
+    return rounded(S.with_total(_reference_rates(spark, sf_dir), "genus", "conx", "All Corals"))
 
 
 @query("group_mean_sd", review_with(
@@ -177,8 +160,7 @@ def crosstab_long(spark, sf_dir):
 def box_stats(spark, sf_dir):
     """AGG-9: box-plot statistics of biomass rates (<= 10) per method family."""
     b = RV.harmonise_biomass(RV.prepare(B.study_rates(spark, sf_dir)))
-    return rounded(S.box_stats(b.where(F.col("rate_std") <= 10), ["method_family"], "rate_std",
-                               strategy=_lineitem_bound(spark, sf_dir)))
+    return rounded(S.box_stats(b.where(F.col("rate_std") <= 10), ["method_family"], "rate_std"))
 
 
 @query("distinct_with_null", "WITH rates AS (" + B.study_rates_sql() + ") SELECT "
@@ -194,48 +176,39 @@ def _rates_sql() -> str:
     def q(src, col, p):
         return f"(SELECT q FROM ({quantiles_sql(src, [], col, [p], ['q'])}))"
     return (f"SELECT {q('data_cca', 'rate_std', 0.25)} * 10.0 AS cca_lwr, {q('data_cca', 'rate_std', 0.5)} * 10.0 AS cca, "
-            f"{q('data_cca', 'rate_std', 0.75)} * 10.0 AS cca_upr, {q('niklas', 'conx', 0.25)} * 10.0 AS coral_lwr, "
-            f"{q('niklas', 'conx', 0.5)} * 10.0 AS coral, {q('niklas', 'conx', 0.75)} * 10.0 AS coral_upr")
+            f"{q('data_cca', 'rate_std', 0.75)} * 10.0 AS cca_upr, {q('reference_rates', 'conx', 0.25)} * 10.0 AS coral_lwr, "
+            f"{q('reference_rates', 'conx', 0.5)} * 10.0 AS coral, {q('reference_rates', 'conx', 0.75)} * 10.0 AS coral_upr")
+
+
+def _own_total_sql(bound: str, ratio: str) -> tuple[str, str]:
+    """The stated formulas for one bound: own = q1 r c / 100, total = q2 (100 - c) / 100 + own, bounds crossed."""
+    q2, q1 = {"lwr": ("cca_lwr", "coral_upr"), "median": ("cca", "coral"), "upr": ("cca_upr", "coral_lwr")}[bound]
+    own = f"{q1} * {ratio} * (coral_cover / 100.0)"
+    return own, f"{q2} * ((100.0 - coral_cover) / 100.0) + {own}"
+
+
+def _share_sql(part: str, total: str) -> str:
+    return f"(({part}) / NULLIF(({total}), 0)) * 100.0"
 
 
 def _curve_sql() -> list[tuple[str, str]]:
-    rest = "((100.0 - coral_cover) / 100.0)"
-    cc = "(coral_cover / 100.0)"
-    ca = "(cca_cover / 100.0)"
-    rb, rm = "2.97", "1.54"
-    c = [
-        ("lwr", f"cca_lwr * {rest} + coral_upr * {cc}"), ("median", f"cca * {rest} + coral * {cc}"),
-        ("upr", f"cca_upr * {rest} + coral_lwr * {cc}"), ("lwr_ccoral", f"coral_upr * {cc}"),
-        ("median_ccoral", f"coral * {cc}"), ("upr_ccoral", f"coral_lwr * {cc}"),
-        ("lwr_ccca", f"cca_upr * {ca}"), ("median_ccca", f"cca * {ca}"), ("upr_ccca", f"cca_lwr * {ca}"),
-        ("lwr_b", f"cca_lwr * {rest} + coral_upr * {rb} * {cc}"), ("median_b", f"cca * {rest} + coral * {rb} * {cc}"),
-        ("upr_b", f"cca_upr * {rest} + coral_lwr * {rb} * {cc}"), ("lwr_ccoral_b", f"coral_upr * {rb} * {cc}"),
-        ("median_ccoral_b", f"coral * {rb} * {cc}"), ("upr_ccoral_b", f"coral_lwr * {rb} * {cc}"),
-        ("lwr_m", f"cca_lwr * {rest} + coral_upr * {rm} * {cc}"), ("median_m", f"cca * {rest} + coral * {rm} * {cc}"),
-        ("upr_m", f"cca_upr * {rest} + coral_lwr * {rm} * {cc}"), ("lwr_ccoral_m", f"coral_upr * {rm} * {cc}"),
-        ("median_ccoral_m", f"coral * {rm} * {cc}"), ("upr_ccoral_m", f"coral_lwr * {rm} * {cc}"),
-    ]
-    d = dict(c)
-
-    def sh(a, b):
-        return f"(({d[a]}) / NULLIF(({d[b]}), 0)) * 100.0"
-    s = [
-        ("g_percent_coral_lwr", sh("lwr_ccoral", "lwr")), ("g_percent_coral", sh("median_ccoral", "median")),
-        ("g_percent_coral_upr", sh("upr_ccoral", "upr")), ("g_percent_cca_lwr", sh("lwr_ccca", "upr")),
-        ("g_percent_cca", sh("median_ccca", "median")), ("g_percent_cca_upr", sh("upr_ccca", "lwr")),
-        ("g_percent_branching_lwr", sh("lwr_ccoral_b", "lwr_b")), ("g_percent_branching", sh("median_ccoral_b", "median_b")),
-        ("g_percent_branching_upr", sh("upr_ccoral_b", "upr_b")), ("g_percent_massive_lwr", sh("lwr_ccoral_m", "lwr_m")),
-        ("g_percent_massive", sh("median_ccoral_m", "median_m")), ("g_percent_massive_upr", sh("upr_ccoral_m", "upr_m")),
-        ("gb_percent_cca_lwr", sh("lwr_ccca", "upr_b")), ("gb_percent_cca", sh("median_ccca", "median_b")),
-        ("gb_percent_cca_upr", sh("upr_ccca", "lwr_b")), ("gm_percent_cca_lwr", sh("lwr_ccca", "upr_m")),
-        ("gm_percent_cca", sh("median_ccca", "median_m")), ("gm_percent_cca_upr", sh("upr_ccca", "lwr_m")),
-    ]
-    return c + s
+    other = {"lwr": "cca_upr * (cca_cover / 100.0)", "median": "cca * (cca_cover / 100.0)", "upr": "cca_lwr * (cca_cover / 100.0)"}
+    opposite = {"lwr": "upr", "median": "median", "upr": "lwr"}
+    out = [(f"{b}_ccca", e) for b, e in other.items()]
+    for form, of_own, of_other, ratio in (("", "g_percent_coral", "g_percent_cca", "1.0"),
+                                          ("_b", "g_percent_branching", "gb_percent_cca", "2.97"),
+                                          ("_m", "g_percent_massive", "gm_percent_cca", "1.54")):
+        for b in opposite:
+            own, total = _own_total_sql(b, ratio)
+            end = "" if b == "median" else "_" + b
+            out += [(f"{b}_ccoral{form}", own), (f"{b}{form}", total), (of_own + end, _share_sql(own, total)),
+                    (of_other + end, _share_sql(other[b], _own_total_sql(opposite[b], ratio)[1]))]
+    return out
 
 
 def _mixture_rates(spark, sf_dir):
     g = _growth(spark, sf_dir)
-    return FG.mixture_rates(RV.cca_surface_g_cm2_year(g), _niklas(spark, sf_dir), _strategy(spark, sf_dir, g))
+    return FG.mixture_rates(RV.cca_surface_g_cm2_year(g), _reference_rates(spark, sf_dir))
 
 
 _GRID = "(SELECT range * 0.01::DOUBLE AS cca_cover, 100.0::DOUBLE - range * 0.01::DOUBLE AS coral_cover FROM range(10001))"
@@ -262,15 +235,7 @@ def crossover_thresholds_q(spark, sf_dir):
 
 
 def _sweep_sql() -> str:
-    rest = "((100.0 - coral_cover) / 100.0)"
-    cc = "(coral_cover / 100.0)"
-    ratio = "(k / 100.0)"
-
-    def share(own, tot):
-        return f"(({own}) / NULLIF(({tot}), 0)) * 100.0"
-    lwr = share(f"coral_upr * {ratio} * {cc}", f"cca_lwr * {rest} + coral_upr * {ratio} * {cc}")
-    med = share(f"coral * {ratio} * {cc}", f"cca * {rest} + coral * {ratio} * {cc}")
-    upr = share(f"coral_lwr * {ratio} * {cc}", f"cca_upr * {rest} + coral_lwr * {ratio} * {cc}")
+    lwr, med, upr = (_share_sql(*_own_total_sql(b, "(k / 100.0)")) for b in ("lwr", "median", "upr"))
     cells = ("(SELECT CAST(range // 10001 + 1 AS INTEGER) AS k, 100.0::DOUBLE - (range % 10001) * 0.01::DOUBLE AS coral_cover "
              "FROM range(4000400))")
     return (f"SELECT k / 100.0 AS r, max(CASE WHEN ceil({lwr}) = 50 THEN coral_cover END) AS threshold_lwr, "

@@ -41,7 +41,7 @@ def _survey_sql(body: str) -> str:
 
 def _res(spark, sf_dir):
     q = _mixture_rates(spark, sf_dir)
-    return SP.survey_rollup(B.survey(spark, sf_dir), B.survey_complexity(spark), q.cca, q.coral)
+    return SP.survey_rollup(B.survey(spark, sf_dir), B.survey_complexity(spark), q.cca["median"], q.coral["median"])
 
 
 @query("nested_survey", _survey_sql(

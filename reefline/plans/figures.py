@@ -22,40 +22,38 @@ def reference_rates(part1: DataFrame, part2: DataFrame) -> DataFrame:
     return out.withColumn("conx", F.col("conx") / 1000 * fv.YEAR_TO_DAY)
 
 
-def cca_quantiles(data_cca: DataFrame, strategy: str = "auto") -> DataFrame:
+def cca_quantiles(data_cca: DataFrame) -> DataFrame:
     """Per-genus quantiles of warm-climate CCA rates plus the 'All CCA' row."""
     warm = data_cca.where(is_in("climate", CCA_CLIMATES))
-    per_genus = S.group_quantiles(warm, ["genus"], "rate_std", fv.QUANTILE_PROBS, QUANTILE_NAMES, strategy)
+    per_genus = S.group_quantiles(warm, ["genus"], "rate_std", fv.QUANTILE_PROBS, QUANTILE_NAMES)
     crustose = warm.where(not_in("genus", fv.ARTICULATE_GENERA)).where(F.col("genus") != fv.HALIMEDA)
-    avg = S.quantile_of_quantiles(crustose, ["genus"], "rate_std", fv.QUANTILE_PROBS, "genus", "All CCA",
-                                  QUANTILE_NAMES, strategy)
+    avg = S.quantile_of_quantiles(crustose, ["genus"], "rate_std", fv.QUANTILE_PROBS, "genus", "All CCA", QUANTILE_NAMES)
     return per_genus.unionByName(avg)
 
 
-def coral_quantiles(niklas: DataFrame, strategy: str = "auto") -> DataFrame:
+def coral_quantiles(coral: DataFrame) -> DataFrame:
     """Per-genus quantiles of coral rates plus the 'All Corals' row."""
-    per_genus = S.group_quantiles(niklas, ["genus"], "conx", fv.QUANTILE_PROBS, QUANTILE_NAMES, strategy)
-    avg = S.quantile_of_quantiles(niklas, ["genus"], "conx", fv.QUANTILE_PROBS, "genus", "All Corals",
-                                  QUANTILE_NAMES, strategy)
+    per_genus = S.group_quantiles(coral, ["genus"], "conx", fv.QUANTILE_PROBS, QUANTILE_NAMES)
+    avg = S.quantile_of_quantiles(coral, ["genus"], "conx", fv.QUANTILE_PROBS, "genus", "All Corals", QUANTILE_NAMES)
     return per_genus.unionByName(avg)
 
 
-def quantile_summary(data_cca: DataFrame, niklas: DataFrame, strategy: str = "auto") -> DataFrame:
+def quantile_summary(data_cca: DataFrame, coral: DataFrame) -> DataFrame:
     """ANA-6: both quantile tables, tagged by component."""
-    return (cca_quantiles(data_cca, strategy).withColumn("component", F.lit("CCA"))
-            .unionByName(coral_quantiles(niklas, strategy).withColumn("component", F.lit("Coral"))))
+    return (cca_quantiles(data_cca).withColumn("component", F.lit("CCA"))
+            .unionByName(coral_quantiles(coral).withColumn("component", F.lit("Coral"))))
 
 
-def mixture_rates(data_cca: DataFrame, niklas: DataFrame, strategy: str = "auto") -> Rates:
+def mixture_rates(data_cca: DataFrame, coral: DataFrame) -> Rates:
     """Quartile rates x 10 (g cm-2 yr-1 -> kg m-2 yr-1) as scalar subqueries."""
     probs = [0.25, 0.5, 0.75]
     names = ["q25", "q50", "q75"]
     # One struct-valued scalar subquery per component; its three uses are the
     # same subquery plan, which Spark computes once (subquery reuse).
-    cq = S.group_quantiles(data_cca, [], "rate_std", probs, names, strategy)
-    kq = S.group_quantiles(niklas, [], "conx", probs, names, strategy)
+    cq = S.group_quantiles(data_cca, [], "rate_std", probs, names)
+    kq = S.group_quantiles(coral, [], "conx", probs, names)
     c = cq.select(F.struct(*names).alias("s")).scalar()
     k = kq.select(F.struct(*names).alias("s")).scalar()
     ten = F.lit(fv.G_CM2_TO_KG_M2)
-    return Rates(cca_lwr=c["q25"] * ten, cca=c["q50"] * ten, cca_upr=c["q75"] * ten,
-                 coral_lwr=k["q25"] * ten, coral=k["q50"] * ten, coral_upr=k["q75"] * ten)
+    bounds = dict(zip(("lwr", "median", "upr"), names))
+    return Rates(cca={b: c[n] * ten for b, n in bounds.items()}, coral={b: k[n] * ten for b, n in bounds.items()})

@@ -152,7 +152,7 @@ def review_ctes() -> list[tuple[str, str]]:
                            f"genus = {sql_str(g_genus)} THEN {sql_str(g_clim)} ELSE climate END AS climate) FROM g2"))
     ctes.append(("data_cca", f"SELECT * REPLACE (rate_std / 1000 * 365.25 AS rate_std, std_error / 1000 * 365.25 AS std_error) "
                              f"FROM growth WHERE standardization = {sql_str(fv.STANDARDIZATION_SURFACE)}"))
-    ctes.append(("niklas", "SELECT pubyear, genus, species, conx / 1000 * 365.25 AS conx FROM ("
+    ctes.append(("reference_rates", "SELECT pubyear, genus, species, conx / 1000 * 365.25 AS conx FROM ("
                            "SELECT * FROM (SELECT DISTINCT * FROM ref_part1) WHERE pubyear IS NOT NULL AND genus IS NOT NULL "
                            "AND species IS NOT NULL AND conx IS NOT NULL UNION ALL SELECT DISTINCT * FROM ref_part2)"))
     return ctes

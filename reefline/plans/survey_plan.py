@@ -1,4 +1,4 @@
-"""Survey roll-up and contribution (ANA-10, ANA-11) as one lazy plan."""
+"""Survey roll-up and contribution (ANA-10, ANA-11) with one pass over the survey."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reefline import fixed_values as fv
+from reefline.functions.predicates import is_in
 from reefline.operators import survey as SV
+from reefline.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -23,10 +25,11 @@ def survey_rollup(survey: DataFrame, complexity: DataFrame, cca_rate: Column, co
                   group_col: str = "functional_group") -> SurveyResult:
     """ANA-10: both functional groups rolled up to sites and years, with production
     (cover x rate) and, for corals, the structural-complexity multiplier."""
-    cca = SV.restrict_years(SV.group_rows(survey, group_col, fv.CCA_GROUP), complexity)
-    cca_sites = SV.with_rate(SV.site_rollup(cca, "percent_cover"), cca_rate)
-    coral = SV.restrict_years(SV.group_rows(survey, group_col, fv.CORAL_GROUP), complexity)
-    coral_sites = SV.join_dimension(SV.with_rate(SV.site_rollup(coral, "percent_cover"), coral_rate), complexity)
+    both = SV.restrict_years(survey.where(is_in(group_col, [fv.CCA_GROUP, fv.CORAL_GROUP])), complexity)
+    sites = cut_lineage(SV.site_rollup(both, "percent_cover", by=[group_col]))       # one pass over the survey
+    cca_sites = SV.with_rate(SV.group_rows(sites, group_col, fv.CCA_GROUP).drop(group_col), cca_rate)
+    coral_sites = SV.group_rows(sites, group_col, fv.CORAL_GROUP).drop(group_col)
+    coral_sites = SV.join_dimension(SV.with_rate(coral_sites, coral_rate), complexity)
     coral_sites = coral_sites.withColumn("cr_sc", F.col("cr") * F.col("sc"))
     cca_years = SV.year_summary(cca_sites, ["cover", "cr"])
     coral_years = SV.join_dimension(SV.year_summary(coral_sites, ["cover", "cr"]), complexity)

@@ -7,7 +7,6 @@ is a convenience for scripts, tests and the benchmark.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -26,35 +25,32 @@ SESSION_DEFAULTS = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "reefline") -> SparkSession:
+                app_name: str = "reefline", driver_memory: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the library defaults.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or *]``; on a cluster pass ``None``
-    from a spark-submit job and the master from the submit wins.
+    Nothing that a submit decides is set unless asked for: without ``master`` and
+    ``driver_memory`` those of spark-submit (or of the running session) hold.
     """
     builder = SparkSession.builder.appName(app_name)
-    if master is None and "SPARK_MASTER" not in os.environ:
-        master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     for k, v in SESSION_DEFAULTS.items():
         builder = builder.config(k, v)
-    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-    builder = builder.config("spark.driver.memory", os.environ.get("REEFLINE_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is used as is.  Only
-    when it is unset (unit tests, ad-hoc local runs) a fresh local folder is
-    created; lineage is never cut with ``localCheckpoint``.
+    On a cluster that setting must point at shared storage and is used as is.  Only
+    in local mode (one machine, as in tests) a fresh folder of that machine is
+    made where it is unset; lineage is never cut with ``localCheckpoint``.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -62,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="reefline-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reefline.operators.joins import broadcast_if_small, join_null_safe
+from reefline.operators.joins import join_null_safe
+from reefline.operators.ranking import value_positions
 from reefline.session import ensure_checkpoint_dir
 
 
@@ -33,8 +34,9 @@ def write_parts(df: DataFrame, key: str, path: str, fmt: str = "parquet") -> str
 
 
 def part_numbers(df: DataFrame, key: str, out: str = "part") -> DataFrame:
-    """SRT-2 / SNK-2: number the parts 1..k in sorted key order (as a split by key
-    returns them), computed on the distinct keys only and joined back."""
-    keys = df.select(key).distinct()
-    numbered = keys.withColumn(out, F.row_number().over(Window.orderBy(F.col(key).asc_nulls_last())))
-    return join_null_safe(df, broadcast_if_small(numbered, 100_000), [key], "left")
+    """SRT-2 / SNK-2: number the parts 1..k in sorted key order, null last (as a split by
+    key returns them), computed on the distinct keys only and joined back."""
+    keys = value_positions(df.select(key).distinct(), [], key)
+    numbered = keys.select(key, (F.col("_lt") + 1).cast("int").alias(out))
+    last = numbered.agg((F.coalesce(F.max(out), F.lit(0)) + 1).alias("n")).select("n").scalar()
+    return join_null_safe(df, numbered, [key], "left").withColumn(out, F.coalesce(F.col(out), last))

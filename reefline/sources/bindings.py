@@ -8,9 +8,8 @@ queries use as a CTE.
 
 Join strategy: the fact side (lineitem / orders / events) is never broadcast;
 nation and region have a fixed size (25 / 5 rows) and are broadcast; part,
-supplier and customer grow with the data, so they are broadcast only after an
-exact row count proves them small (``dimension``), and joined by shuffle
-otherwise.
+supplier and customer grow with the data, so the choice is left to the planner,
+which broadcasts a side only when its measured size allows it.
 Binding vocabularies are literal maps evaluated in codegen, not joins.
 """
 
@@ -20,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reefline.functions.lookup import lookup
-from reefline.operators.joins import broadcast_if_small
 from reefline.sources.tables import driver_table
 from reefline.sqltext import sql_case, sql_in_list, sql_lit
 
@@ -82,13 +80,6 @@ LINEITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_qua
                   "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
-def dimension(df: DataFrame, bound_by: DataFrame | None = None) -> DataFrame:
-    """A dimension that grows with the data: broadcast only after an exact row
-    count proves it small (a footer-only count for a plain Parquet scan);
-    beyond the bound the planner's shuffle join is used."""
-    return broadcast_if_small(df, bound_by=bound_by)
-
-
 def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = driver_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
     region = driver_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
@@ -103,11 +94,9 @@ def study_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     total order used wherever row order matters (positional patches).
     """
     li = driver_table(spark, sf_dir, "lineitem", LINEITEM_ORDER)
-    part = dimension(driver_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type"]))
+    part = driver_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type"])
     sup = driver_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name", "s_nationkey"])
-    # nation keys are unique, so the join cannot add rows: the supplier count bounds it
-    sup = dimension(sup.join(_geo(spark, sf_dir), sup.s_nationkey == F.col("n_nationkey"))
-                    .select("s_suppkey", "s_name", "r_name"), bound_by=sup)
+    sup = sup.join(_geo(spark, sf_dir), sup.s_nationkey == F.col("n_nationkey")).select("s_suppkey", "s_name", "r_name")
     df = li.join(part, li.l_partkey == part.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
     incomplete = F.coalesce(F.col("s_suppkey").isin(INCOMPLETE_SUPPLIERS), F.lit(False))
     return df.select(
@@ -147,8 +136,8 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2: quadrat survey rows (year, site, habitat, transect, quadrat, group, cover)."""
     li = driver_table(spark, sf_dir, "lineitem", ["l_partkey", "l_suppkey", "l_shipdate", "l_returnflag",
                                                   "l_linestatus", "l_linenumber", "l_quantity"])
-    part = dimension(driver_table(spark, sf_dir, "part", ["p_partkey", "p_type"]))
-    sup = dimension(driver_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"]))
+    part = driver_table(spark, sf_dir, "part", ["p_partkey", "p_type"])
+    sup = driver_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
     df = li.join(part, li.l_partkey == part.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
     return df.select(
         F.year("l_shipdate").cast("bigint").alias("year"),
@@ -174,7 +163,7 @@ def reference_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     """B3 as two 'sheets': finished orders, and the others.  Species is missing for low priority."""
     orders = driver_table(spark, sf_dir, "orders", ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
                                                     "o_orderpriority"])
-    cust = dimension(driver_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"]))
+    cust = driver_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
     df = orders.join(cust, orders.o_custkey == cust.c_custkey).select(
         "o_orderstatus",
         F.year("o_orderdate").cast("double").alias("pubyear"),
@@ -195,11 +184,11 @@ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"""
 
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B4: events as posterior draws.
+    """B4: every event as a posterior draw.
 
     chain = event_id mod 4, iteration = position of the event within its
-    (parameter, chain) by event_id, trimmed so that every chain of a parameter
-    has the same length (the shortest chain's).
+    (parameter, chain) by event_id.  Chains differ in length;
+    ``operators.draws.equal_length`` is the step that diagnostics need.
     """
     from reefline.operators.ranking import row_position
 
@@ -210,23 +199,15 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("parameter"),
         (F.col("event_id") % DRAW_CHAINS).cast("int").alias("chain"),
         "event_id", "value")
-    ev = row_position(ev, ["dataset", "parameter", "chain"], "event_id", out="iteration")
-    min_len = ev.groupBy("dataset", "parameter").agg(F.min("iteration_n").alias("_len"))
-    ev = ev.join(min_len, ["dataset", "parameter"])
-    return ev.where(F.col("iteration") <= F.col("_len")).select(
-        "dataset", "parameter", "chain", F.col("iteration").cast("int").alias("iteration"), "value")
+    return row_position(ev, ["dataset", "parameter", "chain"], "event_id", out="iteration").select(
+        "dataset", "parameter", "chain", "iteration", "value")
 
 
 def draws_sql() -> str:
     return f"""
-SELECT dataset, parameter, chain, CAST(iteration AS INTEGER) AS iteration, value FROM (
-  SELECT *, min(n) OVER (PARTITION BY dataset, parameter) AS len FROM (
-    SELECT *, row_number() OVER (PARTITION BY dataset, parameter, chain ORDER BY event_id) AS iteration,
-              count(*) OVER (PARTITION BY dataset, parameter, chain) AS n
-    FROM (SELECT CASE WHEN event_type IN {sql_in_list(BIOMASS_EVENT_TYPES)} THEN 'Biomass' ELSE 'Extension' END AS dataset,
-                 event_type AS parameter, CAST(event_id % {DRAW_CHAINS} AS INTEGER) AS chain, event_id, value
-          FROM events) e) e2) e3
-WHERE iteration <= len"""
+SELECT dataset, parameter, chain, row_number() OVER (PARTITION BY dataset, parameter, chain ORDER BY event_id) AS iteration, value
+FROM (SELECT CASE WHEN event_type IN {sql_in_list(BIOMASS_EVENT_TYPES)} THEN 'Biomass' ELSE 'Extension' END AS dataset,
+             event_type AS parameter, CAST(event_id % {DRAW_CHAINS} AS INTEGER) AS chain, event_id, value FROM events) e"""
 
 
 EXTRA_SEGMENT = "HOUSEHOLD"

@@ -17,10 +17,6 @@ def literal_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
-def articulate_dim(spark: SparkSession) -> DataFrame:
-    return literal_table(spark, [(g, "Yes") for g in fv.ARTICULATE_GENERA], "genus string, articulate string")
-
-
 def complexity_dim(spark: SparkSession, rows=None) -> DataFrame:
     return literal_table(spark, rows or fv.COMPLEXITY, "year bigint, sc double")
 

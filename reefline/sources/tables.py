@@ -47,7 +47,7 @@ DRAWS_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType()),
     T.StructField("parameter", T.StringType()),
     T.StructField("chain", T.IntegerType()),
-    T.StructField("iteration", T.IntegerType()),
+    T.StructField("iteration", T.LongType()),
     T.StructField("value", T.DoubleType()),
 ])
 

@@ -45,17 +45,14 @@ def harmonise_rows(rates: DataFrame) -> DataFrame:
     return biom.select(*OUT_COLS).unionByName(surf.select(*OUT_COLS)).unionByName(ext.select(*OUT_COLS))
 
 
-def start_harmonise_stream(spark: SparkSession, source: str, sink: str | None = None, fmt: str = "parquet",
+def start_harmonise_stream(spark: SparkSession, source: str, sink: str, fmt: str = "parquet",
                            checkpoint: str | None = None, query_name: str | None = None,
                            available_now: bool = True) -> StreamingQuery:
-    """Start the stream.  ``sink`` is a folder (Parquet, partitioned by
-    standardisation) or ``None`` for an in-memory table named ``query_name``.
+    """Start the stream.  ``sink`` is a folder (Parquet, partitioned by standardisation).
     The checkpoint defaults to a folder under the shared ``spark.checkpoint.dir``."""
     out = harmonise_rows(read_rates_stream(spark, source, fmt))
     name = query_name or "harmonised_rates"
     ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     w = out.writeStream.outputMode("append").option("checkpointLocation", ckpt).queryName(name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    if sink is None:
-        return w.format("memory").start()
     return w.format("parquet").partitionBy("standardization").option("path", sink).start()

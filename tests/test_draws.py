@@ -67,7 +67,15 @@ def _ess(x):
     var_plus = mean_var * (n - 1) / n + np.var(x.mean(axis=1), ddof=1)
     rho = 1 - (mean_var - acov.mean(axis=0)) / var_plus
     rho[0] = 1
-    return D._geyer(rho, m * n)
+    total, low, k = 0.0, np.inf, 0
+    while 2 * k < n - 5 and rho[2 * k] + rho[2 * k + 1] > 0:
+        low = min(low, rho[2 * k] + rho[2 * k + 1])
+        total, k = total + low, k + 1
+    if rho[2 * k] > 0 or rho[2 * k] + rho[2 * k + 1] >= 0:
+        last = rho[2 * k]
+    else:
+        last = 0.0
+    return m * n / max(-1 + 2 * total + last, 1 / np.log10(m * n))
 
 
 def test_qnorm_matches_reference(spark):
@@ -90,7 +98,7 @@ def test_rhat_split_and_rank(spark, chains):
     df, arr = chains
     sp = _split(arr)
     assert np.isclose(D.rhat_split(df).first().rhat, _rhat_basic(sp), rtol=1e-12)
-    folded = np.abs(sp - np.median(sp))
+    folded = _split(np.abs(arr - np.median(arr)))
     exp = max(_rhat_basic(_zscale(sp)), _rhat_basic(_zscale(folded)))
     assert np.isclose(D.rhat_rank(df).first().rhat, exp, rtol=1e-10)
 
@@ -102,6 +110,49 @@ def test_ess_bulk_matches_direct_sums(spark, chains):
     assert np.isclose(got, exp, rtol=1e-8)
 
 
+def _frame(spark, arr):
+    return spark.createDataFrame([("d", "p", c, i + 1, float(v)) for c, row in enumerate(arr) for i, v in enumerate(row)],
+                                 "dataset string, parameter string, chain int, iteration long, value double")
+
+
+def test_fold_comes_before_the_split(spark):
+    arr = np.arange(36.0).reshape(4, 9) % 7
+    arr[:, 4] = 1000.0                                  # the middle draw, which the split drops
+    sp = _split(arr)
+    exp = max(_rhat_basic(_zscale(sp)), _rhat_basic(_zscale(_split(np.abs(arr - np.median(arr))))))
+    assert np.isclose(D.rhat_rank(_frame(spark, arr)).first().rhat, exp, rtol=1e-10)
+
+
+def test_ess_of_known_processes(spark):
+    rng = np.random.default_rng(11)
+    n, m = 4000, 4
+    for phi, low, high in ((0.0, 0.85, 1.15), (0.8, 0.6, 1.6), (-0.6, 0.6, 2.0)):
+        arr = np.stack([_ar1(rng, n, phi) for _ in range(m)])
+        got = D.ess_bulk(_frame(spark, arr)).first().ess_bulk / (m * n)
+        assert low < got / ((1 - phi) / (1 + phi)) < high
+
+
+@pytest.mark.parametrize("lags, block", [(2, 8), (16, 16), (512, 64)])
+def test_blocks_and_doubling_lags_change_nothing(spark, chains, lags, block):
+    df, arr = chains
+    exp = _ess(_split(arr))
+    got = D.ess_of(D.split_chains(df), ["dataset", "parameter"], "value", first_lags=lags, block=block).first().ess
+    assert np.isclose(got, exp, rtol=1e-8)
+
+
+def test_equal_length_keeps_the_first_draws(spark):
+    df = spark.createDataFrame([("d", "p", c, i, 1.0) for c, n in ((0, 5), (1, 3)) for i in range(1, n + 1)],
+                               "dataset string, parameter string, chain int, iteration long, value double")
+    assert sorted((r.chain, r.iteration) for r in D.equal_length(df).collect()) == [(c, i) for c in (0, 1) for i in (1, 2, 3)]
+
+
+def test_wide_and_long_with_any_parameters(spark):
+    rows = [(1, i, f"r_X[{p}.events,Intercept]", float(i)) for p in "abcdefg" for i in (1, 2)]
+    df = spark.createDataFrame(rows, "chain int, iteration long, name string, value double")
+    back = D.wide_to_long(D.long_to_wide(df, ["chain", "iteration"]), ["chain", "iteration"])
+    assert sorted(back.select(*df.columns).collect()) == sorted(df.collect())
+
+
 def test_draw_summary(spark, chains):
     df, arr = chains
     r = D.draw_summary(df).first()

@@ -1,6 +1,6 @@
-"""Join helpers: null-safe joins, completion without a join, checked broadcast."""
+"""Join helpers: null-safe joins, completion."""
 
-from reefline.operators.joins import broadcast_if_small, complete, join_null_safe
+from reefline.operators.joins import complete, join_null_safe
 
 
 def test_join_null_safe_matches_null_keys(spark):
@@ -14,13 +14,15 @@ def test_complete_keeps_null_level_and_existing_rows(spark):
     out = sorted(((r.a, r.b, r.v) for r in complete(df, "a", "b").collect()), key=str)
     assert out == sorted([("m1", "B", 1.0), ("m1", "B", 2.0), ("m2", None, 3.0), ("m1", None, None),
                           ("m2", "B", None)], key=str)
-    assert "CartesianProduct" not in complete(df, "a", "b")._jdf.queryExecution().executedPlan().toString()
 
 
-def test_broadcast_only_when_counted_small(spark):
-    df = spark.range(100)
-    small = broadcast_if_small(df, max_rows=1000)
-    big = broadcast_if_small(df, max_rows=10)
-    j = spark.range(1000).join(small, "id")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in j
-    assert big is df
+def test_complete_reads_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.createDataFrame([(i, i % 7, 1.0) for i in range(50)], "a int, b int, v double").mapInPandas(count, "a int, b int, v double")
+    assert complete(df, "a", "b", fill={"v": 0.0}).count() == 350 and seen.value == 50

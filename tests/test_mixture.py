@@ -8,8 +8,8 @@ from reefline.sources.literals import cover_grid
 
 def _rates():
     lit = F.lit
-    return Rates(cca_lwr=lit(2.0), cca=lit(3.0), cca_upr=lit(4.5), coral_lwr=lit(5.0), coral=lit(8.0),
-                 coral_upr=lit(12.0))
+    return Rates(cca={"lwr": lit(2.0), "median": lit(3.0), "upr": lit(4.5)},
+                 coral={"lwr": lit(5.0), "median": lit(8.0), "upr": lit(12.0)})
 
 
 def test_grid_size_and_mirror(spark):

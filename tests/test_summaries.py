@@ -17,10 +17,10 @@ def data(spark):
 PROBS = [0.01, 0.25, 0.5, 0.75, 0.99]
 
 
-@pytest.mark.parametrize("strategy", ["map", "ranked"])
-def test_group_quantiles_type7(spark, data, strategy):
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_group_quantiles_type7(spark, data, partitions):
     df, rows = data
-    out = {r.g: r for r in S.group_quantiles(df, ["g"], "v", PROBS, strategy=strategy).collect()}
+    out = {r.g: r for r in S.group_quantiles(df.repartition(partitions), ["g"], "v", PROBS).collect()}
     for g in ("a", "b", "c", "d", None):
         vals = np.array([v for k, v in rows if k == g])
         exp = np.quantile(vals, PROBS)                          # numpy default = type 7
@@ -28,11 +28,19 @@ def test_group_quantiles_type7(spark, data, strategy):
         assert np.allclose(got, exp, rtol=0, atol=1e-12)
 
 
-def test_strategies_agree_bitwise(spark, data):
-    df, _ = data
-    a = sorted(S.group_quantiles(df, ["g"], "v", PROBS, strategy="map").collect(), key=str)
-    b = sorted(S.group_quantiles(df, ["g"], "v", PROBS, strategy="ranked").collect(), key=str)
-    assert a == b
+def test_positions_of_a_hot_group_over_many_ranges(spark):
+    from reefline.operators.ranking import value_positions
+
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(4000).selectExpr("if(id % 10 = 0, 'b', null) as g", "cast(id % 600 as double) as v")
+        got = {(r.g, r.v): (r._lt, r._cnt, r._n) for r in value_positions(df, ["g"], "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    for g in ("b", None):
+        vals = np.array([i % 600 for i in range(4000) if (i % 10 == 0) == (g == "b")])
+        assert {v: x for (k, v), x in got.items() if k == g} == {float(v): ((vals < v).sum(), (vals == v).sum(), len(vals)) for v in set(vals)}
 
 
 def test_quantile_of_quantiles(spark, data):
