@@ -37,14 +37,15 @@ def model_frames(spark, sf_dir):
 
 
 @query("cell_statistics", _with_frames(
-    "SELECT dataset, climate, genus, method_family, count(rate_std) AS n, " + r("sum(rate_std)", "sum_y") + ", "
-    + r("avg(rate_std)", "mean_y") + ", " + r("stddev_samp(rate_std)", "sd_y") + ", " + rs("sum(rate_std * rate_std)", "sum_y2")
+    "SELECT dataset, climate, genus, method_family, count(rate_std) AS n, " + rs("sum(rate_std)", "sum_y", 9) + ", "
+    + r("avg(rate_std)", "mean_y") + ", " + r("stddev_samp(rate_std)", "sd_y") + ", " + rs("sum(rate_std * rate_std)", "sum_y2", 9)
     + " FROM frames GROUP BY dataset, climate, genus, method_family"))
 def cell_statistics(spark, sf_dir):
     """AGG-16: n, sum, sum of squares, mean and SD of the rate per (dataset, climate, genus, method family)."""
     cells = MD.cell_statistics(MD.model_frames(_growth(spark, sf_dir)))
-    doubles = [round_fixed(F.col(c)).alias(c) for c in ("sum_y", "mean_y", "sd_y")]
-    return cells.select("dataset", "climate", "genus", "method_family", "n", *doubles, round_sig(F.col("sum_y2"), 10).alias("sum_y2"))
+    doubles = [round_fixed(F.col(c)).alias(c) for c in ("mean_y", "sd_y")]
+    doubles += [round_sig(F.col(c), 9).alias(c) for c in ("sum_y", "sum_y2")]
+    return cells.select("dataset", "climate", "genus", "method_family", "n", *doubles)
 
 
 @query("method_effect", _with_frames(

@@ -123,6 +123,14 @@ def branches(prepared: DataFrame, order: list[str]) -> ReviewParts:
                        harmonise_surface(prepared, order), harmonise_extension(prepared))
 
 
+def written_parts(parts: ReviewParts) -> ReviewParts:
+    """The branches written once as one table partitioned by branch: the growth table, the audit and the
+    rescue path read them, and none runs a branch again."""
+    tagged = [getattr(parts, b).withColumn("_part", F.lit(b)) for b in (BIOMASS, VOLUME, SURFACE, EXTENSION)]
+    table = cut_lineage(reduce(lambda a, b: a.unionByName(b), tagged), partition_by=["_part"])
+    return ReviewParts(*[table.where(F.col("_part") == b).drop("_part") for b in (BIOMASS, VOLUME, SURFACE, EXTENSION)])
+
+
 def incomplete_studies(prepared: DataFrame, parts: ReviewParts) -> DataFrame:
     """AGG-11 / SET-5: studies with a missing method that no branch used (key table)."""
     with_na = prepared.where(F.col("method") == F.lit(fv.NA_TEXT)).select("paper_name").distinct()
@@ -175,7 +183,11 @@ def growth(rates: DataFrame, order: list[str], extra: DataFrame | None = None,
     standardisation, including the late corrections."""
     prepared = prepare_materialized(rates) if materialize else prepare(rates)
     parts = branches(prepared, order)
+    if materialize:
+        parts = written_parts(parts)
     rescued = rescue_incomplete(prepared, parts, order)
+    if materialize:
+        rescued = cut_lineage(rescued)       # three targets read it
     biom = parts.biomass.unionByName(parts.volume)
     cols = biom.columns
     biom_tot = biom.unionByName(route(rescued, "rate_biom").select(*cols))
