@@ -53,30 +53,27 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 def round_sig(c, sig: int):
-    """Round to ``sig`` significant digits: ``round(x * 10^k) / 10^k`` with
+    """Round to ``sig`` significant digits (nudged as ``round_fixed`` is): ``round(x * 10^k) / 10^k`` with
     ``k = sig - 1 - floor(log10|x|)``; powers of ten up to 1e22 are exact."""
     e = F.floor(F.log10(F.abs(c)))
     k = F.lit(sig - 1) - e
     p = F.pow(F.lit(10.0), F.abs(k))
-    out = F.when(k >= 0, F.round(c * p, 0) / p).otherwise(F.round(c / p, 0) * p)
+    up, down = c * p, c / p
+    out = F.when(k >= 0, F.round(up + F.abs(up) * F.lit(NUDGE), 0) / p).otherwise(F.round(down + F.abs(down) * F.lit(NUDGE), 0) * p)
     return F.when((c == 0) | F.isnan(c) | (F.abs(c) == float("inf")), c).otherwise(out) + F.lit(0.0)
 
 
-def rounded_sig(df: DataFrame, sig: int = 10) -> DataFrame:
-    """``rounded`` for quantities whose magnitude makes fixed decimals meaningless
-    (large sums whose low digits depend on summation order)."""
-    return df.select(*[round_sig(F.col(f.name), sig).alias(f.name)
-                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
-                       for f in df.schema.fields])
-
-
 def rs(expr: str, name: str, sig: int = 10) -> str:
     """SQL twin of ``round_sig``."""
     x = f"CAST({expr} AS DOUBLE)"
+
+    def rounded_off(v: str) -> str:
+        return f"round({v} + abs({v}) * {NUDGE!r})"
+
     k = f"({sig - 1} - floor(log10(abs({x}))))"
     p = f"pow(10.0, abs({k}))"
-    return (f"(CASE WHEN {x} = 0 OR isnan({x}) OR isinf({x}) THEN {x} WHEN {k} >= 0 THEN round({x} * {p}) / {p} "
-            f"ELSE round({x} / {p}) * {p} END + 0.0) AS {name}")
+    return (f"(CASE WHEN {x} = 0 OR isnan({x}) OR isinf({x}) THEN {x} WHEN {k} >= 0 THEN {rounded_off(f'({x} * {p})')} / {p} "
+            f"ELSE {rounded_off(f'({x} / {p})')} * {p} END + 0.0) AS {name}")
 
 
 def r(expr: str, name: str | None = None, digits: int = DIGITS) -> str:
