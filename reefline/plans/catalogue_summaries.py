@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from reefline import fixed_values as fv
 from reefline.functions.text import genus_of
 from reefline.operators import summaries as S
+from reefline.operators.joins import join_null_safe
 from reefline.operators.mixture import crossover_thresholds, mixture_curves, ratio_sweep
 from reefline.plans import figures as FG
 from reefline.plans import review as RV
@@ -16,7 +17,6 @@ from reefline.plans.sql_helpers import quantiles_sql
 from reefline.sources import bindings as B
 from reefline.session import cut_lineage
 from reefline.sources.literals import cover_grid
-from reefline.sources.tables import driver_table
 from reefline.sqltext import sql_in_list, sql_str
 
 ORDER = B.LINEITEM_ORDER
@@ -121,46 +121,66 @@ def group_plus_total(spark, sf_dir):
     return rounded(S.with_total(_reference_rates(spark, sf_dir), "genus", "conx", "All Corals"))
 
 
-@query("group_mean_sd", review_with(
-    f"SELECT method_family, climate, {r('mean', 'growth_rate')}, {r('sd', 'sd')}, n FROM ("
-    f"SELECT method_family, climate, avg(rate_std) AS mean, stddev_samp(rate_std) AS sd, count(*) AS n "
-    f"FROM biom GROUP BY method_family, climate)"))
-def group_mean_sd(spark, sf_dir):
-    """AGG-1: biomass rates, mean and SD by (method family, climate); NULL keys are groups."""
-    b = RV.harmonise_biomass(RV.prepare(B.study_rates(spark, sf_dir)))
-    g = b.groupBy("method_family", "climate").agg(F.avg("rate_std").alias("growth_rate"),
-                                                  F.stddev_samp("rate_std").alias("sd"),
-                                                  F.count(F.lit(1)).alias("n"))
-    return rounded(g)
-
-
-@query("crosstab_long", review_with(
-    "SELECT a.method_family, b.genus, CAST(COALESCE(c.n, 0) AS BIGINT) AS n FROM "
-    "(SELECT DISTINCT method_family FROM biom WHERE method_family IS NOT NULL AND genus IS NOT NULL) a CROSS JOIN "
-    "(SELECT DISTINCT genus FROM biom WHERE method_family IS NOT NULL AND genus IS NOT NULL) b LEFT JOIN "
-    "(SELECT method_family, genus, count(*) AS n FROM biom WHERE method_family IS NOT NULL AND genus IS NOT NULL "
-    "GROUP BY method_family, genus) c ON c.method_family = a.method_family AND c.genus = b.genus"))
-def crosstab_long(spark, sf_dir):
-    """AGG-8: method family x genus counts of the biomass part, empty cells as 0."""
-    b = RV.harmonise_biomass(RV.prepare(B.study_rates(spark, sf_dir)))
-    return S.crosstab_long(b, "method_family", "genus")
-
-
-@query("box_stats", review_with(
-    "SELECT method_family, " + ", ".join(r(c, c) for c in ("ymin", "lower", "middle", "upper", "ymax"))
-    + ", n_outliers, n FROM (SELECT q.method_family, q.lower, q.middle, q.upper, "
-    "min(CASE WHEN inside THEN v END) AS ymin, max(CASE WHEN inside THEN v END) AS ymax, "
-    "count(*) FILTER (WHERE NOT inside) AS n_outliers, count(*) AS n FROM ("
-    "SELECT s.method_family, s.v, q.lower, q.middle, q.upper, "
-    "(s.v >= q.lower - 1.5 * (q.upper - q.lower) AND s.v <= q.upper + 1.5 * (q.upper - q.lower)) AS inside "
-    "FROM (SELECT method_family, rate_std AS v FROM biom WHERE rate_std <= 10 AND NOT isnan(rate_std)) s JOIN ("
-    + quantiles_sql("(SELECT method_family, rate_std FROM biom WHERE rate_std <= 10 AND NOT isnan(rate_std))",
-                    ["method_family"], "rate_std", [0.25, 0.5, 0.75], ["lower", "middle", "upper"])
-    + ") q ON s.method_family IS NOT DISTINCT FROM q.method_family) q GROUP BY q.method_family, q.lower, q.middle, q.upper)"))
-def box_stats(spark, sf_dir):
-    """AGG-9: box-plot statistics of biomass rates (<= 10) per method family."""
-    b = RV.harmonise_biomass(RV.prepare(B.study_rates(spark, sf_dir)))
-    return rounded(S.box_stats(b.where(F.col("rate_std") <= 10), ["method_family"], "rate_std"))
+# Name suffix, table of the SQL twin, branch, whether a missing value makes a group's mean missing, largest rate in box plots.
+BRANCHES = [("", "biom", RV.harmonise_biomass, False, 10), ("_surface", "surf", lambda p: RV.harmonise_surface(p, ORDER), True, None),
+            ("_extension", "ext", RV.harmonise_extension, True, None)]
+
+
+def _mean_sd_sql(table: str, strict: bool) -> str:
+    def of(agg: str) -> str:
+        return f"CASE WHEN count(rate_std) = count(*) THEN {agg}(rate_std) END" if strict else f"{agg}(rate_std)"
+    return review_with(f"SELECT method_family, climate, {r('mean', 'growth_rate')}, {r('sd', 'sd')}, n FROM (SELECT method_family, climate, "
+                       f"{of('avg')} AS mean, {of('stddev_samp')} AS sd, count(*) AS n FROM {table} GROUP BY method_family, climate)")
+
+
+def _crosstab_sql(table: str) -> str:
+    present = f"FROM {table} WHERE method_family IS NOT NULL AND genus IS NOT NULL"
+    return review_with(
+        f"SELECT a.method_family, b.genus, CAST(COALESCE(c.n, 0) AS BIGINT) AS n FROM (SELECT DISTINCT method_family {present}) a "
+        f"CROSS JOIN (SELECT DISTINCT genus {present}) b LEFT JOIN (SELECT method_family, genus, count(*) AS n {present} "
+        "GROUP BY method_family, genus) c ON c.method_family = a.method_family AND c.genus = b.genus")
+
+
+def _box_sql(table: str, largest: float | None) -> str:
+    src = (f"(SELECT method_family, rate_std FROM {table} WHERE rate_std IS NOT NULL AND NOT isnan(rate_std)"
+           + (f" AND rate_std <= {largest}" if largest is not None else "") + ")")
+    hinges = quantiles_sql(src, ["method_family"], "rate_std", [0.25, 0.5, 0.75], ["lower", "middle", "upper"])
+    return review_with(
+        "SELECT method_family, " + ", ".join(r(c, c) for c in ("ymin", "lower", "middle", "upper", "ymax"))
+        + ", n_outliers, n FROM (SELECT method_family, lower, middle, upper, min(CASE WHEN inside THEN v END) AS ymin, "
+        "max(CASE WHEN inside THEN v END) AS ymax, count(*) FILTER (WHERE NOT inside) AS n_outliers, count(*) AS n FROM ("
+        "SELECT s.method_family, s.rate_std AS v, q.lower, q.middle, q.upper, s.rate_std >= q.lower - 1.5 * (q.upper - q.lower) "
+        f"AND s.rate_std <= q.upper + 1.5 * (q.upper - q.lower) AS inside FROM {src} s JOIN ({hinges}) q "
+        "ON s.method_family IS NOT DISTINCT FROM q.method_family) GROUP BY method_family, lower, middle, upper)")
+
+
+def _register_branch(suffix, table, harmonise, strict, largest) -> None:
+    """AGG-1, AGG-8 and AGG-9 of one branch."""
+    def rows(spark, sf_dir):
+        return harmonise(RV.prepare(B.study_rates(spark, sf_dir)))
+
+    @query("group_mean_sd" + suffix, _mean_sd_sql(table, strict))
+    def group_mean_sd(spark, sf_dir):
+        """AGG-1: mean and SD by (method family, climate); NULL keys are groups."""
+        written = cut_lineage(rows(spark, sf_dir).select("method_family", "climate", "rate_std"))
+        keys = ["method_family", "climate"]
+        stats = S.group_mean_sd(written, keys, "rate_std", "growth_rate", "sd", strict)
+        return rounded(join_null_safe(stats, written.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys))
+
+    @query("crosstab_long" + suffix, _crosstab_sql(table))
+    def crosstab_long(spark, sf_dir):
+        """AGG-8: method family x genus counts, empty cells as 0."""
+        return S.crosstab_long(rows(spark, sf_dir), "method_family", "genus")
+
+    @query("box_stats" + suffix, _box_sql(table, largest))
+    def box_stats(spark, sf_dir):
+        """AGG-9: box-plot statistics per method family."""
+        df = cut_lineage(rows(spark, sf_dir).select("method_family", "rate_std"))
+        return rounded(S.box_stats(df if largest is None else df.where(F.col("rate_std") <= largest), ["method_family"], "rate_std"))
+
+
+for _branch in BRANCHES:
+    _register_branch(*_branch)
 
 
 @query("distinct_with_null", "WITH rates AS (" + B.study_rates_sql() + ") SELECT "

@@ -54,6 +54,8 @@ DRAWS_SCHEMA = T.StructType([
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None,
                columns: Sequence[str] | None = None, **options) -> DataFrame:
+    if fmt == "csv":
+        options = {"header": "true", **options}
     reader = spark.read.format(fmt).options(**options)
     if schema is not None and fmt != "parquet":
         reader = reader.schema(schema)
@@ -72,8 +74,7 @@ def driver_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[
 
 def load_rates(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """SRC-1: the literature table of reported rates."""
-    return read_table(spark, path, fmt, RATES_SCHEMA, header="true", **options) if fmt == "csv" \
-        else read_table(spark, path, fmt, RATES_SCHEMA, **options)
+    return read_table(spark, path, fmt, RATES_SCHEMA, **options)
 
 
 def load_survey(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
