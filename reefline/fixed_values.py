@@ -258,3 +258,9 @@ BIOMASS_GENUS_CLIMATE_FIX = ("Arthrocardia", "Cool temperate")
 # Studies left out of the review panels and the biomass model frame.
 PANEL_EXCLUDED_STUDIES = ["Graba-Landry et al. 2018", "Johnson et al 2019"]
 HALIMEDA = "Halimeda"
+
+# Category orders of the panel legends, and axis limits of the panels.
+PANEL_CLIMATE_ORDER = ["Tropical", "Warm temperate", "Cool temperate", "Polar"]
+PANEL_METHOD_ORDER = ["Isotopes", "BW or RGR", "TA anomaly", "X-ray CT Scan"]
+PANEL_BIOMASS_LIMITS = (0.0, 30.0)
+PANEL_SURFACE_LIMITS = (0.0, 1.2)

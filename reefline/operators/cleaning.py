@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reefline import fixed_values as fv
@@ -18,6 +18,7 @@ from reefline.functions.numeric import as_number
 from reefline.functions.predicates import is_in, ne_all, nonnegative, not_contains
 from reefline.functions.text import binomial, fill_missing, genus_of, missing_if
 from reefline.operators.joins import join_null_safe
+from reefline.operators.ranking import row_numbers
 
 
 def classify_methods(df: DataFrame, families: Mapping[str, list[str]] = fv.METHOD_FAMILIES,
@@ -98,15 +99,13 @@ def patch_positional(df: DataFrame, target_key: str, values: Mapping[str, Sequen
 
     Values are recycled when the key has more rows than values (the n-th row
     gets value ``(n-1) mod k``), which is what an element-wise assignment of a
-    shorter vector does.  Only rows of the target key take part in the window;
-    every other row passes through untouched and unshuffled.
+    shorter vector does.  Only rows of the target key are numbered, by ranges of
+    ``order``; every other row passes through untouched and unshuffled.
     """
-    order_cols = [F.col(c).asc_nulls_first() for c in order]
     is_target = F.coalesce(F.col(key) == F.lit(target_key), F.lit(False))
     target = df.where(is_target)
     rest = df.where(~is_target)
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    target = target.withColumn("__pos", F.row_number().over(w) - 1)
+    target = row_numbers(target, order, "__pos").withColumn("__pos", F.col("__pos") - 1)
     for column, vals in values.items():
         vals = list(vals)
         dtype = df.schema[column].dataType

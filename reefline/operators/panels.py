@@ -11,11 +11,6 @@ from reefline import fixed_values as fv
 from reefline.functions.lookup import lookup
 from reefline.functions.predicates import censor, is_in, not_in
 
-# FIXED VALUES: category orders of the figure legends.
-CLIMATE_ORDER = ["Tropical", "Warm temperate", "Cool temperate", "Polar"]
-METHOD_ORDER = ["Isotopes", "BW or RGR", "TA anomaly", "X-ray CT Scan"]
-
-
 @dataclass(frozen=True)
 class Panel:
     panel: int
@@ -33,14 +28,14 @@ def _panels() -> list[Panel]:
     art, not_art = is_in(g, fv.ARTICULATE_GENERA), not_in(g, fv.ARTICULATE_GENERA)
     surf_scale = fv.SURFACE_TO_G_CM2_YEAR
     return [
-        Panel(1, fv.STANDARDIZATION_BIOMASS, studies & hal_ne & not_art, limits=(0.0, 30.0)),
+        Panel(1, fv.STANDARDIZATION_BIOMASS, studies & hal_ne & not_art, limits=fv.PANEL_BIOMASS_LIMITS),
         Panel(2, fv.STANDARDIZATION_BIOMASS, studies & hal_ne & art),
         Panel(3, fv.STANDARDIZATION_BIOMASS, studies & (F.col(g) == fv.HALIMEDA)),
         Panel(4, fv.STANDARDIZATION_EXTENSION, not_hal & not_art),
         Panel(5, fv.STANDARDIZATION_EXTENSION, not_hal & art),
-        Panel(6, fv.STANDARDIZATION_SURFACE, not_hal & not_art, surf_scale, (0.0, 1.2)),
-        Panel(7, fv.STANDARDIZATION_SURFACE, not_hal & art, surf_scale, (0.0, 1.2)),
-        Panel(8, fv.STANDARDIZATION_SURFACE, F.col(g) == fv.HALIMEDA, surf_scale, (0.0, 1.2)),
+        Panel(6, fv.STANDARDIZATION_SURFACE, not_hal & not_art, surf_scale, fv.PANEL_SURFACE_LIMITS),
+        Panel(7, fv.STANDARDIZATION_SURFACE, not_hal & art, surf_scale, fv.PANEL_SURFACE_LIMITS),
+        Panel(8, fv.STANDARDIZATION_SURFACE, F.col(g) == fv.HALIMEDA, surf_scale, fv.PANEL_SURFACE_LIMITS),
     ]
 
 
@@ -65,7 +60,7 @@ def review_panels(growth: DataFrame) -> DataFrame:
         sel = growth.where((F.col("standardization") == p.part) & p.keep).select(
             F.lit(p.panel).alias("panel"), "paper_name", "genus", "method_family", "climate",
             *[v.alias(k) for k, v in cols.items()],
-            order_rank("climate", CLIMATE_ORDER).alias("climate_rank"),
-            order_rank("method_family", METHOD_ORDER).alias("method_rank"))
+            order_rank("climate", fv.PANEL_CLIMATE_ORDER).alias("climate_rank"),
+            order_rank("method_family", fv.PANEL_METHOD_ORDER).alias("method_rank"))
         out = sel if out is None else out.unionByName(sel)
     return out

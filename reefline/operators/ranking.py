@@ -44,6 +44,19 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, weight: str
     return out.withColumn("_lt", (F.col("_off") + F.coalesce(F.sum("_cnt").over(inside), F.lit(0))).cast("long")).drop("_off", "_part")
 
 
+def row_numbers(df: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:
+    """1-based number of every row by ``order`` (nulls first; ties in any order).
+
+    Rows are dealt out by ranges and written once with the number of the range; a window runs per
+    range and adds the rows of the ranges before, of which there is one count each."""
+    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_sum")) \
+        .select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    return dealt.join(parts, "_part").withColumn(out, F.col("_off") + F.row_number().over(inside)).drop("_part", "_off")
+
+
 def row_position(df: DataFrame, keys: Sequence[str], order: str, out: str = "position") -> DataFrame:
     """1-based position by ``order`` within ``keys`` for an order column unique per group."""
     keys = list(keys)

@@ -74,8 +74,8 @@ def _panels_sql() -> str:
         (7, fv.STANDARDIZATION_SURFACE, f"{_NOT_HAL} AND {art}", 0.36525, (0.0, 1.2)),
         (8, fv.STANDARDIZATION_SURFACE, f"genus = {sql_str(fv.HALIMEDA)}", 0.36525, (0.0, 1.2)),
     ]
-    crank = "CASE climate " + " ".join(f"WHEN {sql_str(c)} THEN {i + 1}" for i, c in enumerate(PN.CLIMATE_ORDER)) + " END"
-    mrank = "CASE method_family " + " ".join(f"WHEN {sql_str(c)} THEN {i + 1}" for i, c in enumerate(PN.METHOD_ORDER)) + " END"
+    crank = "CASE climate " + " ".join(f"WHEN {sql_str(c)} THEN {i + 1}" for i, c in enumerate(fv.PANEL_CLIMATE_ORDER)) + " END"
+    mrank = "CASE method_family " + " ".join(f"WHEN {sql_str(c)} THEN {i + 1}" for i, c in enumerate(fv.PANEL_METHOD_ORDER)) + " END"
     parts = []
     for pid, part, keep, scale, lim in rules:
         y = "rate_std" if scale == 1.0 else f"rate_std * {scale}"
