@@ -3,7 +3,7 @@
 A task turns its texts into blocks of bounded size.  A block has its distinct
 words, most frequent first, and each text as a sequence of places in that list.
 Work on words then runs once per distinct word of the whole table; what it gives goes
-back to the blocks, a row per distinct word of the block, and is put in place
+back to the blocks, once per distinct word of the block, and is put in place
 by position.  Neither the shuffle nor a hot word grows with the repetitions in a block.
 
 A block is named by its partition, its number and a checksum of its contents.
@@ -105,6 +105,8 @@ def blocks(batches: Iterator[pa.RecordBatch], split: Split, size: int = BLOCK_BY
             held_bytes += int(offsets[b] - offsets[a])
     if held:
         yield _block(held, split, seq)
+        held = []
+    pa.default_memory_pool().release_unused()      # workers live on and serve other stages
 
 
 def pack(places: np.ndarray) -> bytes:
@@ -116,3 +118,28 @@ def pack(places: np.ndarray) -> bytes:
 def unpack(raw: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def pack_words(words: pa.Array) -> bytes:
+    """Words as compressed lengths and bytes."""
+    data, offsets = tb.buffers(words)
+    lengths = pack(np.diff(offsets))
+    return len(lengths).to_bytes(4, "little") + lengths + zstandard.ZstdCompressor(level=3).compress(data.tobytes())
+
+
+def unpack_words(raw: bytes) -> list[bytes]:
+    n = int.from_bytes(raw[:4], "little")
+    ends = np.concatenate([[0], np.cumsum(unpack(raw[4:4 + n]))]).tolist()
+    data = zstandard.ZstdDecompressor().decompress(raw[4 + n:])
+    return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def by_bucket(block: Block, buckets: int) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """The distinct words of a block dealt out by a hash of the word: bucket, places in the block's list, words."""
+    data, offsets = tb.buffers(block.words)
+    bucket = (tb.xxh64(data, offsets[:-1], np.diff(offsets), 7) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(bounds)):
+        at = order[bounds[b]:bounds[b + 1]]
+        yield int(b), at, block.words.take(pa.array(at))

@@ -9,6 +9,7 @@ every id up in the tokenizer's table of pieces, which has a fixed size.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -19,9 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .blocks import BLOCK_BYTES, blocks, chunks, pack, unpack
+from .blocks import blocks, by_bucket, chunks, pack, pack_words, unpack, unpack_words
 
-DECODE_IDS = 1 << 22
+BLOCK_BYTES = 8 << 20      # a task may hold a block in two Python stages at once
+GATHER_IDS = 1 << 20       # placed, or decoded, at a time
 
 
 def tokenizer_json(path: str) -> str:
@@ -30,15 +32,15 @@ def tokenizer_json(path: str) -> str:
         return f.read()
 
 
-def _words(docs: DataFrame, text: str, block_bytes: int) -> DataFrame:
+def _words(docs: DataFrame, text: str, buckets: int, block_bytes: int) -> DataFrame:
+    """Distinct words of each block, a row per bucket of words: ``(bucket, block, places, words)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, chunks, block_bytes):
-            for at in range(0, len(block.words), 50_000):
-                words = block.words.slice(at, 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block.name)),
-                                                  pa.array(np.arange(at, at + len(words), dtype=np.int32)), words], names=["block", "place", "word"])
+            for bucket, places, words in by_bucket(block, buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block.name]), pa.array([pack(places)], pa.binary()),
+                                                  pa.array([pack_words(words)], pa.binary())], names=["bucket", "block", "places", "words"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "block bigint, place int, word binary")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "bucket int, block bigint, places binary, words binary")
 
 
 def _positions(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> DataFrame:
@@ -59,7 +61,11 @@ def _positions(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> Dat
 
 
 def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """``(word, tokens)`` for a table of distinct ``word`` values (UTF-8 bytes)."""
+    """``(block, places, sizes, tokens)``: the ids of the words of each row of ``_words``.
+
+    All rows that have a word are in one bucket, and a task reads bucket after
+    bucket, so the table of a bucket's distinct words is all that it holds and
+    each distinct word is encoded once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -67,22 +73,26 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
         tok = Tokenizer.from_str(tokenizer)
         tok.no_truncation()
         tok.no_padding()
+        now, table = None, {}
         for batch in batches:
-            texts = [w.decode() for w in batch.column(0).to_pylist()]
-            found = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["word", "tokens"])
+            for bucket, block, places, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    now, table = bucket, {}
+                held = unpack_words(packed)
+                new = [w for w in held if w not in table]
+                table.update(zip(new, (e.ids for e in tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
+                found = [table[w] for w in held]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                tokens = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(sizes.sum()))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([places], pa.binary()), pa.array([pack(sizes)], pa.binary()),
+                                                  pa.array([pack(tokens)], pa.binary())], names=["block", "places", "sizes", "tokens"])
 
-    return words.select("word").mapInArrow(run, "word binary, tokens array<int>")
+    return words.mapInArrow(run, "block bigint, places binary, sizes binary, tokens binary")
 
 
-def _gather(lists: pa.ListArray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of the chosen lists one after another, and the length of each choice."""
-    offsets = np.asarray(lists.offsets).astype(np.int64)
-    values = np.asarray(lists.values)
-    length = np.diff(offsets)[take]
-    begin = offsets[:-1][take]
-    at = np.arange(int(length.sum())) + np.repeat(begin - (np.cumsum(length) - length), length)
-    return values[at], length
+def _gather(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that start at ``begin``, one after another."""
+    return values[np.arange(int(length.sum())) + np.repeat(begin - (np.cumsum(length) - length), length)]
 
 
 def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -92,26 +102,32 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     a text become those tokens, and none is added.  Null counts as empty and has
     no ids.  ``docs`` must read the same rows in the same order each time, as a
     table in files does.  Extra columns are not read; an empty table gives an empty one."""
-    words = _words(docs, text, block_bytes)
-    coded = words.join(encode_words(words.select("word").distinct(), tokenizer), "word").select("block", "place", "tokens")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = _words(docs, text, buckets, block_bytes).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    coded = encode_words(words, tokenizer)
     kind = docs.schema[doc_id].dataType
 
     def place(key, texts: pa.Table, found: pa.Table) -> pa.Table:
         names = pa.schema([("doc_id", texts.schema.field("ids").type.value_type), ("tokens", pa.list_(pa.int32()))])
+        empty = [np.zeros(0, np.int64)]
+        places, sizes, tokens = (np.concatenate([unpack(x) for x in found.column(c).to_pylist()] or empty) for c in ("places", "sizes", "tokens"))
+        size, begin = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
         out = []
-        coded = found.combine_chunks()
-        order = np.argsort(np.asarray(coded.column("place")), kind="stable") if len(coded) else np.zeros(0, np.int64)
-        tokens = coded.column("tokens").combine_chunks().take(pa.array(order)) if len(coded) else pa.array([], pa.list_(pa.int32()))
-        if isinstance(tokens, pa.ChunkedArray):
-            tokens = tokens.combine_chunks()
         for row in range(len(texts)):
-            if texts.column("n_words")[row].as_py() != len(tokens):
+            if texts.column("n_words")[row].as_py() != len(places):
                 raise ValueError("the two readings of the input differ; write it to a table first")
+            size[places], begin[places] = sizes, np.cumsum(sizes) - sizes
             ids = texts.column("ids")[row].values
             counts = np.asarray(texts.column("counts")[row].values)
-            values, length = _gather(tokens, unpack(texts.column("places")[row].as_py()))
-            ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(counts)])]
-            out.append(pa.table([ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))], schema=names))
+            at = unpack(texts.column("places")[row].as_py())
+            word_ends = np.concatenate([[0], np.cumsum(size[at])])
+            values = np.empty(int(word_ends[-1]), np.int32)
+            for a, b in tb.pieces(word_ends, GATHER_IDS):
+                values[word_ends[a]:word_ends[b]] = _gather(tokens, begin[at[a:b]], size[at[a:b]])
+            ends = word_ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+            del word_ends, at
+            out.append(pa.table([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], schema=names))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out) if out else names.empty_table()
 
     return _positions(docs, doc_id, text, block_bytes).groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(
@@ -144,7 +160,7 @@ def decode(encoded: DataFrame, tokenizer: str, tokens: str = "tokens", out: str
             begin = np.asarray(lists.offsets).astype(np.int64)
             values = np.asarray(lists.values)
             texts = []
-            for a, b in tb.pieces(begin, DECODE_IDS):
+            for a, b in tb.pieces(begin, GATHER_IDS):
                 joined, ends = tb.buffers(table.take(pa.array(values[begin[a]:begin[b]])))
                 ends = ends[begin[a:b + 1] - begin[a]]
                 raw = joined.tobytes()
