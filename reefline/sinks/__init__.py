@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +21,11 @@ def output_root(df: DataFrame) -> str:
     return root.rstrip("/") if root else ensure_checkpoint_dir(spark).rstrip("/") + "/reefline-output"
 
 
-def write_figure_data(df: DataFrame, name: str, path: str | None = None, fmt: str = "parquet") -> str:
-    """SNK-1: persist the rows behind one figure; returns the written path."""
+def write_figure_data(df: DataFrame, name: str, path: str | None = None, fmt: str = "parquet", order: Sequence[str] = ()) -> str:
+    """SNK-1 / SRT-1: persist the rows behind one figure, in ``order`` over all files if it is given; returns the written path."""
     target = path or f"{output_root(df)}/{name}-{uuid.uuid4().hex[:12]}"
+    if order:
+        df = df.orderBy(*order)
     df.write.mode("overwrite").format(fmt).save(target)
     return target
 

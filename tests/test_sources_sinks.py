@@ -1,5 +1,6 @@
 """Sources (multi-part, positional, grid, bindings) and sinks."""
 
+import os
 import tempfile
 
 from pyspark.sql import functions as F
@@ -52,6 +53,9 @@ def test_sinks_write_and_number_parts(spark):
     assert spark.read.parquet(path).where("k = 'b'").count() == 2
     fig = write_figure_data(df, "fig", path=f"{root}/fig")
     assert spark.read.parquet(fig).count() == 4
+    ordered = write_figure_data(spark.range(1000).repartition(7), "fig", path=f"{root}/ordered", fmt="csv", order=["id"])
+    files = sorted(p for p in os.listdir(ordered) if p.startswith("part-"))
+    assert [int(x) for p in files for x in open(f"{ordered}/{p}").read().split()] == list(range(1000))
 
 
 def test_cut_lineage_and_drop_intermediate_tables(spark):
