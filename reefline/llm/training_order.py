@@ -27,6 +27,7 @@ LENGTH = 1024
 SLOTS = 256               # of a shard
 ROUNDS = 6
 ID = "<u2"
+BROADCAST_BLOCKS = 500_000    # offsets of 16 bytes each
 
 
 def permuted(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -91,11 +92,15 @@ def token_sequences(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: st
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "block bigint, seq bigint, used int, tokens binary")
 
 
-def in_slots(sequences: DataFrame, key: int) -> DataFrame:
-    """Add ``slot`` to a written table of ``(block, seq, ..)``: the permuted place of each row in the order of block and seq."""
+def in_slots(sequences: DataFrame, key: int, n: int) -> DataFrame:
+    """Add ``slot`` to a written table of ``n`` rows ``(block, seq, ..)``: the permuted place of each row in the order of block and seq.
+
+    There is one offset per block.  Counted to be small they are broadcast, so the sequences do not move;
+    beyond that the join is left to the planner."""
     sizes = sequences.groupBy("block").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(0))
-    offsets = running_total(sizes, "all", ["block"], "n", "offset")
-    n = sequences.count()
+    offsets = keep(running_total(sizes, "all", ["block"], "n", "offset").select("block", "offset"))
+    if offsets.count() <= BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)
     names = [*sequences.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,18 +108,17 @@ def in_slots(sequences: DataFrame, key: int) -> DataFrame:
             slots = permuted(np.asarray(batch.column(0)), n, key)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(slots)], names=[*names, "slot"])
 
-    numbered = sequences.join(offsets.select("block", "offset"), "block").select((F.col("offset") + F.col("seq")).alias("number"), *names)
+    numbered = sequences.join(offsets, "block").select((F.col("offset") + F.col("seq")).alias("number"), *names)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sequences.schema.fields)
     return numbered.mapInArrow(run, f"{kinds}, slot bigint")
 
 
-def shards(slotted: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``(shard, first_slot, n_slots, stride, used, payload, sha256)``: the tokens of consecutive slots one after another.
+def shards(slotted: DataFrame, n: int, slots: int = SLOTS) -> DataFrame:
+    """Of ``n`` rows with slots 0 to n - 1: ``(shard, first_slot, n_slots, stride, used, payload, sha256)``: the tokens of consecutive slots one after another.
 
     Shard s holds the slots from s * slots on, ``stride`` bytes each; only the last may have fewer."""
     partitions = int(slotted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    last = slotted.agg(F.max("slot")).first()[0]
-    n_shards = 1 if last is None else last // slots + 1
+    n_shards = max(1, -(-n // slots))
     partitions = min(partitions, n_shards)
     dealt = slotted.select("slot", "used", "tokens").repartitionById(
         partitions, F.floor(F.floor(F.col("slot") / slots) * partitions / n_shards).cast("int")).sortWithinPartitions("slot")
@@ -153,7 +157,9 @@ def training_order(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str
     give the same shards; the sequences are written once before they are
     numbered, so a lost executor changes nothing.  Repeated rows are repeated;
     extra columns are not read; an empty table gives no shard."""
-    return shards(in_slots(keep(token_sequences(docs, ranks, pattern, text, length), compression="zstd"), key), slots)
+    sequences = keep(token_sequences(docs, ranks, pattern, text, length), compression="zstd")
+    n = sequences.count()
+    return shards(in_slots(sequences, key, n), n, slots)
 
 
 def read_slots(spark: SparkSession, path: str, first: int, count: int, slots: int = SLOTS) -> DataFrame:
