@@ -186,7 +186,8 @@ def links(fingerprints: DataFrame, threshold: int = 2) -> DataFrame:
     at_home = fingerprints.select("fp").mapInArrow(homes, "anchor bigint, a bigint")
     around = fingerprints.select("fp").mapInArrow(copies, "anchor bigint, b bigint")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return at_home.join(around, "anchor").where(near).select("a", "b")
+    # the planner takes the copies to be as small as the fingerprints and might broadcast them: always merge
+    return at_home.hint("merge").join(around, "anchor").where(near).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3,

@@ -64,6 +64,11 @@ def test_all_links_of_crowded_fingerprints(spark):
     assert sorted((r["a"], r["b"]) for r in found) == sorted(pairs)
 
 
+def test_copies_are_never_broadcast(spark):
+    plan = simhash.links(spark.range(5).selectExpr("id as fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_home_anchor_is_a_code_word_within_the_covering_radius():
     table = simhash.reach_table(2)
     prints = np.random.default_rng(2).integers(0, 2**63, 500).astype(np.uint64)
