@@ -65,10 +65,8 @@ def plan_mix(sized: DataFrame, max_epochs: float = 3.0) -> DataFrame:
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = keep(water_fill(totals, max_epochs).withColumn("whole", F.floor(epochs + F.lit(1e-12)).cast("bigint"))
                    .withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))))
-    partly = targets.where("rest > 0").select(F.col("source").alias("_source"), "rest")
-    ordered = running_total(sized, "source", ["u", "size"], "size", "before")
-    chosen = ordered.join(partly, F.col("source").eqNullSafe(F.col("_source"))) \
-        .where((F.col("size") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("rest")))
+    ordered = running_total(sized, "source", ["u", "size"], "size", "before", targets.where("rest > 0").select("source", "rest"))
+    chosen = ordered.where((F.col("size") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("rest")))
     tops = chosen.groupBy(F.col("source").alias("_source")).agg(F.max(F.struct("u", "size")).alias("top"))
     return targets.join(tops, F.col("source").eqNullSafe(F.col("_source")), "left") \
         .select("source", "source_size", "target", "whole", F.col("top.u").alias("top_u"), F.col("top.size").alias("top_size"))
@@ -93,7 +91,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     A null source is a source of its own, the last in order.  The same
     rows and seed give the same mix; an empty table gives an empty one."""
     sized = keep(sizes(docs, doc_id, text, source, seed))
-    return repetitions(sized, plan_mix(sized, max_epochs)).select("doc_id", "source", "size", "source_size", "target", "copies")
+    return repetitions(sized, keep(plan_mix(sized, max_epochs))).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",

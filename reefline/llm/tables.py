@@ -70,13 +70,15 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
-def running_total(df: DataFrame, key: str, order: list[str], value: str, out: str) -> DataFrame:
+def running_total(df: DataFrame, key: str, order: list[str], value: str, out: str, per_key: DataFrame | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the earlier rows of the same ``key`` in ``order``.
 
     Rows are range-partitioned by (key, order), so a hot key spreads over many
     tasks: windows run per (key, partition) and add the offset of the earlier
     partitions, of which there is one row per key and partition.  A null key is
-    a key of its own; rows that tie in ``order`` follow each other in any order."""
+    a key of its own; rows that tie in ``order`` follow each other in any order.
+    ``per_key`` (the key as its first column, one row per key) adds its columns; keys
+    that it lacks are left out.  It joins the offsets, so no key meets in one task."""
     from pyspark.sql import Window as W
 
     dealt = keep(df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()))
@@ -84,7 +86,11 @@ def running_total(df: DataFrame, key: str, order: list[str], value: str, out: st
     before = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = per.select(F.col(key).alias("_key"), F.col("_part").alias("_at"),
                          F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    more = per_key.columns[1:] if per_key is not None else []
+    if per_key is not None:
+        wanted = per_key.select(F.col(per_key.columns[0]).alias("_wanted"), *more)
+        offsets = offsets.join(wanted, F.col("_key").eqNullSafe(F.col("_wanted")))
     inside = W.partitionBy(key, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     joined = dealt.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")))
     return joined.withColumn(out, F.col("_offset") + F.coalesce(F.sum(value).over(inside), F.lit(0))) \
-        .select(*df.columns, out)
+        .select(*df.columns, out, *more)
