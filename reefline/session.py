@@ -32,8 +32,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     ``driver_memory`` those of spark-submit (or of the running session) hold.
     """
     builder = SparkSession.builder.appName(app_name)
-    if master:
-        builder = builder.master(master)
+    if master:       # a session of our own, as in scripts and the benchmark
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if driver_memory:
         builder = builder.config("spark.driver.memory", driver_memory)
     for k, v in SESSION_DEFAULTS.items():
