@@ -3,8 +3,8 @@
 Words are compared without case and punctuation.  Each template's three-word
 shingles are winnowed (the least hash of every ``WINDOW`` neighbours) into an
 inverted index from hash to (template, place).  All shingles of a text are
-looked up in it; hits of a template on about the same diagonal are one
-candidate, and the template is aligned with the words around it in a band.  A
+looked up in it; each diagonal on which a template has hits is one candidate,
+and the template is aligned with the words around it in a band.  A
 candidate counts if enough of the template's words are matched; of overlapping
 ones the best stays.  The index has a fixed size and each text is read by itself.
 """
@@ -79,7 +79,7 @@ def index_of(templates: list[tuple[str, str]]) -> Index:
 
 def align(template: np.ndarray, words: np.ndarray, band: int) -> tuple[int, int, int]:
     """Best local alignment of the template along the diagonal of ``words`` that begins at ``band``: matched words, and
-    the first word and end of the matched span (0 matches: no span)."""
+    the first word and end of the matched span (0 matches: no span); of equal ones that nearest to the diagonal."""
     rows, width = len(template), 2 * band + 1
     score = np.zeros((rows + 1, width + 2), np.int64)
     came = np.zeros((rows + 1, width + 2), np.int8)
@@ -95,7 +95,7 @@ def align(template: np.ndarray, words: np.ndarray, band: int) -> tuple[int, int,
             value = max(0, step, up, back)
             score[i, c] = value
             came[i, c] = 0 if not value else 1 if value == step else 2 if value == up else 3
-            if value > best[0]:
+            if value > best[0] or value and value == best[0] and abs(c - 1 - band) < abs(best[2] - 1 - band):
                 best = (value, i, c)
     _, i, c = best
     matched, first, last = 0, 0, 0
@@ -114,21 +114,15 @@ def align(template: np.ndarray, words: np.ndarray, band: int) -> tuple[int, int,
     return matched, first, last
 
 
-def _candidates(template: np.ndarray, begin: np.ndarray, index: Index) -> list[tuple[int, int]]:
-    """Template and estimated first word of each group of hits; hits of a group lie within the band of the one before."""
-    out: list[tuple[int, int]] = []
-    for t in np.unique(template):
-        near = BAND + len(index.words[t]) // 10
-        at = np.sort(begin[template == t])
-        group = np.cumsum(np.concatenate([[0], np.diff(at) > near]))
-        out += [(int(t), int(np.median(at[group == g]))) for g in range(int(group[-1]) + 1)]
-    return out
+def _candidates(template: np.ndarray, begin: np.ndarray) -> list[tuple[int, int]]:
+    """Template and estimated first word of the hits, each once."""
+    return [(int(t), int(at)) for t in np.unique(template) for at in np.unique(begin[template == t])]
 
 
 def scan_text(words: np.ndarray, start: np.ndarray, end: np.ndarray, template: np.ndarray, begin: np.ndarray, index: Index) -> list[tuple]:
     """``(name, coverage, first byte, end)`` of the accepted, not overlapping matches of one text, in order."""
     found = []
-    for t, at in _candidates(template, begin, index):
+    for t, at in _candidates(template, begin):
         wanted = index.words[t]
         band = BAND + len(wanted) // 10
         low = at - band
@@ -139,10 +133,12 @@ def scan_text(words: np.ndarray, start: np.ndarray, end: np.ndarray, template: n
         if matched >= COVERAGE * len(wanted):
             found.append((matched / len(wanted), matched, -t, max(low, 0) + a + min(low, 0), max(low, 0) + b + min(low, 0)))
     out: list[tuple] = []
+    taken = np.zeros(len(words), bool)
     for coverage, _, t, a, b in sorted(found, reverse=True):
-        if all(b <= x or y <= a for _, _, _, _, x, y in out):
-            out.append((index.names[-t], coverage, int(start[a]), int(end[b - 1]), a, b))
-    return sorted((o[:4] for o in out), key=lambda o: o[2:])
+        if not taken[a:b].any():
+            taken[a:b] = True
+            out.append((index.names[-t], coverage, int(start[a]), int(end[b - 1])))
+    return sorted(out, key=lambda o: o[2:])
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:

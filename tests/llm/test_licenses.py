@@ -41,3 +41,13 @@ def test_odd_rows_and_empty_table(spark, tmp_path):
     out = scan(docs, TEMPLATES).collect()
     assert len(out) == docs.count() and not any(r["matches"] for r in out)
     assert scan(frame(spark, []), TEMPLATES).count() == 0
+
+
+def test_short_notices_back_to_back_are_all_reported(spark, tmp_path):
+    rows = [(10 * t + n, (" " + between + " ").join([TEMPLATES[k][1]] * copies).strip(), "a")
+            for t, k in enumerate((0, 17)) for n, (copies, between) in enumerate(((2, ""), (5, ""), (40, ""), (40, "or")))]
+    out = {r["doc_id"]: r["matches"] for r in scan(frame(spark, rows, tmp_path / "d"), TEMPLATES).collect()}
+    for i, text, _ in rows:
+        name, notice = TEMPLATES[0] if i < 10 else TEMPLATES[17]
+        assert [m["license"] for m in out[i]] == [name] * text.count(notice), (i, out[i])
+        assert all(m["coverage"] == 1.0 for m in out[i])
