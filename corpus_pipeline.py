@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from reefline.llm import bpe, tables
 from reefline.llm.exact_dedup import exact_duplicates
 from reefline.llm.mixing import mixed_documents
-from reefline.llm.near_jaccard import near_duplicates
 from reefline.llm.quality import THRESHOLD, score_documents
+from reefline.llm.simhash import near_duplicates
 
 #: SQL can express neither the classifier nor SimHash nor the tokenizer; the tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -41,11 +41,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group that links of Jaccard likeness 0.8 or more of 5-word shingles join stays, that of the least id.
-
-    A 64-bit SimHash is no sure filter for this likeness (about 10 bits differ, far more in some pairs), so the join is exact."""
+    """One row of each group that SimHash links join stays, that of the least id: shingles of three words, two bits at most."""
     rows = tables.numbered(docs)
-    return tables.without(rows, near_duplicates(rows).where(~F.col("kept")))
+    return tables.without(rows, near_duplicates(rows, words=3, threshold=2, carry=tables.ROW).where(~F.col("kept")))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
