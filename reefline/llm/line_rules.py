@@ -183,7 +183,7 @@ def boilerplate(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
     totals = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("_all")).where(F.col("_all") > limits.documents) \
         .select(F.col("host").alias("_host"), "_all", _salts().alias("_salt"))
     on = F.col("host").eqNullSafe(F.col("_host")) & (F.pmod(F.xxhash64("line"), F.lit(SALTS)) == F.col("_salt"))
-    return per_line.join(totals, on).where(F.col("documents") > F.col("_all") * F.lit(limits.share)).select("host", "line", "documents")
+    return per_line.join(totals.hint("merge"), on).where(F.col("documents") > F.col("_all") * F.lit(limits.share)).select("host", "line", "documents")
 
 
 def _removed(measured: DataFrame, limits: Limits) -> DataFrame:
@@ -193,7 +193,8 @@ def _removed(measured: DataFrame, limits: Limits) -> DataFrame:
     stands = measured.select("host", *ROW, F.explode(F.arrays_zip("line_hashes", "line_words")).alias("l")) \
         .select("host", *ROW, F.col("l.line_hashes").alias("line"), F.col("l.line_words").alias("words"),
                 F.pmod(F.xxhash64(*ROW), F.lit(SALTS)).cast("int").alias("_at"))
-    hit = stands.join(gone, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line")) & (F.col("_at") == F.col("_salt")))
+    # the planner takes the salted copies to be as small as their file and might broadcast them: always merge
+    hit = stands.join(gone.hint("merge"), F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line")) & (F.col("_at") == F.col("_salt")))
     return hit.groupBy(*[F.col(c).alias(f"{c}_hit") for c in ROW]).agg(F.sum("words").alias("removed"), F.collect_list("line").alias("lines"))
 
 
