@@ -150,7 +150,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 25, least_words:
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
     noise = F.floor(F.lit(-1000.0) * F.log(-F.log((h + F.lit(0.5)) / F.lit(4294967296.0))))
-    scored = weighed(docs, gain, doc_id, text).withColumn("score", F.col("weight") + noise) \
-        .withColumn("_able", F.col("n_words") >= least_words)
+    # written once: dealing out by ranges samples its input first, which would read the texts again
+    scored = keep(weighed(docs, gain, doc_id, text).withColumn("score", F.col("weight") + noise)
+                  .withColumn("_able", F.col("n_words") >= least_words))
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("n_features").desc(), F.col("weight").desc()]
     return ranked(scored, "_able", order, (percent, 100)).drop("_able")
