@@ -18,10 +18,8 @@ The diagnostics compare chains of one length: ``equal_length`` cuts the chains o
 a parameter to its shortest one, as an explicit step.
 
 Everything is spread over tasks: ranks come from ``ranking.value_positions``,
-sums over chains from grouped aggregates.  Autocovariances are sums over
-overlapping blocks of a chain, for as many lags as truncation needs: the number
-of lags doubles until every parameter has a pair sum that is not positive, so a
-task holds a block and its lags, never a chain.
+sums over chains from grouped aggregates, autocovariances from pairs of blocks of
+fixed size (``autocovariance``), for as many lags as truncation needs.
 """
 
 from __future__ import annotations
@@ -29,13 +27,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from reefline import fixed_values as fv
 from reefline.functions.stats import with_qnorm
+from reefline.operators import autocovariance as AC
 from reefline.operators.joins import join_null_safe
 from reefline.operators.ranking import value_positions
 from reefline.operators.summaries import group_quantiles
@@ -128,95 +125,51 @@ def _larger_rhat(bulk: DataFrame, draws: DataFrame, keys: list[str], value: str)
 
 # --- effective sample size ------------------------------------------------------
 
-FIRST_LAGS = 128
-BLOCK = 1 << 16
-
-
-def _block_sums(x: np.ndarray, own: int, lags: int) -> np.ndarray:
-    """Sum over the first ``own`` values of each value times the one ``t`` later, for t below ``lags``."""
-    size = 1 << int(np.ceil(np.log2(max(2 * len(x), 2))))
-    head = np.fft.rfft(x[:own], size)
-    sums = np.fft.irfft(np.conj(head) * np.fft.rfft(x, size), size)[:lags]
-    return np.pad(sums, (0, lags - len(sums))) if len(sums) < lags else sums
-
-
-def lagged_sums(centred: DataFrame, by: Sequence[str], iteration: str, value: str, lags: int, block: int = BLOCK) -> DataFrame:
-    """``by + [lag, s]``: sum over a sequence of each value times the one ``lag`` later, for lags below ``lags``.
-
-    ``iteration`` numbers the values of a sequence without gaps.  A sequence is cut into blocks of at
-    least ``lags`` values; a block also gets the ``lags`` values after it."""
-    by = list(by)
-    block = max(block, lags)
-    number = F.floor(F.col(iteration) / block)
-    also = F.when((F.col(iteration) % block < lags) & (number > 0), F.array(number, number - 1)).otherwise(F.array(number))
-    placed = centred.select(*by, F.col(iteration).alias("_i"), F.col(value).cast("double").alias("_x"), number.alias("_own"), F.explode(also).alias("_block"))
-    schema = T.StructType([T.StructField("sums", T.ArrayType(T.DoubleType()))] + [placed.schema[k] for k in by])
-
-    def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        own = int((pdf["_own"] == pdf["_block"]).sum())
-        return pd.DataFrame([{"sums": _block_sums(pdf["_x"].to_numpy(float), own, lags), **{k: pdf[k].iloc[0] for k in by}}])[[f.name for f in schema.fields]]
-
-    sums = placed.groupBy(*by, "_block").applyInPandas(per_block, schema)
-    return sums.select(*by, F.posexplode("sums").alias("lag", "_s")).groupBy(*by, "lag").agg(F.sum("_s").alias("s"))
-
-
-def truncated_tau(rho: np.ndarray, n: int) -> float | None:
-    """Integrated autocorrelation time from ``rho[0..]`` of chains of length ``n``; None if more lags are needed.
-
-    Sums of neighbours (even lag, next odd lag) are added up to the first that is not positive, each at
-    most the one before; the even autocorrelation at the cut counts once if it or its pair sum is positive.
-    The last pairs of a chain (within five lags of its end) are never added."""
-    limit = max(0, -(-(n - 5) // 2))
-    pairs = rho[: len(rho) // 2 * 2].reshape(-1, 2).sum(axis=1)
-    stops = np.flatnonzero(~(pairs > 0))
-    cut = min(int(stops[0]) if len(stops) else limit, limit)
-    if cut >= len(pairs) and 2 * cut + 1 < n:
-        return None
-    at = rho[2 * cut] if 2 * cut < len(rho) else 0.0
-    last = at if at > 0 or (cut < len(pairs) and pairs[cut] >= 0) else 0.0
-    return float(-1 + 2 * np.minimum.accumulate(pairs[:cut]).sum() + last)
-
-
 def ess_of(split: DataFrame, keys: Sequence[str], value: str, out: str = "ess", chain: str = "split_chain",
-           iteration: str = "iteration", first_lags: int = FIRST_LAGS, block: int = BLOCK) -> DataFrame:
+           iteration: str = "iteration", first_lags: int = AC.FIRST_LAGS, block: int = AC.BLOCK) -> DataFrame:
     """ESS of each parameter from its split chains (all of one length).
 
     The biased autocovariances (1/N) of the chains are averaged by lag.  Parameters that ``first_lags``
-    lags do not decide are taken again with twice as many, up to the chain length."""
+    lags do not decide are taken again with the lags of neighbouring blocks, and then with twice as many
+    block distances, up to the chain length; block distances that are summed already are kept."""
     keys = list(keys)
     x = split.select(*keys, chain, iteration, F.col(value).cast("double").alias("_x"))
-    chains = x.groupBy(*keys, chain).agg(F.avg("_x").alias("_mean"), F.min(iteration).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    blocks = AC.in_blocks(x, keys + [chain], iteration, "_x", block)
+    chains = cut_lineage(blocks.groupBy(*keys, chain).agg(F.sum("_len").alias("_n"), (F.sum("_sum") / F.sum("_len")).alias("_mean")))
+    blocks = join_null_safe(blocks, chains.drop("_n"), keys + [chain])
     stats = cut_lineage(chains.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.min("_n").alias("n"), F.var_samp("_mean").alias("var_cm")))
-    centred = cut_lineage(join_null_safe(x, chains, keys + [chain]).select(
-        *keys, chain, (F.col(iteration) - F.col("_first")).alias("_at"), (F.col("_x") - F.col("_mean")).alias("_y")))
-    schema = T.StructType([stats.schema[k] for k in keys] + [T.StructField(out, T.DoubleType()), T.StructField("_more", T.BooleanType())])
-
-    def per_parameter(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lag")
-        m, n, between = int(pdf["m"].iloc[0]), int(pdf["n"].iloc[0]), pdf["var_cm"].iloc[0]
-        acov = pdf["s"].to_numpy(float)[:n] / (m * n)
-        within = acov[0] * n / (n - 1) if n > 1 else np.nan
-        total = within * (n - 1) / n + (float(between) if m > 1 and not pd.isna(between) else 0.0)
-        tau = np.nan
-        if n >= 3 and total > 0:
-            rho = 1 - (within - acov) / total
-            rho[0] = 1.0
-            tau = truncated_tau(rho, n)
-        ess = np.nan if tau is None or np.isnan(tau) else m * n / max(tau, 1 / np.log10(m * n))
-        row = {**{k: pdf[k].iloc[0] for k in keys}, out: ess, "_more": tau is None}
-        return pd.DataFrame([row])[[f.name for f in schema.fields]]
-
-    done, lags = None, first_lags
+
+    reach, complete, done = 0, min(first_lags, block), None
+    sums = cut_lineage(AC.pair_sums(blocks, keys, chain, 0, 1, block, below=complete))
     while True:
-        sums = lagged_sums(centred, keys + [chain], "_at", "_y", lags, block).groupBy(*keys, "lag").agg(F.sum("s").alias("s"))
-        found = cut_lineage(join_null_safe(sums, stats, keys).groupBy(*keys).applyInPandas(per_parameter, schema))
+        found = cut_lineage(_decided(sums, stats, keys, complete, out))
         ready = found.where(~F.col("_more")).select(*keys, out)
         done = ready if done is None else done.unionByName(ready)
         left = found.where("_more").select(*keys)
         if not left.take(1):
             return done
-        centred, lags = join_null_safe(centred, left, keys, "left_semi"), lags * 2
+        blocks, stats = (join_null_safe(d, left, keys, "left_semi") for d in (blocks, stats))
+        more = AC.pair_sums(blocks, keys, chain, reach + 1 if reach else 0, max(2 * reach, 1), block)
+        if reach:
+            more = more.unionByName(join_null_safe(sums, left, keys, "left_semi"))
+        reach = max(2 * reach, 1)
+        sums, complete = cut_lineage(more.groupBy(*keys, "lag").agg(F.sum("s").alias("s"))), reach * block
+
+
+def _decided(sums: DataFrame, stats: DataFrame, keys: list[str], complete: int, out: str) -> DataFrame:
+    """``keys + [out, _more]`` from the lag sums below ``complete``; ``_more`` marks parameters that need more lags."""
+    zero = sums.where(F.col("lag") == 0).select(*keys, F.col("s").alias("_s0"))
+    within = F.col("_s0") / (F.col("m") * F.greatest(F.col("n") - 1, F.lit(1)))
+    between = F.when((F.col("m") > 1) & ~F.isnan("var_cm"), F.col("var_cm"))
+    base = join_null_safe(stats, zero, keys, "left").withColumns({"_within": within, "_total": within * (F.col("n") - 1) / F.col("n") + F.coalesce(between, F.lit(0.0))})
+    usable = (F.col("n") >= 3) & (F.col("_total") > 0) & ~F.isnan("_total")
+    rows = join_null_safe(sums, base.where(usable), keys).where(F.col("lag") < F.least(F.lit(complete), F.col("n")))
+    rho = F.when(F.col("lag") == 0, 1.0).otherwise(1 - (F.col("_within") - F.col("s") / (F.col("m") * F.col("n"))) / F.col("_total"))
+    tau = AC.truncated_tau(rows.select(*keys, "n", "lag", rho.alias("rho")), keys)
+    draws = (F.col("m") * F.col("n")).cast("double")
+    ess = F.when(usable, draws / F.greatest(F.col("tau"), 1 / F.log10(F.greatest(draws, F.lit(2.0))))).otherwise(F.lit(float("nan")))
+    known = join_null_safe(base, tau, keys, "left")
+    return known.select(*keys, ess.alias(out), (F.coalesce(usable, F.lit(False)) & F.col("tau").isNull()).alias("_more"))
 
 
 def ess_many(split: DataFrame, keys: Sequence[str], series: dict[str, F.Column]) -> DataFrame:

@@ -63,26 +63,3 @@ def row_position(df: DataFrame, keys: Sequence[str], order: str, out: str = "pos
     pos = value_positions(df.select(*keys, order), keys, order)
     pos = pos.select(*keys, order, (F.col("_lt") + 1).alias(out), F.col("_n").alias(f"{out}_n"))
     return join_null_safe(df, pos, keys + [order], "inner")
-
-
-def quantiles_from_positions(pos: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                             names: Sequence[str]) -> DataFrame:
-    """Type-7 quantiles (linear between order statistics at (n-1)p) from ``value_positions``."""
-    keys = list(keys)
-    n = F.col("_n")
-    aggs = [F.first("_n").alias("_n")]
-    for i, p in enumerate(probs):
-        h = (n - 1) * F.lit(float(p))
-        lo = F.floor(h)
-        hi = F.ceil(h)
-        lt, cnt = F.col("_lt"), F.col("_cnt")
-        aggs.append(F.max(F.when((lt <= lo) & (lo < lt + cnt), F.col(value))).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when((lt <= hi) & (hi < lt + cnt), F.col(value))).alias(f"_hi{i}"))
-    g = pos.groupBy(*keys).agg(*aggs)
-    cols = []
-    for i, (p, name) in enumerate(zip(probs, names)):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        frac = h - F.floor(h)
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        cols.append(F.when((frac == 0) | (lo == hi), lo).otherwise((1 - frac) * lo + frac * hi).alias(name))
-    return g.select(*keys, *cols)

@@ -4,8 +4,9 @@ Exact quantiles are type 7 (linear interpolation between order statistics at
 ``(n-1)p``), the default of most statistics packages and of Spark's
 ``percentile`` and DuckDB's ``quantile_cont``.
 
-They are read from ``ranking.value_positions``: distinct values are positioned
-with running counts over range partitions, so no task ever holds a whole group.
+They come from ``selection.exact_quantiles``: a sketch brackets each order
+statistic and a second pass counts and keeps the values inside, so no task ever
+sorts a whole group.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reefline.operators.joins import complete, join_null_safe
-from reefline.operators.ranking import quantiles_from_positions, value_positions
+from reefline.operators.selection import exact_quantiles
 
 
 def qname(p: float) -> str:
@@ -45,9 +46,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
 
     NULL values are skipped (a missing value would be an error upstream).
     """
-    keys = list(keys)
-    names = list(names or [qname(p) for p in probs])
-    return quantiles_from_positions(value_positions(df.select(*keys, value), keys, value), keys, value, probs, names)
+    return exact_quantiles(df, keys, value, probs, names or [qname(p) for p in probs])
 
 
 def quantile_of_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
@@ -55,7 +54,11 @@ def quantile_of_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs:
     """AGG-3: per-group p-quantile, then the same p-quantile across groups, as one
     row labelled ``label`` in ``label_col``."""
     names = list(names or [qname(p) for p in probs])
-    per_group = group_quantiles(df, keys, value, probs, names)
+    return quantiles_across(group_quantiles(df, keys, value, probs, names), probs, label_col, label, names)
+
+
+def quantiles_across(per_group: DataFrame, probs: Sequence[float], label_col: str, label: str, names: Sequence[str]) -> DataFrame:
+    """The second half of AGG-3, from quantiles of groups that are there already."""
     # Long form (quantile name, value) so one aggregation serves every column;
     # each column then keeps the quantile at its own probability.
     long = per_group.select(F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), F.col(n).alias("_v"))

@@ -23,19 +23,18 @@ def reference_rates(part1: DataFrame, part2: DataFrame) -> DataFrame:
 
 
 def cca_quantiles(data_cca: DataFrame) -> DataFrame:
-    """Per-genus quantiles of warm-climate CCA rates plus the 'All CCA' row."""
+    """Per-genus quantiles of warm-climate CCA rates plus the 'All CCA' row (over crustose genera)."""
     warm = data_cca.where(is_in("climate", CCA_CLIMATES))
     per_genus = S.group_quantiles(warm, ["genus"], "rate_std", fv.QUANTILE_PROBS, QUANTILE_NAMES)
-    crustose = warm.where(not_in("genus", fv.ARTICULATE_GENERA)).where(F.col("genus") != fv.HALIMEDA)
-    avg = S.quantile_of_quantiles(crustose, ["genus"], "rate_std", fv.QUANTILE_PROBS, "genus", "All CCA", QUANTILE_NAMES)
+    crustose = per_genus.where(not_in("genus", fv.ARTICULATE_GENERA)).where(F.col("genus") != fv.HALIMEDA)
+    avg = S.quantiles_across(crustose, fv.QUANTILE_PROBS, "genus", "All CCA", QUANTILE_NAMES)
     return per_genus.unionByName(avg)
 
 
 def coral_quantiles(coral: DataFrame) -> DataFrame:
     """Per-genus quantiles of coral rates plus the 'All Corals' row."""
     per_genus = S.group_quantiles(coral, ["genus"], "conx", fv.QUANTILE_PROBS, QUANTILE_NAMES)
-    avg = S.quantile_of_quantiles(coral, ["genus"], "conx", fv.QUANTILE_PROBS, "genus", "All Corals", QUANTILE_NAMES)
-    return per_genus.unionByName(avg)
+    return per_genus.unionByName(S.quantiles_across(per_genus, fv.QUANTILE_PROBS, "genus", "All Corals", QUANTILE_NAMES))
 
 
 def quantile_summary(data_cca: DataFrame, coral: DataFrame) -> DataFrame:

@@ -140,6 +140,51 @@ def test_blocks_and_doubling_lags_change_nothing(spark, chains, lags, block):
     assert np.isclose(got, exp, rtol=1e-8)
 
 
+def test_slow_chains_need_many_blocks_of_fixed_size(spark, monkeypatch):
+    from reefline.operators import autocovariance as AC
+
+    rng = np.random.default_rng(2)
+    slow = np.stack([_ar1(rng, 500, 0.95) + 40.0 * c for c in range(4)])          # pair sums stay positive to the end
+    fast = rng.normal(size=(4, 500))
+    rows = [(k, c, i + 1, float(v)) for k, arr in (("slow", slow), (None, fast)) for c, row in enumerate(arr) for i, v in enumerate(row)]
+    df = spark.createDataFrame(rows, "parameter string, chain int, iteration long, value double")
+    distances, sizes = [], []
+    pair_sums, in_blocks = AC.pair_sums, AC.in_blocks
+    monkeypatch.setattr(AC, "pair_sums", lambda *a, **k: distances.append(a[3:5]) or pair_sums(*a, **k))
+
+    def measured(*a):
+        blocks = in_blocks(*a)
+        sizes.append(blocks.agg(F.max("_len")).first()[0])
+        return blocks
+
+    monkeypatch.setattr(AC, "in_blocks", measured)
+    got = {r.parameter: r.ess for r in D.ess_of(D.split_chains(df, ["parameter"]), ["parameter"], "value", first_lags=8, block=16).collect()}
+    assert np.isclose(got["slow"], _ess(_split(slow)), rtol=1e-8) and np.isclose(got[None], _ess(_split(fast)), rtol=1e-8)
+    assert distances == [(0, 1), (0, 1), (2, 2), (3, 4), (5, 8), (9, 16)] and sizes == [16]
+
+
+def test_running_minimum_over_chunks_of_lags(spark, monkeypatch):
+    from reefline.operators import autocovariance as AC
+
+    rng = np.random.default_rng(4)
+    n = 60
+    rho = np.concatenate([[1.0], np.abs(rng.normal(size=n - 1))])
+    rho[41] = -5.0
+    monkeypatch.setattr(AC, "CHUNK", 3)
+    df = spark.createDataFrame([(n, i, float(x)) for i, x in enumerate(rho)], "n long, lag long, rho double")
+    pairs = rho.reshape(-1, 2).sum(axis=1)
+    want = -1 + 2 * np.minimum.accumulate(pairs[:20]).sum() + rho[40]
+    assert np.isclose(AC.truncated_tau(df.withColumn("g", F.lit("a")), ["g"]).first().tau, want)
+    assert AC.truncated_tau(df.where("lag < 40").withColumn("g", F.lit("a")), ["g"]).count() == 0
+
+
+def test_constant_and_very_short_chains_have_no_ess(spark):
+    rows = [("same", c, i, 1.0) for c in range(2) for i in range(1, 9)] + [("short", c, i, float(i)) for c in range(2) for i in range(1, 3)]
+    df = spark.createDataFrame(rows, "parameter string, chain int, iteration long, value double")
+    got = {r.parameter: r.ess for r in D.ess_of(df, ["parameter"], "value", chain="chain").collect()}
+    assert set(got) == {"same", "short"} and all(np.isnan(v) for v in got.values())
+
+
 def test_equal_length_keeps_the_first_draws(spark):
     df = spark.createDataFrame([("d", "p", c, i, 1.0) for c, n in ((0, 5), (1, 3)) for i in range(1, n + 1)],
                                "dataset string, parameter string, chain int, iteration long, value double")
