@@ -12,6 +12,7 @@ from reefline import fixed_values as fv
 from reefline.functions import as_number, censor, in_range, nonnegative, not_contains, not_in
 from reefline.functions.text import binomial, genus_of
 from reefline.operators import cleaning as C
+from reefline.operators.routing import to_targets
 from reefline.plans import figures as FG
 from reefline.plans import review as RV
 from reefline.plans.registry import query, r, rounded
@@ -228,13 +229,10 @@ def unit_conversion(spark, sf_dir):
     "SELECT 'extension', count(*) FROM rescued WHERE rate_ext IS NOT NULL"))
 def rescue_route(spark, sf_dir):
     """CLN-9: rescued rows routed to the target whose column is not missing."""
-    prepared = RV.prepare_materialized(_rates(spark, sf_dir))
-    res = RV.rescue_incomplete(prepared, RV.branches(prepared, B.LINEITEM_ORDER), B.LINEITEM_ORDER)
-    out = None
-    for label, col in (("biomass", "rate_biom"), ("surface", "rate_surf"), ("extension", "rate_ext")):
-        part = RV.route(res, col).agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("target"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    names = {"rate_biom": "biomass", "rate_surf": "surface", "rate_ext": "extension"}
+    rescued = to_targets(RV.rescue_incomplete(RV.route_rates(_rates(spark, sf_dir), B.LINEITEM_ORDER)), names, "target", "rate_std")
+    counts = rescued.agg(*[F.count(F.when(F.col("target") == n, 1)).alias(n) for n in names.values()])     # a target without rows counts 0
+    return counts.unpivot([], list(names.values()), "target", "n")
 
 
 @query("error_convert", review_with("SELECT standardization, count(std_error) AS n, " + r("avg(std_error)", "mean_error")

@@ -19,27 +19,27 @@ def _branch_sql(*tables: str) -> str:
     return review_with(" UNION ALL ".join(f"SELECT {sel} FROM {t}" for t in tables))
 
 
-def _parts(spark, sf_dir):
-    prepared = RV.prepare_materialized(B.study_rates(spark, sf_dir))
-    return prepared, RV.branches(prepared, ORDER)
+def _prepared(spark, sf_dir):
+    return RV.prepare(B.study_rates(spark, sf_dir))
+
+
+def _routed(spark, sf_dir):
+    return RV.route_rates(B.study_rates(spark, sf_dir), ORDER)
 
 
 @query("harmonise_biomass", _branch_sql("biom", "vol"))
 def harmonise_biomass(spark, sf_dir):
-    _, p = _parts(spark, sf_dir)
-    return rounded(p.biomass.select(*BRANCH_COLS).unionByName(p.volume.select(*BRANCH_COLS)))
+    return rounded(RV.harmonise_biomass_and_volume(_prepared(spark, sf_dir)).select(*BRANCH_COLS))
 
 
 @query("harmonise_surface", _branch_sql("surf"))
 def harmonise_surface(spark, sf_dir):
-    _, p = _parts(spark, sf_dir)
-    return rounded(p.surface.select(*BRANCH_COLS))
+    return rounded(RV.harmonise_surface(_prepared(spark, sf_dir), ORDER).select(*BRANCH_COLS))
 
 
 @query("harmonise_extension", _branch_sql("ext"))
 def harmonise_extension(spark, sf_dir):
-    _, p = _parts(spark, sf_dir)
-    return rounded(p.extension.select(*BRANCH_COLS))
+    return rounded(RV.harmonise_extension(_prepared(spark, sf_dir)).select(*BRANCH_COLS))
 
 
 RESCUE_COLS = ["paper_name", "method", "method_family", "unit", "species", "genus", "error", "rate_ext", "rate_surf",
@@ -50,9 +50,7 @@ RESCUE_COLS = ["paper_name", "method", "method_family", "unit", "species", "genu
     "SELECT paper_name, method, method_family, unit, species, genus, error, "
     + ", ".join(r(c, c) for c in ("rate_ext", "rate_surf", "rate_biom")) + " FROM rescued"))
 def rescue_incomplete(spark, sf_dir):
-    prepared, p = _parts(spark, sf_dir)
-    return rounded(RV.rescue_incomplete(prepared, p, ORDER).select(*RESCUE_COLS)
-                   .withColumn("error", F.col("error")))
+    return rounded(RV.rescue_incomplete(_routed(spark, sf_dir)).select(*RESCUE_COLS))
 
 
 GROWTH_SQL_COLS = ("paper_name, genus, climate, " + r("temperature", "temperature") + ", method_family, "
@@ -69,15 +67,7 @@ def growth_table(spark, sf_dir):
     "SELECT (SELECT count(*) FROM (SELECT DISTINCT paper_name FROM prepared)) AS n_studies, "
     "(SELECT count(*) FROM used) AS n_used, (SELECT count(*) FROM inc_keys) AS n_incomplete"))
 def incomplete_audit(spark, sf_dir):
-    """AGG-10/11, SET-4/5: studies in total, used by a branch, and incomplete."""
-    prepared, p = _parts(spark, sf_dir)
-    from functools import reduce
-    used = reduce(lambda a, b: a.unionByName(b), [x.select("paper_name") for x in
-                                                    (p.extension, p.biomass, p.volume, p.surface)]).distinct()
-    n_studies = prepared.select("paper_name").distinct().agg(F.count(F.lit(1)).alias("n")).select("n")
-    n_used = used.agg(F.count(F.lit(1)).alias("n"))
-    n_inc = RV.incomplete_studies(prepared, p).agg(F.count(F.lit(1)).alias("n"))
-    return prepared.sparkSession.range(1).select(
-        n_studies.scalar().alias("n_studies"), n_used.select("n").scalar().alias("n_used"),
-        n_inc.select("n").scalar().alias("n_incomplete"))
-
+    """AGG-10/11, SET-4/5: studies in total, used by a branch, and incomplete, from the bits of one aggregate."""
+    used, count = F.col("branches") != 0, F.count(F.lit(1))
+    return RV.study_audit(_routed(spark, sf_dir)).agg(
+        count.alias("n_studies"), F.count(F.when(used, 1)).alias("n_used"), F.count(F.when(~used & F.col("no_method"), 1)).alias("n_incomplete"))

@@ -29,12 +29,15 @@ def _growth(spark, sf_dir):
     return cut_lineage(RV.growth(B.study_rates(spark, sf_dir), ORDER, extra=B.extra_rates(spark, sf_dir)))
 
 
-def _data_cca(spark, sf_dir):
-    return RV.cca_surface_g_cm2_year(_growth(spark, sf_dir))
+def _data_cca(spark, sf_dir, *columns):
+    """The surface rows of the growth table, of which only ``columns`` are written."""
+    g = RV.growth(B.study_rates(spark, sf_dir), ORDER, extra=B.extra_rates(spark, sf_dir))
+    return cut_lineage(RV.cca_surface_g_cm2_year(g).select(*columns))
 
 
-def _reference_rates(spark, sf_dir):
-    return FG.reference_rates(*B.reference_parts(spark, sf_dir))
+def _reference_rates(spark, sf_dir, *columns):
+    """The coral rates, written once as quantiles read them twice."""
+    return cut_lineage(FG.reference_rates(*B.reference_parts(spark, sf_dir)).select(*columns or ("*",)))
 
 
 def _rq(names):
@@ -66,8 +69,8 @@ QUANTILE_SUMMARY_SQL = review_with(
 @query("quantile_summary", QUANTILE_SUMMARY_SQL)
 def quantile_summary(spark, sf_dir):
     """ANA-6 (flagship): per-genus quantiles and the quantile-of-quantiles rows."""
-    g = _growth(spark, sf_dir)
-    return rounded(FG.quantile_summary(RV.cca_surface_g_cm2_year(g), _reference_rates(spark, sf_dir))
+    cca = _data_cca(spark, sf_dir, "genus", "climate", "rate_std")
+    return rounded(FG.quantile_summary(cca, _reference_rates(spark, sf_dir, "genus", "conx"))
                    .select("component", "genus", *QN))
 
 
@@ -81,14 +84,14 @@ _GQ_SQL = (f"WITH rates AS ({B.study_rates_sql()}) "
 @query("group_quantiles", _GQ_SQL)
 def group_quantiles(spark, sf_dir):
     """AGG-2: exact quantiles of the reported rate per genus (first word of the species)."""
-    rates = B.study_rates(spark, sf_dir).select(genus_of("species").alias("genus"), "rate")
+    rates = cut_lineage(B.study_rates(spark, sf_dir).select(genus_of("species").alias("genus"), "rate"))     # joins, and read twice
     return rounded(S.group_quantiles(rates, ["genus"], "rate", QP, QN))
 
 
 @query("group_quantiles_ranked", _GQ_SQL)
 def group_quantiles_ranked(spark, sf_dir):
     """AGG-2 with the rows dealt out anew first: the result does not depend on the partitioning."""
-    rates = B.study_rates(spark, sf_dir).select(genus_of("species").alias("genus"), "rate").repartition("rate")
+    rates = cut_lineage(B.study_rates(spark, sf_dir).select(genus_of("species").alias("genus"), "rate").repartition("rate"))
     return rounded(S.group_quantiles(rates, ["genus"], "rate", QP, QN))
 
 
@@ -106,9 +109,8 @@ GQ = [S.qname(p) for p in fv.GLOBAL_QUANTILE_PROBS]
     f"UNION ALL SELECT 'Coral', {_rq(GQ)} FROM ({quantiles_sql('reference_rates', [], 'conx', fv.GLOBAL_QUANTILE_PROBS, GQ)})"))
 def global_quantiles(spark, sf_dir):
     """AGG-4: the 7-probability quantile vector of each component."""
-    g = _growth(spark, sf_dir)
-    c = S.group_quantiles(RV.cca_surface_g_cm2_year(g), [], "rate_std", fv.GLOBAL_QUANTILE_PROBS, GQ)
-    k = S.group_quantiles(_reference_rates(spark, sf_dir), [], "conx", fv.GLOBAL_QUANTILE_PROBS, GQ)
+    c = S.group_quantiles(_data_cca(spark, sf_dir, "rate_std"), [], "rate_std", fv.GLOBAL_QUANTILE_PROBS, GQ)
+    k = S.group_quantiles(_reference_rates(spark, sf_dir, "conx"), [], "conx", fv.GLOBAL_QUANTILE_PROBS, GQ)
     return rounded(c.select(F.lit("CCA").alias("component"), *GQ)
                    .unionByName(k.select(F.lit("Coral").alias("component"), *GQ)))
 
@@ -227,8 +229,7 @@ def _curve_sql() -> list[tuple[str, str]]:
 
 
 def _mixture_rates(spark, sf_dir):
-    g = _growth(spark, sf_dir)
-    return FG.mixture_rates(RV.cca_surface_g_cm2_year(g), _reference_rates(spark, sf_dir))
+    return FG.mixture_rates(_data_cca(spark, sf_dir, "rate_std"), _reference_rates(spark, sf_dir, "conx"))
 
 
 _GRID = "(SELECT range * 0.01::DOUBLE AS cca_cover, 100.0::DOUBLE - range * 0.01::DOUBLE AS coral_cover FROM range(10001))"

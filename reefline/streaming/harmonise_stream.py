@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reefline import fixed_values as fv
+from reefline.functions.predicates import nonnegative
+from reefline.operators.routing import routed
 from reefline.plans import review as RV
 from reefline.session import ensure_checkpoint_dir
 from reefline.sources.tables import RATES_SCHEMA
@@ -37,12 +39,12 @@ def read_rates_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_
 def harmonise_rows(rates: DataFrame) -> DataFrame:
     """Row-local harmonisation of a (batch or streaming) rates DataFrame into the
     three standardised parts, tagged by ``standardization``."""
-    prepared = RV.prepare(rates)
-    biom = RV.harmonise_biomass(prepared).unionByName(RV.harmonise_volume(prepared))
-    biom = biom.where(F.col("rate_std") >= 0).withColumn("standardization", F.lit(fv.STANDARDIZATION_BIOMASS))
-    surf = RV.harmonise_surface(prepared, order=None).withColumn("standardization", F.lit(fv.STANDARDIZATION_SURFACE))
-    ext = RV.harmonise_extension(prepared).withColumn("standardization", F.lit(fv.STANDARDIZATION_EXTENSION))
-    return biom.select(*OUT_COLS).unionByName(surf.select(*OUT_COLS)).unionByName(ext.select(*OUT_COLS))
+    kept = routed(RV.prepare(rates), list(RV.BRANCHES.values()))
+    label = F.lit(None).cast("string")
+    for name, text in RV.LABELS.items():
+        label = F.when(F.col("branch") == name, F.lit(text)).otherwise(label)
+    kept = kept.where(F.col("branch") != RV.UNUSED).withColumn("standardization", label)
+    return kept.where((F.col("standardization") != fv.STANDARDIZATION_BIOMASS) | nonnegative("rate_std")).select(*OUT_COLS)
 
 
 def start_harmonise_stream(spark: SparkSession, source: str, sink: str, fmt: str = "parquet",

@@ -69,3 +69,10 @@ def test_count_distinct_with_null(spark):                   # N13
     df = _rows(spark, ["a", None, "a", "b"])
     assert distinct_count(df, "x").first()[0] == 3
     assert F is not None
+
+
+def test_members_with_quotes_and_backslashes(spark):
+    odd = ["O'Leary", 'a "b"', "back\\slash", "%_", "umol g -1\x02", "x'); --"]
+    df = spark.createDataFrame([(v,) for v in [*odd, "other", None]], "t string")
+    assert [r[0] for r in df.select(is_in("t", odd)).collect()] == [True] * len(odd) + [False, False]
+    assert [r[0] for r in df.select(is_in("t", [*odd, None])).collect()] == [True] * len(odd) + [False, True]

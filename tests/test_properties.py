@@ -55,13 +55,12 @@ def test_branch_tags_partition_the_table(spark):
 def test_growth_row_count_is_the_sum_of_its_parts(spark):
     from reefline.functions.predicates import nonnegative
     rates = B.study_rates(spark, SF_SMALL)
-    prepared = RV.prepare_materialized(rates)
-    parts = RV.branches(prepared, B.LINEITEM_ORDER)
-    rescued = RV.rescue_incomplete(prepared, parts, B.LINEITEM_ORDER)
+    routed = RV.route_rates(rates, B.LINEITEM_ORDER)
+    rescued = RV.rescue_incomplete(routed)
     extra = B.extra_rates(spark, SF_SMALL)
-    biom = (parts.biomass.select("rate_std").unionByName(parts.volume.select("rate_std"))
-            .unionByName(RV.route(rescued, "rate_biom").select("rate_std")))
-    expected = (biom.where(nonnegative("rate_std")).count() + parts.surface.count() + parts.extension.count()
-                + RV.route(rescued, "rate_surf").count() + RV.route(rescued, "rate_ext").count() + extra.count())
+    biom = routed.kept(RV.BIOMASS, RV.VOLUME).select("rate_std").unionByName(rescued.where("rate_biom is not null").select(F.col("rate_biom").alias("rate_std")))
+    others = rescued.where("rate_surf is not null").count() + rescued.where("rate_ext is not null").count()
+    expected = biom.where(nonnegative("rate_std")).count() + routed.kept(RV.SURFACE, RV.EXTENSION).count() + others + extra.count()
+    assert routed.rows.count() == RV.prepare(rates).count()             # every prepared row once
     g = RV.growth(rates, B.LINEITEM_ORDER, extra=extra)
     assert g.count() == expected > 0
