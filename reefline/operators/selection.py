@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reefline.operators.joins import join_null_safe
@@ -31,41 +31,38 @@ GRID = 256              # approximate quantiles read from a sketch
 MARGIN = 0.01           # added to a wanted rank on both sides
 INSIDE = 1 << 20        # rows of one bracket that are sorted together
 
-_INF = float("inf")
+def _grid(sketch: str, n: str) -> str:
+    ranks = ", ".join(f"{i / GRID!r}D" for i in range(GRID + 1))
+    return f"CASE WHEN {n} > 0 THEN kll_sketch_get_quantile_double({sketch}, array({ranks})) END"
 
 
-def _grid(sketch: Column, n: Column) -> Column:
-    ranks = F.expr(f"array({', '.join(f'{i / GRID!r}D' for i in range(GRID + 1))})")
-    return F.when(n > 0, F.kll_sketch_get_quantile_double(sketch, ranks))
-
-
-def _wanted(p: float, rows: str = "_rows") -> tuple[Column, Column]:
+def _wanted(p: float, rows: str = "_rows") -> tuple[str, str]:
     """Type-7 quantile: numbers (from 0) of the two order statistics it lies between."""
-    h = (F.col(rows) - 1) * F.lit(float(p))
-    return F.floor(h), F.ceil(h)
+    h = f"({rows} - 1) * {float(p)!r}D"
+    return f"floor({h})", f"ceil({h})"
 
 
-def _bracket(first: Column, last: Column, n: Column, grid: Column, margin: float, low: Column, high: Column) -> list[Column]:
+def _bracket(first: str, last: str, n: str, grid: str, margin: float, low: str, high: str) -> tuple[str, str]:
     """Bracket of the order statistics ``first`` to ``last`` of ``n`` values with that grid, within ``low`` and ``high``."""
-    n = F.greatest(n, F.lit(1))
-    below = F.floor((first / n - F.lit(margin)) * GRID)
-    above = F.ceil(((last + 1) / n + F.lit(margin)) * GRID)
-    at = F.least(below, F.lit(GRID)).cast("int")
-    return [F.when(below > 0, F.get(grid, at)).otherwise(low), F.when(above < GRID, F.get(grid, above.cast("int"))).otherwise(high)]
+    below = f"floor((({first}) / greatest({n}, 1) - {margin!r}D) * {GRID})"
+    above = f"ceil((({last} + 1) / greatest({n}, 1) + {margin!r}D) * {GRID})"
+    return (f"CASE WHEN {below} > 0 THEN get({grid}, int(least({below}, {GRID}))) ELSE {low} END",
+            f"CASE WHEN {above} < {GRID} THEN get({grid}, int({above})) ELSE {high} END")
 
 
 def _sketched(src: DataFrame, keys: list[str]) -> DataFrame:
     """One row per group: rows, rows that are numbers, and the grid of approximate quantiles."""
-    number = F.when(~F.isnan("_x"), F.col("_x"))
-    groups = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.count(number).alias("_n"), F.kll_sketch_agg_double(number, F.lit(SKETCH)).alias("_sketch"))
-    return groups.select(*keys, "_rows", "_n", _grid(F.col("_sketch"), F.col("_n")).alias("_grid"))
+    number = "CASE WHEN NOT isnan(_x) THEN _x END"
+    groups = src.groupBy(*keys).agg(F.expr("count(1) AS _rows"), F.expr(f"count({number}) AS _n"),
+                                    F.expr(f"kll_sketch_agg_double({number}, {SKETCH}) AS _sketch"))
+    return groups.select(*keys, "_rows", "_n", F.expr(_grid("_sketch", "_n")).alias("_grid"))
 
 
 def _brackets(sketched: DataFrame, keys: list[str], probs: Sequence[float], margin: float) -> DataFrame:
     out = []
     for j, p in enumerate(probs):
-        low, high = _bracket(*_wanted(p), F.col("_n"), F.col("_grid"), margin, F.lit(-_INF), F.lit(_INF))
-        out += [low.alias(f"_lo{j}"), high.alias(f"_hi{j}")]
+        low, high = _bracket(*_wanted(p), "_n", "_grid", margin, "double('-Infinity')", "double('Infinity')")
+        out += [F.expr(f"{low} AS _lo{j}"), F.expr(f"{high} AS _hi{j}")]
     return sketched.select(*keys, "_rows", "_n", *out)
 
 
@@ -75,56 +72,49 @@ def _placed(src: DataFrame, brackets: DataFrame, keys: list[str], probs: Sequenc
         joined = join_null_safe(src, brackets, keys)
     else:
         only = brackets.select(F.struct(*brackets.columns).alias("s")).scalar()
-        joined = src.withColumn("_s", only).select("_x", *[F.col(f"_s.{c}").alias(c) for c in brackets.columns])
-    x = F.col("_x")
-    hits = F.array(*[F.when(x <= F.col(f"_hi{j}"), F.struct(F.lit(j).alias("_j"), F.when(x >= F.col(f"_lo{j}"), x).alias("_v"))) for j in range(len(probs))])
-    return joined.select(*keys, "_rows", "_n", F.explode(hits).alias("_h")).where(F.col("_h").isNotNull()).select(*keys, "_rows", "_n", "_h._j", "_h._v")
+        joined = src.withColumn("_s", only).select("_x", "_s.*")
+    hits = ", ".join(f"CASE WHEN _x <= _hi{j} THEN named_struct('_j', {j}, '_v', CASE WHEN _x >= _lo{j} THEN _x END) END" for j in range(len(probs)))
+    return joined.select(*keys, "_rows", "_n", F.expr(f"explode(array({hits})) AS _h")).where("_h IS NOT NULL").select(*keys, "_rows", "_n", "_h.*")
 
 
 def _narrowed(src: DataFrame, brackets: DataFrame, keys: list[str], probs: Sequence[float], margin: float) -> DataFrame:
     """The same brackets after a sketch of what lies inside each, with the rows that lie inside the widest (``_most``)."""
     per = _placed(src, brackets, keys, probs).groupBy(*keys, "_j").agg(
-        F.count(F.when(F.col("_v").isNull(), 1)).alias("_below"), F.count("_v").alias("_in"), F.kll_sketch_agg_double("_v", F.lit(SKETCH)).alias("_sketch"))
-    grids = per.select(*keys, "_j", F.struct("_below", "_in", _grid(F.col("_sketch"), F.col("_in")).alias("grid")).alias("_s"))
-    wide = grids.groupBy(*keys).agg(*[F.max_by("_s", F.when(F.col("_j") == j, F.lit(1))).alias(f"_s{j}") for j in range(len(probs))])
+        F.expr("count(CASE WHEN _v IS NULL THEN 1 END) AS _below"), F.expr("count(_v) AS _in"), F.expr(f"kll_sketch_agg_double(_v, {SKETCH}) AS _sketch"))
+    grids = per.select(*keys, "_j", F.expr(f"named_struct('below', _below, 'n', _in, 'grid', {_grid('_sketch', '_in')}) AS _s"))
+    wide = grids.groupBy(*keys).agg(*[F.expr(f"max_by(_s, CASE WHEN _j = {j} THEN 1 END) AS _s{j}") for j in range(len(probs))])
     joined = join_null_safe(brackets, wide, keys) if keys else brackets.withColumns({f"_s{j}": wide.select(f"_s{j}").scalar() for j in range(len(probs))})
-    out, width = [], []
+    out, width = [], ["0"]
     for j, p in enumerate(probs):
-        first, last = (c - F.col(f"_s{j}._below") for c in _wanted(p))
-        inside = F.col(f"_s{j}._in")
-        low, high = _bracket(first, last, inside, F.col(f"_s{j}.grid"), margin, F.col(f"_lo{j}"), F.col(f"_hi{j}"))
-        hit = (first >= 0) & (last < inside)            # otherwise it has missed, and stays as it is
-        out += [F.when(hit, low).otherwise(F.col(f"_lo{j}")).alias(f"_lo{j}"), F.when(hit, high).otherwise(F.col(f"_hi{j}")).alias(f"_hi{j}")]
-        width.append(F.coalesce(inside, F.lit(0)))
-    return joined.select(*keys, "_rows", "_n", *out, F.greatest(*width, F.lit(0)).alias("_most"))
+        first, last = (f"({c} - _s{j}.below)" for c in _wanted(p))
+        low, high = _bracket(first, last, f"_s{j}.n", f"_s{j}.grid", margin, f"_lo{j}", f"_hi{j}")
+        hit = f"{first} >= 0 AND {last} < _s{j}.n"              # otherwise it has missed, and stays as it is
+        out += [F.expr(f"CASE WHEN {hit} THEN {low} ELSE _lo{j} END AS _lo{j}"), F.expr(f"CASE WHEN {hit} THEN {high} ELSE _hi{j} END AS _hi{j}")]
+        width.append(f"coalesce(_s{j}.n, 0)")
+    return joined.select(*keys, "_rows", "_n", *out, F.expr(f"greatest({', '.join(width)}, 0) AS _most"))
 
 
 def _picked(src: DataFrame, brackets: DataFrame, keys: list[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """The quantiles of each group, and whether a bracket has missed one of its order statistics."""
-    counted = _placed(src, brackets, keys, probs).groupBy(*keys, "_rows", "_n", "_j", "_v").agg(F.count(F.lit(1)).alias("_cnt"))
+    counted = _placed(src, brackets, keys, probs).groupBy(*keys, "_rows", "_n", "_j", "_v").agg(F.expr("count(1) AS _cnt"))
     before = Window.partitionBy(*keys, "_j").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     at = counted.withColumn("_lt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
-    aggs = []
-    for j, p in enumerate(probs):
-        for name, i in zip(("lo", "hi"), _wanted(p)):
-            here = (F.col("_j") == j) & (F.col("_lt") <= i) & (i < F.col("_lt") + F.col("_cnt"))
-            aggs.append(F.max(F.when(here, F.col("_v"))).alias(f"_{name}{j}"))
-    found = at.groupBy(*keys).agg(F.max("_rows").alias("_rows"), F.max("_n").alias("_n"), *aggs)
+    found = at.groupBy(*keys).agg(*[F.expr(f"max(CASE WHEN _j = {j} AND _lt <= {i} AND {i} < _lt + _cnt THEN _v END) AS _{end}{j}")
+                                    for j, p in enumerate(probs) for end, i in zip(("lo", "hi"), _wanted(p))])
     # groups without a number have no row in any bracket
     nothing = brackets.select(*keys, F.col("_rows").alias("_all"), F.col("_n").alias("_numbers"))
     if keys:
         whole = join_null_safe(nothing, found, keys, "left")
     else:
         whole = found.withColumns({c: nothing.select(c).scalar() for c in ("_all", "_numbers")})
-    cols, missed = [], F.lit(False)
+    cols, missed = [], ["false"]
     for j, (p, name) in enumerate(zip(probs, names)):
         first, last = _wanted(p, "_all")
-        lo = F.when(first >= F.col("_numbers"), F.lit(float("nan"))).otherwise(F.col(f"_lo{j}"))       # NaN comes after all numbers
-        hi = F.when(last >= F.col("_numbers"), F.lit(float("nan"))).otherwise(F.col(f"_hi{j}"))
-        part = (F.col("_all") - 1) * F.lit(float(p)) - first
-        cols.append(F.when((part == 0) | (lo == hi), lo).otherwise((1 - part) * lo + part * hi).alias(name))
-        missed = missed | lo.isNull() | hi.isNull()
-    return whole.select(*keys, *cols, (missed & (F.col("_all") > 0)).alias("_missed"))
+        lo, hi = (f"CASE WHEN {i} >= _numbers THEN double('NaN') ELSE _{end}{j} END" for end, i in (("lo", first), ("hi", last)))       # NaN comes last
+        part = f"((_all - 1) * {float(p)!r}D - {first})"
+        cols.append(F.expr(f"CASE WHEN {part} = 0 OR ({lo}) = ({hi}) THEN {lo} ELSE (1 - {part}) * ({lo}) + {part} * ({hi}) END").alias(name))
+        missed += [f"({lo}) IS NULL", f"({hi}) IS NULL"]
+    return whole.select(*keys, *cols, F.expr(f"({' OR '.join(missed)}) AND _all > 0 AS _missed"))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str],
