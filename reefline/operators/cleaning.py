@@ -94,13 +94,16 @@ def patch_scale(df: DataFrame, keys: Sequence[str], column: str, divisor: float,
 
 
 def patch_positional(df: DataFrame, target_key: str, values: Mapping[str, Sequence], order: Sequence[str],
-                     key: str = "paper_name") -> DataFrame:
+                     key: str = "paper_name", expected: int | None = None) -> DataFrame:
     """CLN-13: the n-th row (by ``order``) of ``target_key`` gets the n-th value.
 
     Values are recycled when the key has more rows than values (the n-th row
     gets value ``(n-1) mod k``), which is what an element-wise assignment of a
     shorter vector does.  Only rows of the target key are numbered, by ranges of
     ``order``; every other row passes through untouched and unshuffled.
+
+    ``expected``: the number of rows that the correction was written for.  With another number
+    the plan fails when it runs, rather than spread the values over other rows.
     """
     is_target = F.coalesce(F.col(key) == F.lit(target_key), F.lit(False))
     target = df.where(is_target)
@@ -111,7 +114,12 @@ def patch_positional(df: DataFrame, target_key: str, values: Mapping[str, Sequen
         dtype = df.schema[column].dataType
         arr = F.array(*[F.lit(v).cast(dtype) for v in vals])
         target = target.withColumn(column, F.element_at(arr, (F.col("__pos") % len(vals) + 1).cast("int")))
-    return rest.unionByName(target.drop("__pos"))
+    out = rest.unionByName(target.drop("__pos"))
+    if expected is None:
+        return out
+    found = target.agg(F.count(F.lit(1)).alias("n")).scalar()
+    message = F.concat(F.lit(f"{target_key}: {int(expected)} rows expected, found "), found.cast("string"))
+    return out.where(F.when(found == F.lit(int(expected)), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
 def exclude_keys(df: DataFrame, keys: Sequence[str], key: str = "paper_name") -> DataFrame:

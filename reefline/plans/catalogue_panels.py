@@ -59,6 +59,33 @@ def method_effect(spark, sf_dir):
     return rounded(MD.method_effect(MD.model_frames(_growth(spark, sf_dir))))
 
 
+EM_ROUNDS = 50
+_NULL_SAFE = " AND ".join(f"f.{c} IS NOT DISTINCT FROM w.{c}" for c in ("dataset", "climate", "genus"))
+_EM_SQL = f"""SELECT d.dataset, d.method_family, d.n::BIGINT AS n, {rs("tau2", "tau2", 9)}, {rs("sigma2", "sigma2", 9)},
+{r("CASE WHEN d.n * tau2 + sigma2 > 0 THEN s * tau2 / (d.n * tau2 + sigma2) ELSE 0 END", "effect")} FROM (
+WITH RECURSIVE of_cell AS (
+  SELECT dataset, climate, genus, method_family, count(*) AS n, avg(rate_std) AS m, coalesce(stddev_samp(rate_std), 0) AS sd
+  FROM frames WHERE rate_std IS NOT NULL GROUP BY ALL),
+whole AS (SELECT dataset, climate, genus, sum(n * m) / sum(n) AS cm FROM of_cell GROUP BY ALL),
+dev AS (SELECT f.dataset, f.method_family, sum(n)::DOUBLE AS n, sum(n * (m - cm)) AS s, sum((n - 1) * sd * sd + n * (m - cm) * (m - cm)) AS q
+        FROM of_cell f JOIN whole w ON {_NULL_SAFE} GROUP BY ALL),
+em AS (
+  SELECT dataset, 0 AS round, sum(q) / sum(n) AS tau2, sum(q) / sum(n) AS sigma2 FROM dev GROUP BY dataset
+  UNION ALL
+  SELECT dataset, round + 1, avg(b * b + v), sum(q - 2 * b * s + n * (b * b + v)) / sum(n) FROM (
+    SELECT e.dataset, round, n, s, q, s * tau2 / (n * tau2 + sigma2) AS b, sigma2 * tau2 / (n * tau2 + sigma2) AS v
+    FROM em e JOIN dev d ON e.dataset = d.dataset WHERE round < {EM_ROUNDS}) GROUP BY dataset, round)
+SELECT dev.*, tau2, sigma2 FROM dev JOIN em ON em.dataset = dev.dataset AND round = {EM_ROUNDS}) d"""
+
+
+@query("method_effect_estimated", _with_frames(_EM_SQL))
+def method_effect_estimated(spark, sf_dir):
+    """AGG-17: method effects whose shrinkage, the ratio of two variances, is estimated by EM from the cell statistics."""
+    frames = MD.model_frames(_growth(spark, sf_dir))
+    out = MD.method_effect_estimated(frames, rounds=EM_ROUNDS)
+    return out.select("dataset", "method_family", "n", *[round_sig(F.col(c), 9).alias(c) for c in ("tau2", "sigma2")], round_fixed(F.col("effect")).alias("effect"))
+
+
 def _panels_sql() -> str:
     std = "standardization"
     studies = f"NOT {in_set('paper_name', fv.PANEL_EXCLUDED_STUDIES)}"

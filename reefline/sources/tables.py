@@ -7,10 +7,15 @@ get an explicit schema (no inference pass over the data).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reefline.session import cut_lineage
+
 RATES_SCHEMA = T.StructType([
     T.StructField("row_ordinal", T.LongType(), False),
     T.StructField("paper_name", T.StringType()),
@@ -67,6 +72,41 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
     return df
 
 
+CORRUPT = "_corrupt_record"
+
+
+@dataclass(frozen=True)
+class Checked:
+    """Rows that fit a schema, the text of those that don't, and their numbers."""
+    rows: DataFrame
+    rejected: DataFrame
+    n_rows: int
+    n_rejected: int
+
+
+def read_checked(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", most_rejected: float | None = None, **options) -> Checked:
+    """SRC-1 / SRC-2 / SRC-4: a permissive scan of a text format that keeps what it can't read.
+
+    A row with too few or too many fields, or a value that its column's type can't hold, is rejected as a
+    whole (``rejected`` has its text); so is a missing value in a column that the schema says has none.
+    The scan is written once, so that both sides and the counts come from one reading.  ``most_rejected``
+    is the share of rows above which the scan is an error."""
+    if fmt == "csv":
+        options = {"header": "true", "enforceSchema": "true", **options}
+    loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields] + [T.StructField(CORRUPT, T.StringType())])
+    raw = spark.read.format(fmt).schema(loose).options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **options).load(path)
+    required = [f.name for f in schema.fields if not f.nullable]
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in required], F.lit(False))
+    shown = F.to_csv(F.struct(*[F.col(f.name) for f in schema.fields])) if fmt == "csv" else F.to_json(F.struct(*schema.names))
+    text = F.coalesce(F.col(CORRUPT), F.when(missing, shown))
+    written = cut_lineage(raw.withColumn(CORRUPT, text))
+    total, bad = written.agg(F.count(F.lit(1)), F.count(CORRUPT)).first()
+    if most_rejected is not None and bad > most_rejected * total:
+        raise ValueError(f"{bad} of {total} rows of {path} do not fit the schema")
+    return Checked(written.where(F.col(CORRUPT).isNull()).drop(CORRUPT), written.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record")),
+                   total - bad, bad)
+
+
 def driver_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df

@@ -61,3 +61,16 @@ def test_taxon(spark):
     df = spark.createDataFrame([("Hydrolithon onkodes",), ("Amphiroa",)], "species string")
     out = [(r.genus, r.species) for r in C.add_taxon(df).collect()]
     assert out == [("Hydrolithon", "Hydrolithon_onkodes"), ("Amphiroa", "Amphiroa_NA")]
+
+
+def test_patch_positional_expects_a_number_of_rows(spark):
+    import pytest
+
+    df = spark.createDataFrame([(k, i, 0.0) for i, k in enumerate("PPQQRRR")], "paper_name string, o int, rate double")
+    for key, n in (("P", 2), ("Q", 2), ("R", 3)):
+        out = C.patch_positional(df, key, {"rate": [1.0, 2.0, 3.0][:n]}, ["o"], expected=n)
+        assert out.count() == 7 and sorted(r.rate for r in out.where(f"paper_name = '{key}'").collect()) == [1.0, 2.0, 3.0][:n]
+    with pytest.raises(Exception, match="P: 3 rows expected, found 2"):
+        C.patch_positional(df, "P", {"rate": [1.0, 2.0, 3.0]}, ["o"], expected=3).collect()
+    with pytest.raises(Exception, match="Z: 1 rows expected, found 0"):
+        C.patch_positional(df, "Z", {"rate": [1.0]}, ["o"], expected=1).collect()

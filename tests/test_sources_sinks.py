@@ -3,12 +3,15 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from reefline.session import ensure_checkpoint_dir
 from reefline.sinks import part_numbers, write_figure_data, write_parts
 from reefline.sources import bindings as B
 from reefline.sources.literals import grid
 from reefline.sources.multipart import positional_append, union_parts
+from reefline.sources.tables import RATES_SCHEMA, SURVEY_SCHEMA
 from tests.conftest import SF_SMALL
 
 
@@ -126,3 +129,40 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
             f"s = get_session('local[2]', 4); assert E.queries()['draw_ess'](s, {SF_SMALL!r}).count() == 5")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=300, capture_output=True)
+
+
+def test_parts_are_rebalanced_by_size(spark):
+    root = ensure_checkpoint_dir(spark).rstrip("/") + "/rebalanced"
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.shuffle.partitions": "200"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:      # a hot part in 20 tasks, and twenty parts of ten rows that are in every task
+        df = spark.range(0, 200_000, 1, 20).selectExpr("if(id % 1000 = 7, concat('k', id div 1000 % 20), 'hot') as k", "id", "hash(id) as v")
+        path = write_parts(df, "k", root)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    back = spark.read.parquet(path)
+    files = [r[0] for r in back.select(F.input_file_name()).distinct().collect()]
+    hot = [f for f in files if "/k=hot/" in f]
+    small = len(files) - len(hot)
+    assert back.count() == 200_000 and 2 <= len(hot) <= 20 and small <= 20 + 2 * len(hot)
+
+
+def test_rows_that_do_not_fit_the_schema_are_kept_apart(spark, tmp_path):
+    from reefline.sources.tables import read_checked
+
+    lines = ["year,site,habitat,transect,quadrat,functional_group,percent_cover", "2005,a,b,c,d,Coral,1.5", "2005,a,b", "2005,a,b,c,d,Coral,1.5,more",
+             "x,a,b,c,d,Coral,1.5", "2006,a,b,c,d,Coral,many", "2007,,,,,,"]
+    (tmp_path / "survey.csv").write_text("\n".join(lines) + "\n")
+    got = read_checked(spark, str(tmp_path / "survey.csv"), SURVEY_SCHEMA)
+    assert (got.n_rows, got.n_rejected) == (2, 4)
+    assert sorted(r.year for r in got.rows.collect()) == [2005, 2007] and got.rows.columns == SURVEY_SCHEMA.names
+    assert sorted(r.record for r in got.rejected.collect()) == sorted(lines[i] for i in (2, 3, 4, 5))
+    with pytest.raises(ValueError, match="4 of 6 rows"):
+        read_checked(spark, str(tmp_path / "survey.csv"), SURVEY_SCHEMA, most_rejected=0.5)
+    none = "row_ordinal,paper_name,method,unit,rate,error,species,climate,temperature\n,P,TA,u,1,2,s,c,3\n4,P,TA,u,1,2,s,c,3\n"
+    (tmp_path / "rates.csv").write_text(none)
+    rates = read_checked(spark, str(tmp_path / "rates.csv"), RATES_SCHEMA)
+    assert [r.row_ordinal for r in rates.rows.collect()] == [4] and rates.n_rejected == 1
