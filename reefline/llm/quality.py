@@ -108,7 +108,7 @@ def statistics(column: pa.Array) -> np.ndarray:
         line_of = owner[line_start]
         lines = np.bincount(line_of, minlength=n)
         per_line = np.maximum(lines, 1)
-        line_hash = tb.xxh64(part, line_start, np.minimum(line_end - line_start, tb.LONG_SLICE - 1))
+        line_hash = tb.xxh64(part, line_start, line_end - line_start)
         ended = MARKS[part[line_end - 1]] if len(line_end) else np.zeros(0, bool)
         out[a:b] = np.column_stack([
             np.log1p(size), np.log1p(words), np.log1p(lines), average, spread, mean(length > 12),

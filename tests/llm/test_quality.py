@@ -43,6 +43,12 @@ def test_statistics_do_not_depend_on_the_batch(monkeypatch):
     assert np.isclose(one[at["log_lines"]], np.log1p(3)) and np.isclose(one[at["distinct_words"]], 5 / 10)
 
 
+def test_long_lines_are_told_apart_by_their_ends():
+    start = "word " * 500
+    one = quality.statistics(pa.array([f"{start}a\n{start}b\n{start}c\n{start}a"]))[0]
+    assert np.isclose(one[quality.STATISTICS.index("distinct_lines")], 3 / 4)
+
+
 def test_isotonic_pools_violators():
     knots, levels = quality.isotonic(np.array([0.0, 1, 2, 3, 4]), np.ones(5), np.array([0.0, 1, 0, 1, 1]))
     assert (np.diff(levels) > 0).all() and levels.tolist() == [0.0, 0.5, 1.0] and knots.tolist() == [0.0, 1.5, 3.5]
