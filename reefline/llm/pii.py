@@ -1,22 +1,25 @@
 """Personal data by patterns and by what terms reveal about it, in DataFrame expressions only.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers.  Then
-corpus co-occurrence estimates how strongly nearby terms reveal each found
-value (the protected entity): with document counts, the pointwise mutual
-information of term and entity over the information content of the entity is
-the share of the entity that the term discloses.  A term that co-occurs in
-enough documents and discloses more than the threshold is marked wherever it
-stands beside that entity.  ``redacted`` replaces marked spans by their kind
-(values) or removes them (terms).
+corpus co-occurrence, with the document as its unit, estimates how strongly a
+term reveals each found value (the protected entity).  The chance of the entity
+given the term, smoothed towards the entity's share of all documents, over that
+share is their mutual information; over the information content of the entity it
+is the share of the entity that the term discloses.  A term that discloses more
+than the threshold is marked wherever it stands in the documents of that entity.
+``redacted`` replaces marked spans by their kind (values) or removes them (terms).
 
 Patterns are written so that a run of characters is tried once (possessive
 repetition; a match starts at the start of a run or where the match before it
-ended), which keeps long junk linear and needs no deep recursion.
+ended), which keeps long junk linear and needs no deep recursion.  Matches become
+rows, and their places running sums of lengths, so a text with many matches costs
+as much as many texts with one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .tables import ROW, keep, numbered, whole_text
@@ -31,32 +34,25 @@ PATTERNS = {
 }
 BYTE = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 TERM = r"\p{L}{3,}"
-BESIDE = 80             # code points on either side of an entity in which terms are sought
-TERMS = 5               # terms on either side
-LEAST_DOCUMENTS = 3     # documents in which term and entity must stand together
 DISCLOSED = 0.9         # share of the entity's information that marks a term
+PRIOR = 0.5             # documents of prior weight: a term seen once is no certain sign
 
-SPAN = "struct<start:int,end:int,value:string,left:string,right:string>"
+MATCH = "struct<kind:string,i:int,before:int,value:string>"
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """Non-overlapping matches from the left, as an array of ``SPAN``: place in code points (end exclusive), the
-    match, and up to ``BESIDE`` code points before and after it, as far as the matches beside it."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    none = F.lit(None).cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(none, F.array().cast(f"array<{SPAN}>")).alias("spans"))
+def matches(text: Column, pattern: str, kind: str) -> Column:
+    """Non-overlapping matches from the left, as an array of ``MATCH``: number, code points since the match before, and the match."""
+    pieces = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("before"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("value"))
+    return F.transform(F.filter(pieces, lambda z: z["value"].isNotNull()), lambda z, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("i"), z["before"].alias("before"), z["value"].alias("value")))
 
-    def step(state: Column, i: Column) -> Column:
-        before, match = F.get(between, i), F.get(found, i)
-        begin = state["at"] + F.length(before)
-        end = begin + F.length(match)
-        after = F.get(between, i + 1)
-        span = F.struct(begin.alias("start"), end.alias("end"), match.alias("value"),
-                        F.right(before, F.lit(BESIDE)).alias("left"), F.left(after, F.lit(BESIDE)).alias("right"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    places = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step, lambda state: state["spans"])
+def placed(rows: DataFrame, column: str = "m") -> DataFrame:
+    """``(*ROW, kind, value, start, end)`` of rows that hold one ``MATCH`` each: running sums over the matches of a text and kind."""
+    so_far = W.partitionBy(*ROW, "kind").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    each = rows.select(*ROW, f"{column}.*")
+    return each.withColumn("end", F.sum(F.col("before") + F.length("value")).over(so_far).cast("int")) \
+        .select(*ROW, "kind", "value", (F.col("end") - F.length("value")).alias("start"), "end")
 
 
 def _digits(value: Column) -> Column:
@@ -88,38 +84,41 @@ LIKELY = {
 }
 
 
-def pattern_spans(text: Column, kind: str) -> Column:
-    """Valid matches of one kind; a match that is not valid is dropped and not retried."""
-    spans = F.filter(match_spans(text, PATTERNS[kind]), lambda s: VALID[kind](s["value"]))
-    return F.when(LIKELY[kind](text), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
-
-
-def _beside(side: str) -> Column:
-    """Terms beside an entity with their places: the last ones before it, or the first ones after it."""
-    context = F.col(side)
-    cut = F.length(context) == BESIDE
-    if side == "left":
-        whole = F.filter(match_spans(context, TERM), lambda s: ~(cut & (s["start"] == 0)))
-        near, origin = F.slice(whole, -F.least(F.lit(TERMS), F.size(whole)), F.lit(TERMS)), F.col("start") - F.length(context)
-        near = F.when(F.size(whole) > 0, near).otherwise(whole)
-    else:
-        whole = F.filter(match_spans(context, TERM), lambda s: ~(cut & (s["end"] == F.length(context))))
-        near, origin = F.slice(whole, 1, TERMS), F.col("end")
-    return F.transform(near, lambda s: F.struct(F.lower(s["value"]).alias("term"), (origin + s["start"]).alias("start"), (origin + s["end"]).alias("end")))
-
-
-def disclosing_terms(beside: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """``(kind, value, term)``: the terms that reveal an entity, from ``beside(row.., kind, value, term)`` and all texts."""
-    of_term = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole_text(text)), F.lit(TERM), 0))).alias("term")) \
-        .groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    together = beside.select(*ROW, "kind", "value", "term").distinct().groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("together")) \
-        .where(F.col("together") >= LEAST_DOCUMENTS)
-    of_entity = beside.select(*ROW, "kind", "value").distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("with_entity"))
-    all_docs = docs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    information = F.log2(all_docs / F.col("with_entity"))
-    shared = F.log2(F.col("together") * all_docs / (F.col("with_entity") * F.col("with_term")))
-    return together.join(of_entity, ["kind", "value"]).join(of_term, "term") \
-        .where((information > 0) & (shared >= DISCLOSED * information)).select("kind", "value", "term")
+def pattern_matches(text: Column, kind: str) -> Column:
+    """All matches of one kind, or none if none of them is valid."""
+    found = matches(text, PATTERNS[kind], kind)
+    return F.when(LIKELY[kind](text), F.when(F.exists(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), 0), lambda v: VALID[kind](v)), found)) \
+        .otherwise(F.array().cast(f"array<{MATCH}>"))
+
+
+def disclosing_terms(entities: DataFrame, terms: DataFrame, docs: DataFrame, text: str, disclosed: float = DISCLOSED) -> DataFrame:
+    """``(*ROW, term)``: the terms that reveal an entity of that document, from ``entities(*ROW, kind, value)``,
+    ``terms(*ROW, term)`` of the documents with entities, and all texts.
+
+    Entities of the same documents have the same terms, so they are judged as one class.  A term that stands in too
+    many documents for any entity of a document to be disclosed is left out before terms meet entities."""
+    n = docs.count()
+    if n == 0:
+        return terms.limit(0)
+    of_term = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole_text(text)), F.lit(TERM), 0))).alias("_term")) \
+        .groupBy("_term").agg(F.count(F.lit(1)).alias("with_term"))
+    held = entities.distinct()
+    mark = F.xxhash64(*ROW).cast("decimal(38,0)")
+    per = held.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("with_entity"), F.sum(mark).alias("where"))
+    classes = held.join(per.withColumnsRenamed({"kind": "_kind", "value": "_value"}), (F.col("kind") == F.col("_kind")) & (F.col("value") == F.col("_value"))) \
+        .select(*ROW, "with_entity", "where").distinct()
+    share = F.col("with_entity") / F.lit(float(n))
+    # together <= with_entity bounds how frequent a term may be
+    bound = F.col("with_entity") / F.pow(share, F.lit(1 - disclosed))
+    classes = keep(classes.where(share < 1).withColumn("bound", bound))
+    largest = classes.agg(F.coalesce(F.max("bound"), F.lit(0.0)).alias("b")).scalar()
+    rare = terms.distinct().join(of_term.where(F.col("with_term") <= largest), F.col("term") == F.col("_term")).select(*ROW, "term", "with_term")
+    pairs = keep(rare.join(classes, list(ROW)).where(F.col("with_term") <= F.col("bound")).select(*ROW, "term", "with_term", "with_entity", "where"))
+    of_pair = ["term", "where", "with_entity", "with_term"]
+    given = (F.col("together") + F.lit(PRIOR) * share) / (F.col("with_term") + F.lit(PRIOR))
+    revealing = pairs.groupBy(*of_pair).agg(F.count(F.lit(1)).alias("together")) \
+        .where(F.log2(given / share) >= F.lit(disclosed) * F.log2(1 / share))
+    return pairs.join(revealing, of_pair, "left_semi").select(*ROW, "term").distinct()
 
 
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -131,27 +130,34 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     or an entity however often it has it; repeated rows count each.  An entity in
     all documents discloses nothing.  Extra columns are not read; an empty table gives an empty one."""
     rows = numbered(docs)
-    texts = rows.select(*ROW, F.col(doc_id).alias("doc_id"), whole_text(text).alias("_text"))
-    kinds = KINDS[:-1]
-    any_kind = F.col("_text").rlike("[0-9@]")
-    none = F.array().cast(f"array<{SPAN}>")
-    per_kind = texts.select(*ROW, "doc_id", *[F.when(any_kind, pattern_spans(F.col("_text"), k)).otherwise(none).alias(k) for k in kinds])
-
-    def ranked(kind: str) -> Column:
-        return F.transform(F.col(kind), lambda s: F.struct(
-            s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"),
-            s["value"].alias("value"), s["left"].alias("left"), s["right"].alias("right")))
-
-    base = keep(per_kind.select(*ROW, "doc_id", F.array_sort(F.concat(*[ranked(k) for k in kinds])).alias("base")))
-    beside = keep(base.where(F.size("base") > 0).select(*ROW, F.explode("base").alias("s")).select(*ROW, "s.*")
-                  .select(*ROW, "kind", "value", F.explode(F.concat(_beside("left"), _beside("right"))).alias("t"))
-                  .select(*ROW, "kind", "value", "t.*"))
-    marked = beside.join(disclosing_terms(beside, rows, text), ["kind", "value", "term"]) \
-        .groupBy(*ROW).agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "end", F.lit("term").alias("kind"))).alias("terms"))
-    places = F.transform("base", lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"]))
-    free = F.filter("terms", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return base.join(marked, list(ROW), "left").select(
-        "doc_id", F.when(F.col("terms").isNull(), places).otherwise(F.array_sort(F.concat(places, free))).alias("spans"))
+    texts = rows.select(*ROW, whole_text(text).alias("_text"))
+    found = texts.where(F.col("_text").rlike("[0-9@]")).select(*ROW, F.explode(F.concat(*[
+        F.coalesce(pattern_matches(F.col("_text"), k), F.array().cast(f"array<{MATCH}>")) for k in KINDS[:-1]])).alias("m"))
+    valid = F.lit(False)
+    for k in KINDS[:-1]:
+        valid = F.when(F.col("kind") == k, VALID[k](F.col("value"))).otherwise(valid)
+    base = keep(placed(found).where(valid))
+    with_entity = base.select(*ROW).distinct()
+    terms = keep(placed(texts.join(with_entity, list(ROW), "left_semi").select(*ROW, F.explode(matches(F.col("_text"), TERM, "term")).alias("m")))
+                 .withColumn("term", F.lower("value")))
+    marked = terms.join(disclosing_terms(base.select(*ROW, "kind", "value"), terms.select(*ROW, "term"), rows, text), [*ROW, "term"])
+
+    def spans(df: DataFrame) -> DataFrame:
+        rank = F.lit(None).cast("int")
+        for i, k in enumerate(KINDS):
+            rank = F.when(F.col("kind") == k, F.lit(i)).otherwise(rank)
+        return df.select(*ROW, F.struct("start", rank.alias("rank"), "end", "kind").alias("s"))
+
+    # a term that overlaps a value is left out: the values before it end at or before its start, those after it start at or after its end
+    of_row = W.partitionBy(*ROW)
+    all_spans = spans(base).unionByName(spans(marked)).withColumn("value", F.col("s.kind") != "term")
+    last_end = F.max(F.when(F.col("value"), F.col("s.end"))).over(of_row.orderBy("s").rowsBetween(W.unboundedPreceding, W.currentRow))
+    next_start = F.min(F.when(F.col("value"), F.col("s.start"))).over(of_row.orderBy("s").rowsBetween(W.currentRow, W.unboundedFollowing))
+    free = F.coalesce(last_end <= F.col("s.start"), F.lit(True)) & F.coalesce(next_start >= F.col("s.end"), F.lit(True))
+    listed = all_spans.withColumns({"_free": F.col("value") | free}).where("_free").groupBy(*ROW).agg(F.array_sort(F.collect_list("s")).alias("spans"))
+    kind = "array<struct<start:int,rank:int,end:int,kind:string>>"
+    return rows.select(*ROW, F.col(doc_id).alias("doc_id")).join(listed, list(ROW), "left") \
+        .select("doc_id", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -161,11 +167,10 @@ def joined(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets (terms: removed); a span that begins inside the one before is skipped."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
     def step(state: Column, s: Column) -> Column:
-        clear = text.substr(state["at"] + 1, s["start"] - state["at"])
         mark = F.when(s["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.when(s["start"] >= state["at"], F.struct(s["end"].alias("at"), F.concat(state["out"], clear, mark).alias("out"))).otherwise(state)
+        return F.when(s["start"] >= state["at"], F.struct(s["end"].alias("at"), F.concat(state["out"], text.substr(state["at"] + 1, s["start"] - state["at"]), mark).alias("out"))) \
+            .otherwise(state)
 
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     return F.aggregate(spans, start, step, lambda state: F.concat(state["out"], text.substr(state["at"] + 1, F.length(text))))
