@@ -131,15 +131,15 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     all documents discloses nothing.  Extra columns are not read; an empty table gives an empty one."""
     rows = numbered(docs)
     texts = rows.select(*ROW, whole_text(text).alias("_text"))
-    found = texts.where(F.col("_text").rlike("[0-9@]")).select(*ROW, F.explode(F.concat(*[
-        F.coalesce(pattern_matches(F.col("_text"), k), F.array().cast(f"array<{MATCH}>")) for k in KINDS[:-1]])).alias("m"))
+    none = F.array().cast(f"array<{MATCH}>")
+    # texts without a valid match go no further than this pass
+    held = keep(texts.where(F.col("_text").rlike("[0-9@]")).select("*", F.concat(*[F.coalesce(pattern_matches(F.col("_text"), k), none) for k in KINDS[:-1]])
+                                                                    .alias("found")).where(F.size("found") > 0))
     valid = F.lit(False)
     for k in KINDS[:-1]:
         valid = F.when(F.col("kind") == k, VALID[k](F.col("value"))).otherwise(valid)
-    base = keep(placed(found).where(valid))
-    with_entity = base.select(*ROW).distinct()
-    terms = keep(placed(texts.join(with_entity, list(ROW), "left_semi").select(*ROW, F.explode(matches(F.col("_text"), TERM, "term")).alias("m")))
-                 .withColumn("term", F.lower("value")))
+    base = keep(placed(held.select(*ROW, F.explode("found").alias("m"))).where(valid))
+    terms = keep(placed(held.select(*ROW, F.explode(matches(F.col("_text"), TERM, "term")).alias("m"))).withColumn("term", F.lower("value")).drop("value"))
     marked = terms.join(disclosing_terms(base.select(*ROW, "kind", "value"), terms.select(*ROW, "term"), rows, text), [*ROW, "term"])
 
     def spans(df: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     of_row = W.partitionBy(*ROW)
     all_spans = spans(base).unionByName(spans(marked)).withColumn("value", F.col("s.kind") != "term")
     last_end = F.max(F.when(F.col("value"), F.col("s.end"))).over(of_row.orderBy("s").rowsBetween(W.unboundedPreceding, W.currentRow))
-    next_start = F.min(F.when(F.col("value"), F.col("s.start"))).over(of_row.orderBy("s").rowsBetween(W.currentRow, W.unboundedFollowing))
+    next_start = F.min(F.when(F.col("value"), F.col("s.start"))).over(of_row.orderBy(F.col("s").desc()).rowsBetween(W.unboundedPreceding, W.currentRow))
     free = F.coalesce(last_end <= F.col("s.start"), F.lit(True)) & F.coalesce(next_start >= F.col("s.end"), F.lit(True))
     listed = all_spans.withColumns({"_free": F.col("value") | free}).where("_free").groupBy(*ROW).agg(F.array_sort(F.collect_list("s")).alias("spans"))
     kind = "array<struct<start:int,rank:int,end:int,kind:string>>"
