@@ -1,24 +1,28 @@
 """Language-model scores from a probabilistic suffix tree over the words of texts.
 
-A text is read as a sequence of symbols: each frequent word (at least
-``SYMBOL_SHARE`` of all training words, so at most 1 / SYMBOL_SHARE of them) is a
-symbol of its own, all other words are one symbol, and an end mark closes the
-text.  A state of the tree is a context, up to ``DEPTH`` symbols before the next
-one.  Contexts that precede at least ``CONTEXT_SHARE`` of all tokens are candidates
-(at most 1 / CONTEXT_SHARE of each length, whatever the corpus); a candidate is
-retained if its next-symbol distribution diverges from that of its longest
-proper suffix by enough bits over the corpus.  The distribution of a state is
-smoothed with that of the state it extends; scoring uses the longest suffix
-of what came before that is a state.  A word that is no symbol of its own has
-its absolutely discounted share among such words, and what the discount leaves
-is the share of all words that training has not seen (one unknown word, as in
-the unigram score that stands beside the tree's).
-
-Words and contexts are counted over the whole corpus: tasks count the distinct
-words and the distinct runs of DEPTH + 1 symbols of their texts and Spark adds
-them up; shorter runs are sums of longer ones.  Only the bounded tree reaches
-the driver and the tasks that score; counts of words reach the texts by a
-join and by position (``blocks``).
+A text is read as a start mark, its symbols and an end mark.  A word that
+training has at least ``SYMBOL_LEAST`` times is a symbol of its own, all other
+words are one symbol.  A state of the tree is a context: up to ``DEPTH`` own
+symbols (or the start and those after it) before the next symbol, which training
+has at least ``CONTEXT_LEAST`` times.  Both are plain counts, so symbols
+and contexts grow with the corpus.  A context is retained by a divergence test: the bits
+by which it foretells its next symbols better than its longest proper suffix
+does, each occurrence judged by the counts of all others, must reach
+``LEAST_BITS``.  The distribution of a state is smoothed with that of the state it
+extends, and scoring uses the longest suffix of what came before that is a state.
+A word that is no symbol of its own has its absolutely discounted share among
+such words, and what the discount leaves is the share of all words that training
+has not seen (one unknown word, as in the unigram score that stands beside the
+tree's).
+
+The tree is never in one place.  Texts are written once as blocks (distinct
+words and places).  In each round a block asks for the sums of its distinct
+keys (words, then runs of symbols, then contexts); keys are dealt into buckets by
+hash, packed, and a bucket sends each block the sums of the keys it asked for.
+A key is asked for once per block, so frequent ones weigh no more than others, and the
+number of buckets grows with the corpus.  A run is counted only if the run
+without its last symbol is a context, so a longer one costs little.  Runs are told
+apart by 64-bit hashes, words by themselves.
 """
 
 from __future__ import annotations
@@ -28,252 +32,306 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .blocks import BLOCK_BYTES, blocks, lower_words, pack, unpack
+from .blocks import blocks, lower_words, pack, pack_words, unpack
 from .tables import keep
 
-DEPTH = 5
-SYMBOL_BITS = 10
-SYMBOL_SHARE = 1e-3
-CONTEXT_SHARE = 2.5e-4
-LEAST_BITS = 64.0          # divergence, times the occurrences of a context, that retains it
-PRIOR = 3.0                # weight of the shorter context's distribution in a state's
+DEPTH = 3
+SYMBOL_LEAST = 8
+CONTEXT_LEAST = 8
+LEAST_BITS = 8.0           # divergence over all occurrences of a context that retains it
+PRIOR = 48.0               # weight of the shorter context's distribution in a state's
 ROOT_PRIOR = 0.1
-OTHER, END, START, OWN = 0, 1, 2, 3      # symbols; frequent words have those from OWN on
-COUNT_TOKENS = 1 << 20
-LANES = 4096
+OTHER, END, START, OWN = 0, 1, 2, 3      # symbols; own words have those from OWN on
+BLOCK_BYTES = 8 << 20
+BUCKET_KEYS = 1 << 20      # tokens of the corpus for each bucket: more than its distinct keys
+BITS_UNIT = 1 << 20        # sums of bits travel as whole numbers, which add up alike in any order
 
 
-def symbol_stream(symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each text DEPTH start symbols, its words' symbols and the end mark; and the offsets of the texts."""
-    offsets = np.concatenate([[0], np.cumsum(counts + DEPTH + 1)])
-    out = np.full(int(offsets[-1]), START, np.int64)
-    shift = offsets[:-1] + DEPTH - (np.cumsum(counts) - counts)
-    out[np.arange(len(symbols)) + np.repeat(shift, counts)] = symbols
-    out[offsets[1:] - 1] = END
-    return out, offsets
+def squeeze(values: np.ndarray) -> bytes:
+    """Whole numbers of 64 bits as compressed byte planes."""
+    planes = np.ascontiguousarray(values.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _inside(offsets: np.ndarray) -> np.ndarray:
-    """Marks the symbols that are predicted: all but the start symbols."""
-    mark = np.ones(int(offsets[-1]), bool)
-    for i in range(DEPTH):
-        mark[offsets[:-1] + i] = False
-    return mark
+def widen(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
 
 
-def gram_counts(symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct runs of DEPTH + 1 symbols, the last in the lowest bits, and their counts."""
-    stream, bounds = symbol_stream(symbols, counts)
-    gram = np.zeros(len(stream), np.int64)
-    for i in range(DEPTH + 1):
-        gram[DEPTH:] |= stream[i:len(stream) - DEPTH + i] << SYMBOL_BITS * (DEPTH - i)
-    return np.unique(gram[_inside(bounds)], return_counts=True)
+def packed_words(raw: bytes) -> pa.Array:
+    """The words that ``pack_words`` packed, as a column."""
+    n = int.from_bytes(raw[:4], "little")
+    offsets = np.concatenate([[0], np.cumsum(unpack(raw[4:4 + n]))])
+    return tb.strings(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4 + n:]), np.uint8), offsets, pa.binary())
 
 
-def block_symbols(words: pa.Array, own: dict[bytes, int]) -> np.ndarray:
-    """Symbol of each distinct word of a block."""
-    return np.array([own.get(w, OTHER) for w in words.to_pylist()], np.int64)
+def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins among sorted keys, and the end."""
+    at = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return np.searchsorted(at, np.arange(buckets + 1, dtype=np.uint64))
 
 
-def count_grams(texts: DataFrame, own: dict[bytes, int], text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(gram, n)`` for all runs of DEPTH + 1 symbols of all texts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, lower_words, block_bytes):
-            grams, n = gram_counts(block_symbols(block.words, own)[block.places], block.counts)
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n.astype(np.int64))], names=["gram", "n"])
-
-    return texts.select(text).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _suffix(gram: str, symbols: int) -> Column:
-    """The last ``symbols`` symbols of a gram."""
-    return F.col(gram).bitwiseAND(F.lit((1 << SYMBOL_BITS * symbols) - 1))
-
-
-def retained(grams: DataFrame) -> DataFrame:
-    """``(depth, context, next, n, total)`` of the root and of each retained context.  ``grams`` is read once for each depth."""
-    positions = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(2.0, CONTEXT_SHARE * positions)
-    levels = []
-    for depth in range(DEPTH + 1):
-        found = grams.groupBy(_suffix("gram", depth + 1).alias("gram")).agg(F.sum("n").alias("n"))
-        level = found.select(F.shiftright("gram", SYMBOL_BITS).alias("context"), _suffix("gram", 1).cast("int").alias("next"), "n")
-        total = level.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
-        levels.append(keep(level.join(total, "context")))
-    out = levels[0].select(F.lit(0).alias("depth"), "context", "next", "n", "total")
-    for depth in range(1, DEPTH + 1):
-        shorter = levels[depth - 1].select(F.col("context").alias("_c"), F.col("next").alias("_next"), F.col("n").alias("_n"), F.col("total").alias("_total"))
-        kept_suffix = _suffix("context", depth - 1) if depth > 1 else F.lit(0).cast("bigint")
-        met = levels[depth].withColumn("_suffix", kept_suffix).join(shorter, (F.col("_suffix") == F.col("_c")) & (F.col("next") == F.col("_next")))
-        bits = F.sum(F.col("n") * F.log2((F.col("n") / F.col("total")) / (F.col("_n") / F.col("_total"))))
-        far = met.groupBy("context").agg(bits.alias("bits")).where(F.col("bits") >= LEAST_BITS).select("context")
-        out = out.union(levels[depth].join(far, "context").select(F.lit(depth).alias("depth"), "context", "next", "n", "total"))
+def sums_by_key(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The sum over its key for each value."""
+    if not len(keys):
+        return values
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.repeat(np.add.reduceat(values[order], starts), np.diff(np.append(starts, len(keys))))
     return out
 
 
-@dataclass
-class Tree:
-    """An automaton that always stands in the node of the longest known run of symbols before the next one.
-
-    ``follow[node, symbol]`` is the next node and ``cost[node, symbol]`` the log10 probability of a symbol."""
-
-    follow: np.ndarray
-    cost: np.ndarray
-
-
-def build(rows: list[tuple[int, int, int, int, int]], symbols: int) -> Tree:
-    """The automaton of ``(depth, context, next, n, total)`` rows, root included (none: all symbols are alike)."""
-    root = np.zeros(symbols)
-    states: dict[tuple[int, ...], list[tuple[int, int, int]]] = {}
-    for depth, context, following, n, total in rows:
-        if depth == 0:
-            root[following] = n
-        else:
-            key = tuple(context >> SYMBOL_BITS * i & ((1 << SYMBOL_BITS) - 1) for i in reversed(range(depth)))
-            states.setdefault(key, []).append((following, n, total))
-    root = (root + ROOT_PRIOR) / (root.sum() + ROOT_PRIOR * symbols)
-
-    names = sorted({(), *(c[:end] for c in states for end in range(1, len(c) + 1))}, key=lambda c: (len(c), c))
-    number = {name: i for i, name in enumerate(names)}
-    chance = np.empty((len(names), symbols), np.float64)
-    chance[0] = root
-    for i, name in enumerate(names):
-        if name:
-            shorter = next(number[name[j:]] for j in range(1, len(name) + 1) if name[j:] in number)
-            chance[i] = chance[shorter]
-        if name in states:
-            chance[i] *= PRIOR
-            for following, n, _ in states[name]:
-                chance[i, following] += n
-            chance[i] /= states[name][0][2] + PRIOR
-    return Tree(_follow(names, number, symbols), np.log10(chance).astype(np.float32))
-
-
-def _follow(names: list[tuple[int, ...]], number: dict[tuple[int, ...], int], symbols: int) -> np.ndarray:
-    """Next node of each node and symbol: the child, or else that of the longest proper suffix that is a node."""
-    children: dict[int, list[tuple[int, int]]] = {}
-    for i, name in enumerate(names):
-        if name:
-            children.setdefault(number[name[:-1]], []).append((name[-1], i))
-    follow = np.zeros((len(names), symbols), np.int32)
-    for i, name in enumerate(names):
-        if name:
-            follow[i] = follow[next(number[name[j:]] for j in range(1, len(name) + 1) if name[j:] in number)]
-        for symbol, child in children.get(i, ()):
-            follow[i, symbol] = child
-    return follow
-
-
-def score_stream(tree: Tree, stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log10 probability of the symbols of each text of a stream.
-
-    The stream is cut into lanes that are read side by side, a symbol of each at a
-    time; a lane first reads the DEPTH symbols before it, after which its
-    node is that of a reader that came from the start."""
-    n = len(stream)
-    if not n:
-        return np.zeros(len(offsets) - 1)
-    steps = max(64, -(-n // LANES))
-    lanes = -(-n // steps)
-    padded = np.full(DEPTH + lanes * steps, START, np.int64)
-    padded[DEPTH:DEPTH + n] = stream
-    begin = np.arange(lanes) * steps
-    node = np.zeros(lanes, np.int64)
-    width = tree.follow.shape[1]
-    follow, cost = tree.follow.ravel(), tree.cost.ravel()
-    out = np.empty((steps, lanes), np.float32)
-    for i in range(DEPTH):
-        node = follow[node * width + padded[begin + i]].astype(np.int64)
-    for i in range(steps):
-        at = node * width + padded[begin + DEPTH + i]
-        out[i] = cost[at]
-        node = follow[at].astype(np.int64)
-    each = out.T.ravel()[:n].astype(np.float64)
-    each[~_inside(offsets)] = 0.0
-    return np.add.reduceat(each, offsets[:-1])
-
-
-def block_scores(tree: Tree, symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Score of the symbols of each text, about COUNT_TOKENS tokens at a time."""
-    bounds = np.concatenate([[0], np.cumsum(counts)])
-    parts = [score_stream(tree, *symbol_stream(symbols[bounds[a]:bounds[b]], counts[a:b])) for a, b in tb.pieces(bounds, COUNT_TOKENS)]
-    return np.concatenate(parts) if parts else np.zeros(0)
-
-
-def _with_score(docs: DataFrame, doc_id: str, text: str, held_out: Column, tree: Tree, own: dict[bytes, int], block_bytes: int) -> DataFrame:
-    """Blocks of texts as positions, with the tree's score of the symbols of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast((tree.follow, tree.cost, own))   # plain values: workers may lack the package
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def lists(values: pa.Array) -> pa.ListArray:
-            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-        follow, cost, known = shared.value
-        read = Tree(follow, cost)
-        for block in blocks(batches, lower_words, block_bytes):
-            scores = block_scores(read, block_symbols(block.words, known)[block.places], block.counts)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([block.name]), lists(block.rows.column(1).combine_chunks()), lists(block.rows.column(2).combine_chunks()),
-                lists(pa.array(block.counts)), lists(pa.array(scores)),
-                pa.array([len(block.words)]), pa.array([pack(block.places)], pa.binary()),
-            ], names=["block", "ids", "held", "counts", "scores", "n_words", "places"])
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), held_out.alias("held_out")).mapInArrow(
-        run, f"block bigint, ids array<{kind}>, held array<boolean>, counts array<bigint>, scores array<double>, n_words bigint, places binary")
-
-
-def _words(docs: DataFrame, text: str, held_out: Column, block_bytes: int) -> DataFrame:
-    """Distinct words of each block, and how often the texts to learn from have them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, lower_words, block_bytes):
-            held = np.asarray(block.rows.column(1).combine_chunks())
-            learn = np.repeat(~held.astype(bool), block.counts)
-            n = np.bincount(block.places[learn], minlength=len(block.words))
-            for at in range(0, len(block.words), 50_000):
-                words = block.words.slice(at, 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block.name)), pa.array(np.arange(at, at + len(words), dtype=np.int32)),
-                                                  words, pa.array(n[at:at + len(words)])], names=["block", "place", "word", "n"])
-
-    return docs.select(F.col(text).alias("text"), held_out.alias("held_out")).mapInArrow(run, "block bigint, place int, word binary, n bigint")
-
-
 @dataclass
 class Costs:
-    """log10 costs of tokens, from counts over the training texts."""
+    """Counts over the training texts, and what follows from them."""
 
     tokens: int            # all, ends included
     known: int             # distinct, the end included
     ends: int
-    least_own: float       # from this count on a word is a symbol of its own
+    own: int               # words that are symbols
     other_tokens: int      # of words that are not
     other_known: int
     discount: float
 
     def base(self, c: np.ndarray) -> np.ndarray:
+        """log10 of the unigram share of words of count ``c``."""
         return np.log10(c + 0.1) - np.log10(self.tokens + 0.1 * (self.known + 1))
 
     def among_others(self, c: np.ndarray) -> np.ndarray:
-        """Share of a word among the words that are no symbols of their own; 0 for one that is."""
+        """log10 share of words among those that are no symbols of their own; all unknown words are one."""
         left = self.discount * self.other_known / self.other_tokens if self.other_tokens else 1.0
         seen = np.maximum(c - self.discount, 1e-9) / max(self.other_tokens, 1)
-        return np.where(c >= self.least_own, 0.0, np.log10(np.where(c > 0, seen, max(left, 1e-9))))
+        return np.log10(np.where(c > 0, seen, max(left, 1e-9)))
+
+    def root(self, n: np.ndarray) -> np.ndarray:
+        """Share of symbols that occur ``n`` times."""
+        return (n + ROOT_PRIOR) / (self.tokens + ROOT_PRIOR * (self.own + 2))
+
+
+class Reading:
+    """The symbols of a block's texts, read depth by depth as the sums that it asks for arrive.
+
+    ``ask`` has, after ``read``, the sorted keys and values of what is not known yet: counts of the runs of
+    one depth under that depth, bits of the contexts of one depth under minus that depth.  With all known,
+    ``chance`` is the probability of each symbol and ``states`` has the retained contexts of the block."""
+
+    def __init__(self, symbol: np.ndarray, c: np.ndarray, places: np.ndarray, counts: np.ndarray, learn: np.ndarray, costs: Costs):
+        length = counts + 2
+        self.offsets = np.concatenate([[0], np.cumsum(length)])
+        n = int(self.offsets[-1])
+        self.symbol, self.count = np.full(n, START, np.int64), np.full(n, costs.ends, np.int64)
+        self.predicted, self.word = np.ones(n, bool), np.ones(n, bool)
+        self.predicted[self.offsets[:-1]] = self.word[self.offsets[:-1]] = False
+        self.symbol[self.offsets[1:] - 1], self.word[self.offsets[1:] - 1] = END, False
+        self.symbol[self.word] = symbol[places]
+        self.count[self.word] = np.where(symbol == OTHER, costs.other_tokens, c)[places]
+        self.learn = np.repeat(learn, length)
+        self.chance = costs.root(self.count)
+        self.ask: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.states: dict[int, np.ndarray] = {}
+
+    def read(self, known: dict[int, np.ndarray]) -> Reading:
+        codes = tb.mixed(self.symbol.view(np.uint64))
+        key, others = codes.copy(), self.chance.copy()       # others: chance by the counts of all other occurrences
+        run = (self.symbol >= START) & (self.count >= CONTEXT_LEAST)
+        run_key, run_count = key, self.count
+        for depth in range(1, DEPTH + 1):
+            at = np.flatnonzero(run[:-1] & self.predicted[1:]) + 1
+            context, total = run_key[at - 1], run_count[at - 1]
+            with np.errstate(over="ignore"):
+                gram = tb.mixed(key[at] * np.uint64(0x9E3779B97F4A7C15) + codes[at - depth] + np.uint64(depth))
+            grams, which = np.unique(gram, return_inverse=True)
+            learn = self.learn[at]
+            if depth not in known:
+                self.ask[depth] = grams, np.bincount(which[learn], minlength=len(grams))
+                return self
+            n = known[depth][which]
+            shorter = others[at]
+            others[at] = (np.maximum(n - 1, 0) + PRIOR * shorter) / (total - 1 + PRIOR)
+            contexts, owner = np.unique(context, return_inverse=True)
+            if -depth in known:
+                retained = known[-depth] >= LEAST_BITS * BITS_UNIT
+                self.states[depth] = contexts[retained]
+                state = retained[owner]
+                self.chance[at] = np.where(state, (n + PRIOR * self.chance[at]) / (total + PRIOR), self.chance[at])
+            else:
+                bits = np.bincount(owner[learn], weights=np.log2(others[at] / shorter)[learn], minlength=len(contexts))
+                self.ask[-depth] = contexts, np.rint(bits * BITS_UNIT).astype(np.int64)
+            longer = at[(self.symbol[at] >= OWN) & (n >= CONTEXT_LEAST)]
+            run = np.zeros(len(run), bool)
+            run[longer] = True
+            run_key, run_count = np.zeros(len(run), np.uint64), np.zeros(len(run), np.int64)
+            run_key[at], run_count[at] = gram, n
+            key = run_key
+        return self
+
+    def per_text(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.offsets[:-1]) if len(self.offsets) > 1 else np.zeros(0)
+
+
+def _list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def written_blocks(docs: DataFrame, held_out: Column, doc_id: str, text: str, block_bytes: int) -> DataFrame:
+    """Blocks of texts: ids, words in order of their hashes with their training counts, and the place of each word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        for i, block in enumerate(blocks(batches, lower_words, block_bytes)):
+            held = block.rows.column(2).combine_chunks()
+            learn = ~np.asarray(held).astype(bool)
+            n = np.bincount(block.places[np.repeat(learn, block.counts)], minlength=len(block.words))
+            data, offsets = tb.buffers(block.words)
+            order = np.argsort(tb.xxh64(data, offsets[:-1], np.diff(offsets)), kind="stable")
+            yield pa.RecordBatch.from_arrays([
+                pa.array([first + i]), pa.array([len(block.places) + len(learn)]), pa.array([int(learn.sum())]),
+                _list(block.rows.column(1).combine_chunks()), _list(held), _list(pa.array(block.counts.astype(np.int64))),
+                pa.array([pack(block.places)], pa.binary()), pa.array([pack(order)], pa.binary()),
+                pa.array([pack_words(block.words.take(pa.array(order)))], pa.binary()), pa.array([squeeze(n[order])], pa.binary()),
+            ], names=["block", "tokens", "learn", "ids", "held", "counts", "places", "order", "words", "n"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return keep(docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), held_out.alias("held_out")).mapInArrow(
+        run, f"block bigint, tokens bigint, learn bigint, ids array<{kind}>, held array<boolean>, counts array<bigint>, "
+             "places binary, order binary, words binary, n binary"))
+
+
+ASKED = "kind int, bucket int, block bigint, keys binary, n binary"
+SUMS = "block bigint, kind int, bucket int, sums binary, symbols binary"
+WORDS = 0                  # the kind of a request for counts of words; others are depths
 
 
-def _costs(counts: DataFrame, ends: int) -> tuple[Costs, dict[bytes, int]]:
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    least = max(2.0, SYMBOL_SHARE * total)
-    other = F.col("c") < least
-    known, others, other_known, once, twice = counts.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.when(other, F.col("c"))), F.lit(0)), F.count(F.when(other, 1)),
-        F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
-    own = {bytes(r["word"]): OWN + i for i, r in enumerate(counts.where(~other).orderBy("word").collect())}
+def _asked(rows: list[tuple]) -> pa.Table:
+    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def ask_words(texts: DataFrame, buckets: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                words, n = packed_words(batch.column(1)[row].as_py()), widen(batch.column(2)[row].as_py())
+                data, offsets = tb.buffers(words)
+                bounds = bucket_bounds(tb.xxh64(data, offsets[:-1], np.diff(offsets)), buckets)
+                name = batch.column(0)[row].as_py()
+                yield from _asked([(WORDS, int(b), name, pack_words(words.slice(bounds[b], bounds[b + 1] - bounds[b])), squeeze(n[bounds[b]:bounds[b + 1]]))
+                                   for b in np.flatnonzero(np.diff(bounds))]).to_batches()
+
+    return texts.select("block", "words", "n").mapInArrow(run, ASKED)
+
+
+def word_counts(asked: DataFrame, spread: int) -> DataFrame:
+    """Counts of words and the symbols of the frequent ones; one more row of each bucket has no block, and its statistics."""
+    def run(rows: pa.Table) -> pa.Table:
+        bucket = rows.column("bucket")[0].as_py()
+        lists = [packed_words(r.as_py()) for r in rows.column("keys")]
+        values = np.concatenate([widen(r.as_py()) for r in rows.column("n")])
+        coded = pc.dictionary_encode(pa.concat_arrays([words.cast(pa.large_binary()) for words in lists]))
+        code = np.asarray(coded.indices)
+        count = np.bincount(code, weights=values, minlength=len(coded.dictionary)).astype(np.int64)
+        own = np.flatnonzero(count >= SYMBOL_LEAST)
+        symbol = np.zeros(len(count), np.int64)
+        ranked = own[np.asarray(pc.array_sort_indices(coded.dictionary.take(pa.array(own))))]
+        symbol[ranked] = OWN + (bucket << 32) + np.arange(len(own))
+        other = (count > 0) & (count < SYMBOL_LEAST)
+        facts = np.array([count.sum(), (count > 0).sum(), len(own), count[other].sum(), other.sum(), (count == 1).sum(), (count == 2).sum()])
+        bounds = np.concatenate([[0], np.cumsum([len(words) for words in lists])])
+        spans = list(zip(bounds[:-1], bounds[1:], strict=True))
+        return pa.table({
+            "block": pa.array([*rows.column("block").to_pylist(), None], pa.int64()),
+            "kind": pa.array([WORDS] * (len(lists) + 1), pa.int32()), "bucket": pa.array([bucket] * (len(lists) + 1), pa.int32()),
+            "sums": pa.array([*(squeeze(count[code[a:b]]) for a, b in spans), squeeze(facts)], pa.binary()),
+            "symbols": pa.array([*(squeeze(symbol[code[a:b]]) for a, b in spans), None], pa.binary())})
+
+    return keep(asked.repartition(spread, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(run, SUMS))
+
+
+def key_sums(asked: DataFrame, spread: int) -> DataFrame:
+    """For each request the sums of its keys over all requests of its kind."""
+    def run(rows: pa.Table) -> pa.Table:
+        keys = [np.cumsum(widen(r.as_py()).view(np.uint64), dtype=np.uint64) for r in rows.column("keys")]
+        sums = sums_by_key(np.concatenate(keys), np.concatenate([widen(r.as_py()) for r in rows.column("n")]))
+        bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+        return pa.table({"block": rows.column("block"), "kind": rows.column("kind"), "bucket": rows.column("bucket"),
+                         "sums": pa.array([squeeze(sums[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
+                         "symbols": pa.nulls(len(keys), pa.binary())})
+
+    return keep(asked.repartition(spread, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(run, SUMS))
+
+
+def _reading(texts: pa.Table, sums: pa.Table, costs: Costs) -> tuple[Reading, np.ndarray, np.ndarray, np.ndarray]:
+    """The reading of a block, and the counts and symbols of its words and their places."""
+    found: dict[int, list[tuple[int, np.ndarray]]] = {}
+    symbol = np.zeros(0, np.int64)
+    for kind in np.unique(np.asarray(sums.column("kind").combine_chunks())) if len(sums) else ():
+        of = sums.filter(pc.equal(sums.column("kind"), int(kind))).sort_by("bucket")
+        found[int(kind)] = np.concatenate([widen(r.as_py()) for r in of.column("sums")])
+        if kind == WORDS:
+            symbol = np.concatenate([widen(r.as_py()) for r in of.column("symbols")])
+    places, order = unpack(texts.column("places")[0].as_py()), unpack(texts.column("order")[0].as_py())
+    c, own = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    if len(order):
+        c[order], own[order] = found[WORDS], symbol
+    counts = np.asarray(texts.column("counts")[0].values)
+    learn = ~np.asarray(texts.column("held")[0].values).astype(bool)
+    return Reading(own, c, places, counts, learn, costs).read({k: v for k, v in found.items() if k != WORDS}), c, own, places
+
+
+def _by_block(texts: DataFrame, sums: DataFrame, spread: int):
+    right = sums.where("block IS NOT NULL").repartition(spread, "block").groupBy("block")
+    return texts.select("block", "ids", "held", "counts", "places", "order").repartition(spread, "block").groupBy("block").cogroup(right)
+
+
+def ask_more(texts: DataFrame, sums: DataFrame, costs: Costs, buckets: int, spread: int, asked: tuple[int, ...]) -> DataFrame:
+    """What blocks do not know yet, of the kinds ``asked``."""
+    def run(key, texts: pa.Table, sums: pa.Table) -> pa.Table:
+        rows = []
+        for kind, (keys, n) in _reading(texts, sums, costs)[0].ask.items():
+            if kind not in asked or not len(keys):
+                continue
+            bounds = bucket_bounds(keys, buckets)
+            for b in np.flatnonzero(np.diff(bounds)):
+                part = keys[bounds[b]:bounds[b + 1]]
+                rows.append((kind, int(b), key[0].as_py(), squeeze(np.diff(part, prepend=np.uint64(0)).view(np.int64)), squeeze(n[bounds[b]:bounds[b + 1]])))
+        return _asked(rows)
+
+    return _by_block(texts, sums, spread).applyInArrow(run, ASKED)
+
+
+def _costs(sums: DataFrame, ends: int) -> Costs:
+    """From the statistics of the buckets of words: seven numbers of each bucket, added up in tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(7, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                total += widen(raw.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in total], names=[f"f{i}" for i in range(7)])
+
+    facts = sums.where("block IS NULL").select("sums").mapInArrow(run, ", ".join(f"f{i} bigint" for i in range(7)))
+    total, known, own, others, other_known, once, twice = (int(v or 0) for v in facts.agg(*[F.sum(f"f{i}") for i in range(7)]).first())
     discount = min(max(once / (once + 2 * twice), 0.05), 0.95) if once else 0.5
-    return Costs(int(total) + ends, int(known) + (1 if ends else 0), ends, least, int(others), int(other_known), discount), own
+    return Costs(total + ends, known + (1 if ends else 0), ends, own, others, other_known, discount)
+
+
+def _known_sums(texts: DataFrame) -> tuple[DataFrame, Costs, int]:
+    """All sums that the blocks ask for, as written tables, the counts over the corpus, and the number of partitions."""
+    n_blocks, tokens, ends = (int(v or 0) for v in texts.agg(F.count(F.lit(1)), F.sum("tokens"), F.sum("learn")).first())
+    buckets = -(-tokens // BUCKET_KEYS) or 1
+    spread = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_blocks // 16)
+    sums = word_counts(ask_words(texts, buckets), spread)
+    costs = _costs(sums, ends)
+    for depth in range(1, DEPTH + 2):                        # runs of this depth, contexts of the one before
+        sums = sums.union(key_sums(ask_more(texts, sums, costs, buckets, spread, (depth, 1 - depth)), spread))
+    return sums, costs, spread
 
 
 def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -283,39 +341,39 @@ def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", t
     end for each text; ``base_score`` is the unigram score of the tokens (counts
     plus 0.1, with one place for all unknown ones) and ``score`` the log10
     probability that the suffix tree gives them.  Null and empty texts are the end
-    alone.  With nothing to learn from all symbols are alike.  ``docs`` must
-    read the same rows in the same order each time, as a table in files does.
-    Extra columns are not read; an empty table gives an empty one."""
+    alone; repeated rows are learned from and scored each.  With nothing to learn
+    from all symbols are alike.  Extra columns are not read; an empty table gives an
+    empty one.  Texts are read once."""
     kind = docs.schema[doc_id].dataType
-    train = docs.where(~held_out)
-    words = _words(docs, text, held_out, block_bytes)
-    counts = keep(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
-    costs, own = _costs(counts, train.count())
-    tree = build([tuple(r) for r in retained(keep(count_grams(train, own, text, block_bytes))).collect()], OWN + len(own))
-    found = words.join(counts, "word").select("block", "place", "c")
-
-    def place(key, texts: pa.Table, found: pa.Table) -> pa.Table:
-        names = pa.schema([("doc_id", texts.schema.field("ids").type.value_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-                           ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-        out = []
-        for row in range(len(texts)):
-            count = np.zeros(texts.column("n_words")[row].as_py(), np.int64)
-            if len(found):
-                count[np.asarray(found.column("place").combine_chunks())] = np.asarray(found.column("c").combine_chunks())
-            places = unpack(texts.column("places")[row].as_py())
-            n = np.asarray(texts.column("counts")[row].values)
-            owner = np.repeat(np.arange(len(n)), n)
-
-            def per_text(values: np.ndarray) -> np.ndarray:
-                return np.bincount(owner, weights=values[places], minlength=len(n))
-
-            base = per_text(costs.base(count)) + costs.base(np.array([costs.ends]))[0]
-            seen = per_text(count > 0).astype(np.int64) + int(costs.ends > 0)
-            score = per_text(costs.among_others(count)) + np.asarray(texts.column("scores")[row].values)
-            out.append(pa.table([texts.column("ids")[row].values, texts.column("held")[row].values, pa.array(n + 1), pa.array(seen),
-                                 pa.array(np.full(len(n), costs.tokens)), pa.array(base), pa.array(score)], schema=names))
-        return pa.concat_tables(out) if out else names.empty_table()
-
-    scored = _with_score(docs, doc_id, text, held_out, tree, own, block_bytes)
-    return scored.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
-        place, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    texts = written_blocks(docs, held_out, doc_id, text, block_bytes)
+    sums, costs, spread = _known_sums(texts)
+
+    def score(key, texts: pa.Table, sums: pa.Table) -> pa.Table:
+        reading, c, own, places = _reading(texts, sums, costs)
+        each = np.where(reading.predicted, np.log10(reading.chance), 0.0)
+        each[reading.word] += np.where(own == OTHER, costs.among_others(c), 0.0)[places]
+        base, seen = np.zeros(len(each)), np.zeros(len(each), np.int64)
+        base[reading.word], seen[reading.word] = costs.base(c)[places], (c > 0)[places]
+        n = np.asarray(texts.column("counts")[0].values)
+        schema = pa.schema([("doc_id", texts.schema.field("ids").type.value_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+                            ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+        return pa.table([texts.column("ids")[0].values, texts.column("held")[0].values, pa.array(n + 1),
+                         pa.array(reading.per_text(seen) + int(costs.ends > 0)), pa.array(np.full(len(n), costs.tokens)),
+                         pa.array(reading.per_text(base) + costs.base(np.array([costs.ends]))[0]), pa.array(reading.per_text(each))], schema=schema)
+
+    return _by_block(texts, sums, spread).applyInArrow(
+        score, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+
+def retained_contexts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(depth, n)``: how many contexts of each depth the tree of ``docs`` retains."""
+    texts = written_blocks(docs, held_out, doc_id, text, block_bytes)
+    sums, costs, spread = _known_sums(texts)
+
+    def run(key, texts: pa.Table, sums: pa.Table) -> pa.Table:
+        kept = _reading(texts, sums, costs)[0].states
+        return pa.table([pa.array([d for d, k in kept.items() for _ in k], pa.int32()),
+                         pa.array([int(x) for k in kept.values() for x in k.view(np.int64)], pa.int64())], names=["depth", "context"])
+
+    found = _by_block(texts, sums, spread).applyInArrow(run, "depth int, context bigint")
+    return found.distinct().groupBy("depth").agg(F.count(F.lit(1)).alias("n"))

@@ -48,46 +48,116 @@ def test_unigram_scores_match_and_the_tree_beats_them(spark, tmp_path):
     assert gain > 0.3
 
 
-def test_tree_is_a_distribution_and_lanes_read_as_one_pass(monkeypatch):
-    rng = np.random.default_rng(4)
-    symbols = np.concatenate([rng.choice([0, 3, 4, 5], 4000), np.tile([3, 4, 5], 500)])
-    counts = np.array([0, 1, 2500, 0, 2999])
-    grams, n = st.gram_counts(symbols, counts)
-    tallies = collections.Counter()
-    for g, k in zip(grams.tolist(), n.tolist(), strict=True):
-        for depth in range(st.DEPTH + 1):
-            tallies[depth, g >> st.SYMBOL_BITS & (1 << st.SYMBOL_BITS * depth) - 1, g & 1023] += k
-    total = collections.Counter()
-    for (depth, context, _), k in tallies.items():
-        total[depth, context] += k
-    rows = [(d, c, s, k, total[d, c]) for (d, c, s), k in tallies.items() if total[d, c] > 20]
-    tree = st.build(rows, 6)
-    assert np.allclose((10.0 ** tree.cost.astype(float)).sum(axis=1), 1, atol=1e-4)
-    stream, offsets = st.symbol_stream(symbols, counts)
-    plain = []
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        node, score = 0, 0.0
-        for i in range(a, b):
-            if i >= a + st.DEPTH:
-                score += float(tree.cost[node, stream[i]])
-            node = tree.follow[node, stream[i]]
-        plain.append(score)
-    monkeypatch.setattr(st, "LANES", 37)
-    assert np.allclose(st.score_stream(tree, stream, offsets), plain, atol=1e-2)
-    monkeypatch.setattr(st, "COUNT_TOKENS", 100)
-    assert np.allclose(st.block_scores(tree, symbols, counts), plain, atol=1e-2)
-
-
-def test_only_divergent_contexts_are_retained(spark):
+class PlainTree:
+    """The same model from dictionaries of tuples, one position at a time."""
+
+    def __init__(self, train):
+        self.c = collections.Counter(w for t in train for w in t)
+        self.ends = len(train)
+        self.own = {w for w, n in self.c.items() if n >= st.SYMBOL_LEAST}
+        rest = [n for w, n in self.c.items() if w not in self.own]
+        self.other, self.other_known = sum(rest), len(rest)
+        self.tokens = sum(self.c.values()) + self.ends
+        once, twice = sum(n == 1 for n in self.c.values()), sum(n == 2 for n in self.c.values())
+        self.discount = min(max(once / (once + 2 * twice), 0.05), 0.95) if once else 0.5
+        self.next = collections.defaultdict(collections.Counter)
+        for t in train:
+            s = self.symbols(t)
+            for i in range(1, len(s)):
+                for c in self.runs(s, i):
+                    self.next[c][s[i]] += 1
+        self.next = {c: n for c, n in self.next.items() if sum(n.values()) >= st.CONTEXT_LEAST}
+        self.kept = {c for c, n in self.next.items() if self.bits(c, n) >= st.LEAST_BITS}
+
+    def symbols(self, t):
+        return ["<s>", *(w if w in self.own else None for w in t), "</s>"]
+
+    def runs(self, s, i):
+        """Contexts before position i, shortest first."""
+        for d in range(1, st.DEPTH + 1):
+            if i - d < 0 or s[i - d] is None:
+                return
+            yield tuple(s[i - d:i])
+
+    def root(self, x):
+        n = self.other if x is None else self.ends if x == "</s>" else self.c[x]
+        return (n + st.ROOT_PRIOR) / (self.tokens + st.ROOT_PRIOR * (len(self.own) + 2))
+
+    def bits(self, context, following):
+        total = 0.0
+        for x, n in following.items():
+            chance = [self.root(x)]
+            for d in range(1, len(context) + 1):
+                tail = self.next[context[-d:]]
+                chance.append((max(tail[x] - 1, 0) + st.PRIOR * chance[-1]) / (sum(tail.values()) - 1 + st.PRIOR))
+            total += n * math.log2(chance[-1] / chance[-2])
+        return total
+
+    def chance(self, x, contexts):
+        p = self.root(x)
+        for c in contexts:
+            if c in self.kept:
+                p = (self.next[c][x] + st.PRIOR * p) / (sum(self.next[c].values()) + st.PRIOR)
+        return p
+
+    def score(self, t):
+        s, out = self.symbols(t), 0.0
+        for i in range(1, len(s)):
+            out += math.log10(self.chance(s[i], list(self.runs(s, i))))
+            if s[i] is None:
+                n = self.c[t[i - 1]]
+                left = self.discount * self.other_known / self.other if self.other else 1.0
+                out += math.log10((n - self.discount) / self.other if n else left)
+        return out
+
+
+def test_scores_and_states_are_those_of_a_plain_tree(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "BUCKET_KEYS", 3000)            # several buckets
+    texts = [*_prose(500, 7), *["w1 w2 w3 unseen w4"] * 30, "", "w0"]
+    docs = frame(spark, [(i, t, "a") for i, t in enumerate(texts)], tmp_path / "d")
+    held = fold("doc_id", 10) == 0
+    split = [words(lower(t)) for t in texts]
+    plain = PlainTree([t for i, t in enumerate(split) if zlib.crc32(str(i).encode()) % 10])
+    for r in st.score_documents(docs, held, block_bytes=8000).collect():
+        assert abs(r["score"] - plain.score(split[r["doc_id"]])) < 1e-6
+    found = {r["depth"]: r["n"] for r in st.retained_contexts(docs, held, block_bytes=8000).collect()}
+    assert found == collections.Counter(len(c) for c in plain.kept) and set(found) == {1, 2, 3}
+    for context in [[], *([c[-d:] for d in range(1, len(c) + 1)] for c in list(plain.kept)[:50])]:
+        assert abs(sum(plain.chance(x, context) for x in [None, "</s>", *plain.own]) - 1) < 1e-9
+
+
+def test_the_tree_grows_with_the_corpus(spark, tmp_path):
+    rng = random.Random(9)                                   # 3,000 words, each followed by one of two: 3,000 states to be found
+    follow = [rng.sample(range(3000), 2) for _ in range(3000)]
+    texts = []
+    for _ in range(1600):
+        t = [rng.randrange(3000)]
+        while len(t) < 40:
+            t.append(rng.choice(follow[t[-1]]))
+        texts.append(" ".join(f"w{w}" for w in t))
+    sizes = []
+    for n in (100, 1600):
+        docs = frame(spark, [(i, t, "a") for i, t in enumerate(texts[:n])], tmp_path / str(n))
+        sizes.append(sum(r["n"] for r in st.retained_contexts(docs, fold("doc_id", 10) == 0).collect()))
+    assert sizes[1] > 3 * sizes[0]
+
+
+def test_contexts_that_foretell_nothing_are_not_retained(spark, tmp_path):
     rng = random.Random(0)
-    stream = [rng.choice([3, 4]) for _ in range(6000)]
-    for i in range(1, len(stream)):
-        if stream[i - 1] == 3 and rng.random() < 0.7:
-            stream[i] = 4
-    grams, n = st.gram_counts(np.array(stream), np.array([len(stream)]))
-    df = spark.createDataFrame([*zip(grams.tolist(), n.tolist(), strict=True)], "gram bigint, n bigint")
-    kept = {(r["depth"], r["context"]) for r in st.retained(df).collect()}
-    assert {(0, 0), (1, 3), (1, 4)} <= kept and not any(d >= 3 for d, _ in kept)
+    docs = frame(spark, [(i, " ".join(rng.choice("abcd") for _ in range(40)), "a") for i in range(300)], tmp_path / "d")
+    kept = {r["depth"]: r["n"] for r in st.retained_contexts(docs, F.lit(False)).collect()}
+    assert sum(kept.values()) <= 6                           # of 4 + 16 + 64 and those at the start, which has no end beside it
+
+
+def test_sums_by_key_and_packing():
+    rng = np.random.default_rng(3)
+    keys, values = rng.integers(0, 50, 1000).astype(np.uint64) << np.uint64(58), rng.integers(-9, 9, 1000)
+    assert st.sums_by_key(keys, values).tolist() == [int(values[keys == k].sum()) for k in keys]
+    wide = np.array([0, -1, 2**62, -2**63, 5])
+    assert st.widen(st.squeeze(wide)).tolist() == wide.tolist() and not len(st.widen(st.squeeze(wide[:0])))
+    ranked = np.unique(rng.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2))
+    bounds = st.bucket_bounds(ranked, 7)
+    assert bounds[0] == 0 and bounds[-1] == len(ranked) and (np.diff(bounds) > 30).all()
 
 
 def test_odd_rows_and_empty_tables(spark, tmp_path):
