@@ -326,7 +326,7 @@ def _known_sums(texts: DataFrame) -> tuple[DataFrame, Costs, int]:
     """All sums that the blocks ask for, as written tables, the counts over the corpus, and the number of partitions."""
     n_blocks, tokens, ends = (int(v or 0) for v in texts.agg(F.count(F.lit(1)), F.sum("tokens"), F.sum("learn")).first())
     buckets = -(-tokens // BUCKET_KEYS) or 1
-    spread = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_blocks // 16)
+    spread = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_blocks // 4)
     sums = word_counts(ask_words(texts, buckets), spread)
     costs = _costs(sums, ends)
     for depth in range(1, DEPTH + 2):                        # runs of this depth, contexts of the one before
