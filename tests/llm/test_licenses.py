@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+
+from reefline.llm import licenses
 from reefline.llm.license_texts import TEMPLATES
 from reefline.llm.licenses import scan
 
@@ -51,3 +54,55 @@ def test_short_notices_back_to_back_are_all_reported(spark, tmp_path):
         name, notice = TEMPLATES[0] if i < 10 else TEMPLATES[17]
         assert [m["license"] for m in out[i]] == [name] * text.count(notice), (i, out[i])
         assert all(m["coverage"] == 1.0 for m in out[i])
+
+
+def test_versions_and_variants_get_their_own_name_or_none(spark, tmp_path):
+    clauses = dict(TEMPLATES)
+    cases = [
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", ["LGPL-2.1"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 7.", []),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]),
+        ("This work is licensed under the GNU Library General Public License, version 3.", []),
+        ("Licensed under the Apache License, Version 1.1.", ["Apache-1.1"]),
+        ("Licensed under the Apache License, Version 3.7.", []),
+        ("Licensed under CC BY 3.0.", ["CC-BY-3.0"]),
+        ("Licensed under CC BY-SA 3.0.", ["CC-BY-SA-3.0"]),
+        ("Licensed under CC BY-XY 3.0.", []),
+        ("Released under an MIT License.", ["MIT"]),
+        ("Released beneath the MIT License.", ["MIT"]),
+        ("Released under the BEER License.", []),
+        (clauses["BSD-2-Clause"], ["BSD-2-Clause"]),
+        (clauses["BSD-3-Clause"], ["BSD-3-Clause"]),
+        (clauses["BSD-3-Clause"].replace("1.", "*").replace("2.", "*").replace("3.", "*"), ["BSD-3-Clause"]),
+        (clauses["Unlicense"], ["Unlicense"]),
+    ]
+    out = {r["doc_id"]: r["matches"] for r in scan(frame(spark, [(i, f"Some words before. {t} And after it.", "a") for i, (t, _) in enumerate(cases)],
+                                                        tmp_path / "d"), TEMPLATES).collect()}
+    for i, (text, names) in enumerate(cases):
+        assert [m["license"] for m in out[i]] == names, (text, out[i])
+
+
+def _best_score(template, words, band):
+    """Cell by cell: the best score of a local alignment in the band."""
+    score = {}
+    for i in range(len(template)):
+        for c in range(2 * band + 1):
+            if i + c < len(words):
+                step = score.get((i - 1, c), 0) + (licenses.MATCH if template[i] == words[i + c] else licenses.GAP)
+                score[i, c] = max(0, step, score.get((i - 1, c + 1), 0) + licenses.GAP, (score[i, c - 1] if c else 0) + licenses.GAP)
+    return max(score.values(), default=0)
+
+
+def test_alignment_has_the_best_score_of_the_band():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        template = rng.integers(1, 6, rng.integers(3, 15)).astype(np.uint64)
+        band = int(rng.integers(0, 5))
+        words = np.concatenate([rng.integers(1, 6, band), template, rng.integers(1, 6, band)]).astype(np.uint64)
+        words = np.delete(words, rng.integers(0, len(words), rng.integers(0, 4)))
+        rows, cells = licenses.align(template, words, band)
+        assert (template[rows] == words[cells]).all() and (np.diff(rows) > 0).all() and (np.diff(cells) > 0).all()
+        assert ((cells - rows >= 0) & (cells - rows <= 2 * band)).all()
+        lost = sum(max(a, b) - 1 for a, b in zip(np.diff(rows).tolist(), np.diff(cells).tolist(), strict=True))
+        assert licenses.MATCH * len(rows) + licenses.GAP * lost == _best_score(template, words, band)
