@@ -106,7 +106,7 @@ def blocks(batches: Iterator[pa.RecordBatch], split: Split, size: int = BLOCK_BY
     if held:
         yield _block(held, split, seq)
         held = []
-    pa.default_memory_pool().release_unused()      # workers live on and serve other stages
+    tb.give_back()
 
 
 def pack(places: np.ndarray) -> bytes:

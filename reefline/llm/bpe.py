@@ -127,7 +127,7 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             ends = word_ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
             del word_ends, at
             out.append(pa.table([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], schema=names))
-        pa.default_memory_pool().release_unused()
+        tb.give_back()
         return pa.concat_tables(out) if out else names.empty_table()
 
     return _positions(docs, doc_id, text, block_bytes).groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(
@@ -166,6 +166,7 @@ def decode(encoded: DataFrame, tokenizer: str, tokens: str = "tokens", out: str
                 raw = joined.tobytes()
                 texts += [raw[x:y].decode("utf-8", "replace") for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+        tb.give_back()
 
     place = encoded.columns.index(tokens)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)

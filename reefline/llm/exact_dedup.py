@@ -106,6 +106,8 @@ def _local(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...]) -> D
             parts.append(batch.slice(taken).select(["_id", *carry]))
         if rows:
             yield merged()
+        rows, parts = [], []
+        tb.give_back()
 
     chosen = docs.select(F.col(text).alias("_text"), F.col(doc_id).alias("_id"), *carry)
     kind = chosen.schema["_id"].dataType.simpleString()

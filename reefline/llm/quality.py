@@ -129,6 +129,7 @@ def with_statistics(docs: DataFrame, text: str = "text", out: str = "statistics"
             x = statistics(batch.column(0))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], names=[*others, out])
+        tb.give_back()
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others]
     return docs.select(F.col(text).alias("_text"), *others).mapInArrow(run, ", ".join([*kinds, f"`{out}` array<double>"]))

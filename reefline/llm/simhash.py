@@ -74,6 +74,7 @@ def with_fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         for batch in batches:
             fp = fingerprint_batch(batch.column(0), words)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fp.view(np.int64))], names=[*names, "fp"])
+        tb.give_back()
 
     chosen = docs.select(F.col(text).alias("_text"), F.col(doc_id).alias("doc_id"), *carry)
     kinds = [f"`{n}` {chosen.schema[n].dataType.simpleString()}" for n in names]
