@@ -80,6 +80,14 @@ def _literal(value: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
+def apart(value: Column) -> Column:
+    """``value``, evaluated outside the fused stage, as lambdas are.
+
+    A stage is one method, and the JVM never compiles a method of more than 8,000 bytes.  Scan, joins and
+    rules together exceed that, and every row would be interpreted; this ends the stage before the rules."""
+    return F.element_at(F.transform(F.array(F.lit(0)), lambda _: value), 1)
+
+
 def _unit_rules(branches: Sequence[Branch], unit: str) -> Column:
     """The rule for the row's unit: that of the first branch that lists it, else that of the open branch, else NULL."""
     listed: dict[str, dict] = {}
@@ -90,7 +98,7 @@ def _unit_rules(branches: Sequence[Branch], unit: str) -> Column:
         if not b.units:
             other = b.unit_rule(None)
     found = F.try_element_at(_literal(listed, f"map<string,{UNIT_RULE}>"), F.col(unit))
-    return found if other is None else F.coalesce(found, _literal(other, UNIT_RULE))
+    return apart(found if other is None else F.coalesce(found, _literal(other, UNIT_RULE)))
 
 
 def _study_rules(branches: Sequence[Branch], key: str) -> Column:

@@ -19,8 +19,8 @@ def _branch_sql(*tables: str) -> str:
     return review_with(" UNION ALL ".join(f"SELECT {sel} FROM {t}" for t in tables))
 
 
-def _prepared(spark, sf_dir):
-    return RV.prepare(B.study_rates(spark, sf_dir))
+def _prepared(spark, sf_dir, *columns):
+    return RV.prepare(B.study_rates(spark, sf_dir).select(*columns or ("*",)))
 
 
 def _routed(spark, sf_dir):
@@ -29,7 +29,7 @@ def _routed(spark, sf_dir):
 
 @query("harmonise_biomass", _branch_sql("biom", "vol"))
 def harmonise_biomass(spark, sf_dir):
-    return rounded(RV.harmonise_biomass_and_volume(_prepared(spark, sf_dir)).select(*BRANCH_COLS))
+    return rounded(RV.harmonise_biomass_and_volume(_prepared(spark, sf_dir, *RV.RATE_COLUMNS)).select(*BRANCH_COLS))
 
 
 @query("harmonise_surface", _branch_sql("surf"))
@@ -39,7 +39,7 @@ def harmonise_surface(spark, sf_dir):
 
 @query("harmonise_extension", _branch_sql("ext"))
 def harmonise_extension(spark, sf_dir):
-    return rounded(RV.harmonise_extension(_prepared(spark, sf_dir)).select(*BRANCH_COLS))
+    return rounded(RV.harmonise_extension(_prepared(spark, sf_dir, *RV.RATE_COLUMNS)).select(*BRANCH_COLS))
 
 
 RESCUE_COLS = ["paper_name", "method", "method_family", "unit", "species", "genus", "error", "rate_ext", "rate_surf",

@@ -158,8 +158,10 @@ def _box_sql(table: str, largest: float | None) -> str:
 
 def _register_branch(suffix, table, harmonise, strict, largest) -> None:
     """AGG-1, AGG-8 and AGG-9 of one branch."""
+    ordinals = ORDER if suffix == "_surface" else []       # of a positional correction
+
     def rows(spark, sf_dir):
-        return harmonise(RV.prepare(B.study_rates(spark, sf_dir)))
+        return harmonise(RV.prepare(B.study_rates(spark, sf_dir).select(*RV.RATE_COLUMNS, *ordinals)))
 
     @query("group_mean_sd" + suffix, _mean_sd_sql(table, strict))
     def group_mean_sd(spark, sf_dir):

@@ -96,8 +96,9 @@ def study_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = driver_table(spark, sf_dir, "lineitem", LINEITEM_ORDER)
     part = driver_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type"])
     sup = driver_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name", "s_nationkey"])
-    sup = sup.join(_geo(spark, sf_dir), sup.s_nationkey == F.col("n_nationkey")).select("s_suppkey", "s_name", "r_name")
+    # regions come last: the planner takes supplier joined with them for larger than it is, and would shuffle lineitem once more
     df = li.join(part, li.l_partkey == part.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
+    df = df.join(_geo(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
     incomplete = F.coalesce(F.col("s_suppkey").isin(INCOMPLETE_SUPPLIERS), F.lit(False))
     return df.select(
         F.coalesce(lookup("s_suppkey", STUDY_OF_SUPPLIER), F.col("s_name")).alias("paper_name"),

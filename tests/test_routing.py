@@ -96,3 +96,22 @@ def test_a_study_that_a_branch_uses_is_not_rescued(spark):
     assert [x.error for x in r.kept(RV.EXTENSION).collect()] == ["0.25"]                     # the correction is for rescued rows
     plan = RV.study_audit(r)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [paper_name") == 1 and "LeftAnti" not in plan
+
+
+def test_rules_and_joins_are_not_one_stage(spark):
+    """Fused with the joins below them, the rules make a method that the JVM does not compile."""
+    import re
+
+    from reefline.plans import review as RV
+    from reefline.sources import bindings as B
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for harmonise in (RV.harmonise_extension, RV.harmonise_biomass_and_volume):
+            df = harmonise(RV.prepare(B.study_rates(spark, "/root/testdata/sf0.001").select(*RV.RATE_COLUMNS)))
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            stages = [set(re.findall(rf"\*\((\d+)\) {node}", plan)) for node in (r"\w*Join\b", "Generate inline")]
+            assert stages[0] and stages[1] and not stages[0] & stages[1]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
