@@ -252,7 +252,7 @@ def word_counts(asked: DataFrame, spread: int) -> DataFrame:
             "sums": pa.array([*(squeeze(count[code[a:b]]) for a, b in spans), squeeze(facts)], pa.binary()),
             "symbols": pa.array([*(squeeze(symbol[code[a:b]]) for a, b in spans), None], pa.binary())})
 
-    return keep(asked.repartition(spread, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(run, SUMS))
+    return keep(asked.repartition(spread, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(run, SUMS), free_shuffles=True)
 
 
 def key_sums(asked: DataFrame, spread: int) -> DataFrame:
@@ -265,7 +265,7 @@ def key_sums(asked: DataFrame, spread: int) -> DataFrame:
                          "sums": pa.array([squeeze(sums[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
                          "symbols": pa.nulls(len(keys), pa.binary())})
 
-    return keep(asked.repartition(spread, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(run, SUMS))
+    return keep(asked.repartition(spread, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(run, SUMS), free_shuffles=True)
 
 
 def _reading(texts: pa.Table, sums: pa.Table, costs: Costs) -> tuple[Reading, np.ndarray, np.ndarray, np.ndarray]:

@@ -13,15 +13,28 @@ from reefline.session import intermediate_root
 _written: list[str] = []
 
 
-def keep(df: DataFrame, **options: str) -> DataFrame:
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def keep(df: DataFrame, free_shuffles: bool = False, **options: str) -> DataFrame:
     """Write ``df`` to the folder that ``spark.checkpoint.dir`` names and read it back.
 
     One pass over the input, and a lost executor loses nothing: later stages
-    read the files.  ``release`` removes the tables."""
-    path = f"{intermediate_root(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    read the files.  ``release`` removes the tables.  ``free_shuffles`` deletes the
+    shuffle files of the write when it ends, not when the driver next collects garbage;
+    ``df`` should then not be computed again."""
+    spark = df.sparkSession
+    path = f"{intermediate_root(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    if free_shuffles:
+        spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        if free_shuffles:
+            spark.conf.set(FREE_SHUFFLES, before)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def written() -> list[str]:

@@ -169,3 +169,21 @@ def test_odd_rows_and_empty_tables(spark, tmp_path):
     assert st.score_documents(frame(spark, []), fold("doc_id", 10) == 0).count() == 0
     nothing = st.score_documents(frame(spark, [(1, "a b", "a")], tmp_path / "e"), F.lit(True)).collect()
     assert [(r["n_known"], r["train_tokens"]) for r in nothing] == [(0, 0)] and math.isfinite(nothing[0]["score"])
+
+
+def test_rounds_leave_no_shuffle_files(spark):
+    """Files of a round's shuffles go when its sums are written, though nothing has collected the driver's garbage."""
+    import time
+
+    def files():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {name for name in manager.getAllFiles().mkString("\n").split("\n") if name.endswith(".data") and "/shuffle_" in name}
+
+    before = files()
+    asked = spark.createDataFrame([(1, b % 3, b, st.squeeze(np.array([5, 7])), st.squeeze(np.array([1, 2]))) for b in range(12)], st.ASKED)
+    sums = st.key_sums(asked, 3)
+    deadline = time.time() + 10
+    while files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - before
+    assert sums.count() == 12
